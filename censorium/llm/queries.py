@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from censorium.llm.fingerprints import op5_fingerprints
 from censorium.llm.packing import op10_packing
 from censorium.llm.token_files import op6_token_files
+from censorium.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op6_token_files, op10_packing]
+    found = [op5_fingerprints, op6_token_files, op9_warc, op10_packing]
     return {f.__name__: f for f in found}
 
 
