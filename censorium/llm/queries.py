@@ -10,12 +10,13 @@ from censorium.llm.fingerprints import op5_fingerprints
 from censorium.llm.jaccard_join import op8_jaccard_join
 from censorium.llm.language_id import op7_language_id
 from censorium.llm.packing import op10_packing
+from censorium.llm.suffix_dedup import op1_suffix_dedup
 from censorium.llm.token_files import op6_token_files
 from censorium.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
+    found = [op1_suffix_dedup, op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
     return {f.__name__: f for f in found}
 
 
