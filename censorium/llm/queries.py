@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from censorium.llm.byte_bpe import op3_byte_bpe
 from censorium.llm.fingerprints import op5_fingerprints
 from censorium.llm.jaccard_join import op8_jaccard_join
 from censorium.llm.language_id import op7_language_id
+from censorium.llm.metric_topk import OP2_SQL, op2_metric_topk
 from censorium.llm.packing import op10_packing
 from censorium.llm.suffix_dedup import op1_suffix_dedup
 from censorium.llm.token_files import op6_token_files
@@ -16,9 +18,9 @@ from censorium.llm.warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
+    found = [op1_suffix_dedup, op2_metric_topk, op3_byte_bpe, op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_metric_topk": OP2_SQL}
