@@ -15,10 +15,11 @@ from censorium.llm.packing import op10_packing
 from censorium.llm.suffix_dedup import op1_suffix_dedup
 from censorium.llm.token_files import op6_token_files
 from censorium.llm.warc import op9_warc
+from censorium.llm.wrapper import op4_main_text
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_suffix_dedup, op2_metric_topk, op3_byte_bpe, op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
+    found = [op1_suffix_dedup, op2_metric_topk, op3_byte_bpe, op4_main_text, op5_fingerprints, op6_token_files, op7_language_id, op8_jaccard_join, op9_warc, op10_packing]
     return {f.__name__: f for f in found}
 
 
