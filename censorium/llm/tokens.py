@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -47,12 +48,36 @@ def tokenizer(path: str):
     return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies (a fixed rule)."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in plain else next(rest)) for b in range(256)}
+
+
+_LETTERS = _byte_letters()
+#: Words whose ids a Python worker remembers at most, by tokenizer.
+REMEMBERED = 200_000
+_KNOWN: dict[str, dict[str, list[int]]] = {}
+
+
 def word_ids(words: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """ids of all words one after another, and how many each has."""
-    found = [e.ids for e in tokenizer(path).encode_batch_fast(words, add_special_tokens=False)]
+    """ids of all words one after another, and how many each has.
+
+    A word goes straight to the library's BPE model, in the letters of the byte-level vocabulary.
+    """
+    known, model = _KNOWN.setdefault(path, {}), tokenizer(path).model
+    room, found = REMEMBERED - len(known), []
+    for w in words:
+        ids = known.get(w)
+        if ids is None:
+            ids = [t.id for t in model.tokenize(w.encode().decode("latin-1").translate(_LETTERS))]
+            if room > 0:
+                known[w] = ids
+                room -= 1
+        found.append(ids)
     counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    flat = np.fromiter((i for x in found for i in x), dtype=np.int32, count=int(counts.sum()))
-    return flat, counts
+    return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(counts.sum())), counts
 
 
 def encode_lists(lists: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
