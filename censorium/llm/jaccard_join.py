@@ -2,177 +2,205 @@
 
 Plan (no step sees all pairs of a group, and nothing is capped):
 
-1. Equal sets become one class, so copies cost nothing further.
-2. A fixed-size sketch of document counts orders shingles, rare before frequent.  By the
-   prefix principle two sets of similarity t share one of their first n - ceil(t n) + 1
-   shingles in that order, so only those are indexed, and shared passages mostly aren't.
-3. Index lists are walked in blocks, ordered by set size.  A short list is one block, whose
-   sets are compared with each other.  Of a long list the first set in order and one more are
-   compared with the rest, in rounds.
-4. Set relations skip work: once a set is known to be highly similar to another, its answers
+1. Equal sets become one class with one representative, so copies cost nothing further.
+2. Documents lie in blocks in a table bucketed by block.  Each block sends every shingle once
+   (40 bits, in sorted arrays by bucket) and gets back how many classes have it, as a level.
+3. Shingles are ordered by that level, unique ones first.  By the prefix principle two sets of
+   similarity t share one of their first n - ceil(t n) + 1 shingles in that order, so only those
+   are indexed, and of these only what several classes have.  A set with too many shingles
+   of its own is similar to none.  Lists are divided by set size.
+4. Index lists are walked in blocks, ordered by set size.  First some sets of each list are compared
+   with the rest.  From then on a short list is one block, whose sets are compared with each
+   other, and long ones go on as before.
+5. Set relations skip work: once a set is known to be highly similar to another, its answers
    are taken over from it: a list whose sets are all in one component is done, and no pair
    inside a component is compared.  The rest goes to the next round.
-5. A candidate must pass the size filter, then a bound from the 64 smallest hashes of both
-   sets (exact: they can't differ more than the whole sets may), then whole sets decide.
+6. A candidate must pass the size filter, sharpened by how many shingles each set has for
+   itself, then a bound from the 64 smallest hashes of both sets (exact: they can't differ more
+   than the whole sets may), then whole sets decide.
 
 Shingles and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censorium.llm.common import rows_are_few, saved, table
+from censorium.llm.common import rows_are_few, saved, table, text_or_empty
 from censorium.llm.components import components
-from censorium.llm.shingles import WORDS, shingle_sets
+from censorium.llm.shingles import WORDS, mix, shingle_sets
 
 PERCENT = 80
-#: Slots of the sketch, and the parts it travels in.
-SLOTS, PARTS = 1 << 20, 16
-#: A list is frequent, and not gathered in one task, if the sketch counts more documents than this.
-FREQUENT = 20_000
+#: Text bytes of a block and of a bucket's share.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Classes that have a shingle above which its list isn't gathered in one task.
+FREQUENT = 1 << 15
 #: Longest list that is one block.
-BLOCK = 8
+BLOCK = 48
 #: Smallest hashes that go ahead of a whole set.
 LOW = 64
 #: Class ids that are sent to all executors at most.
 BROADCAST_IDS = 2_000_000
 
+BLOCKS = "block long, ids array<long>, n array<int>, classes array<long>, texts array<string>, n_bytes long"
+
 
 def _class_of(found: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(found.tobytes(), seed=len(found)))))
 
 
-def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """``(doc_id, n_shingles, class)`` per row, class null for empty sets; and documents per slot of the sketch."""
+def _stored(words: int):
+    """Rows (doc_id, text) as blocks, with sizes and classes of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, part = 0, TaskContext.get().partitionId() << 24
+        for batch in batches:
+            sizes = np.asarray(pa.compute.binary_length(batch.column(1)), dtype=np.int64)
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_BYTES)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                ids, texts = batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a)
+                sets = [(len(x), _class_of(x) if len(x) else None) for x in shingle_sets(texts, words)]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part + seq]), one(ids), one(pa.array([x[0] for x in sets], pa.int32())), one(pa.array([x[1] for x in sets], pa.int64())), one(texts), pa.array([int(sizes[a:b].sum())])],
+                    names=["block", "ids", "n", "classes", "texts", "n_bytes"],
+                )
+                seq += 1
+
+    return run
+
+
+def _block_sets(texts: pa.Array, at: list[int], words: int) -> list[np.ndarray]:
+    """Sets of the representatives of a block."""
+    return list(shingle_sets(texts.take(pa.array(at)), words))
+
+
+def _keys(sets: list[np.ndarray], bits: int) -> np.ndarray:
+    flat = np.concatenate(sets) if sets else np.zeros(0, dtype=np.uint64)
+    return flat >> np.uint64(32 - bits)
+
+
+ENTRIES = "bucket int, block long, keys binary, counts binary"
+LEVELS = "block long, bucket int, levels binary"
+
+
+def _sent(words: int, bits: int):
+    """Each block's distinct keys and in how many of its classes they are, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            sizes, classes = [], []
-            held: list[np.ndarray] = []
-            for found in shingle_sets(batch.column(1), words):
-                sizes.append(len(found))
-                classes.append(_class_of(found) if len(found) else None)
-                held.append(found)
-                if len(held) == 512:
-                    sketch += np.bincount((np.concatenate(held) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-                    held = []
-            if held:
-                sketch += np.bincount((np.concatenate(held) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n_shingles", "class", "part", "counts"])
-        parts = [p.astype("<u4").tobytes() for p in np.split(sketch, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "n_shingles", "class", "part", "counts"])
-
-    def total(rows: pa.Table) -> pa.Table:
-        found = sum(np.frombuffer(x.as_py(), dtype="<u4").astype(np.int64) for x in rows.column("counts"))
-        return pa.table({"part": rows.column("part").slice(0, 1), "counts": pa.array([found.tobytes()], pa.binary())})
-
-    rows = saved(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class long, part int, counts binary"), "sets")
-    sums = rows.where("part is not null").select("part", "counts").groupBy("part").applyInArrow(total, "part int, counts binary").collect()
-    sketch = np.zeros(SLOTS, dtype=np.int64)
-    for r in sums:  # of fixed size
-        sketch.reshape(PARTS, -1)[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
-    return rows.where("part is null").drop("part", "counts"), sketch
-
-
-def _levels(sketch: np.ndarray) -> np.ndarray:
-    """How much each slot stands out of the noise: 0 for rare shingles."""
-    mean = max(1.0, float(np.median(sketch)))
-    over = (sketch - mean) / (4 * np.sqrt(mean))
-    return np.where(over <= 1, 0, 1 + np.log2(np.maximum(over, 1))).astype(np.uint8)
-
-
-def prefixes(docs: DataFrame, sketch: np.ndarray, percent: int, words: int) -> DataFrame:
-    """Index entries ``(token, class, n, frequent)``; equal sets of a task once."""
-    levels, frequent = _levels(sketch), sketch > FREQUENT
+            for i in range(batch.num_rows):
+                keys, counts = np.unique(_keys(_block_sets(batch.column(1)[i].values, batch.column(2)[i].as_py(), words), bits), return_counts=True)
+                edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
+                full = [j for j in range(1 << bits) if edges[j] < edges[j + 1]]
+                cut = lambda x: pa.array([x[edges[j] : edges[j + 1]].tobytes() for j in full], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(full), pa.int64()), cut(keys.astype("<u4")), cut(np.minimum(counts, 65535).astype("<u2"))], names=["bucket", "block", "keys", "counts"])
+
+    return run
+
+
+def _levels(rows: pa.Table) -> pa.Table:
+    """For every block the level of each of its keys: 0 for one class, else 1 + log2 of their number."""
+    keys = [np.frombuffer(x.as_py(), dtype="<u4") for x in rows.column("keys")]
+    counts = [np.frombuffer(x.as_py(), dtype="<u2") for x in rows.column("counts")]
+    flat, weight = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    order = np.argsort(flat, kind="stable")
+    new = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
+    sums = np.add.reduceat(weight[order], np.flatnonzero(new))
+    level = np.empty(len(flat), dtype=np.uint8)
+    level[order] = np.where(sums == 1, 0, 1 + np.log2(sums)).astype(np.uint8)[np.cumsum(new) - 1]
+    ends = np.cumsum([len(k) for k in keys])
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "levels": pa.array([level[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)], pa.binary())})
+
+
+def _prefixes(percent: int, words: int, bits: int):
+    """Index entries (list, class, n, shared, frequent) of a block's representatives."""
+    often = 1 + int(math.log2(FREQUENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            tokens, classes, sizes = [], [], []
-            for found in shingle_sets(batch.column(0), words):
-                if not len(found) or (c := _class_of(found)) in seen:
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(c)
-                n = len(found)
-                keep = n - (percent * n + 99) // 100 + 1
-                level = levels[(found & np.uint64(SLOTS - 1)).astype(np.int64)]
-                if level.any():
-                    found = found[np.argsort(level, kind="stable")]
-                tokens.append(found[:keep])
-                classes.append(c)
-                sizes.append(n)
-            counts = [len(t) for t in tokens]
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(flat.view(np.int64)), pa.array(np.repeat(np.array(classes, dtype=np.int64), counts)), pa.array(np.repeat(np.array(sizes, dtype=np.int32), counts)), pa.array(frequent[(flat & np.uint64(SLOTS - 1)).astype(np.int64)])],
-                names=["token", "class", "n", "frequent"],
-            )
-
-    return docs.select("text").mapInArrow(run, "token long, class long, n int, frequent boolean")
+            for i in range(batch.num_rows):
+                at = batch.column(2)[i].as_py()
+                sets = _block_sets(batch.column(1)[i].values, at, words)
+                keys, of = np.unique(_keys(sets, bits), return_inverse=True)
+                reply = sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])
+                level = np.frombuffer(b"".join(x["levels"] for x in reply), dtype=np.uint8)[of] if len(keys) else np.zeros(0, dtype=np.uint8)
+                classes = batch.column(3)[i].as_py()
+                ends = np.cumsum([len(x) for x in sets])
+                out = []
+                for c, x, e in zip((classes[j] for j in at), sets, ends, strict=True):
+                    n, lev = len(x), level[e - len(x) : e]
+                    spare, own = n - (percent * n + 99) // 100, int((lev == 0).sum())
+                    if own > spare:
+                        continue
+                    order = np.argsort(lev, kind="stable")[own : spare + 1]
+                    size = int(math.log(n) / math.log(100 / percent) + 1e-9)
+                    for k in (size, size - 1):
+                        out.append((mix(x[order] + np.uint64((k + 2) * 0x9E3779B97F4A7C15 % 2**64)), c, n, n - own, lev[order] > often))
+                counts = [len(x[0]) for x in out]
+                join = lambda j, kind: np.concatenate([x[j] for x in out]) if out else np.zeros(0, dtype=kind)
+                many = lambda j, kind: np.repeat(np.array([x[j] for x in out], dtype=kind), counts)
+                yield pa.RecordBatch.from_arrays([pa.array(join(0, np.uint64).view(np.int64)), pa.array(many(1, np.int64)), pa.array(many(2, np.int32)), pa.array(many(3, np.int32)), pa.array(join(4, bool))], names=["token", "class", "n", "shared", "frequent"])
+
+    return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a task's rare tokens those that several classes have; each (token, class) once."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2))) for b in batches if b.num_rows]
+    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), np.asarray(b.column(3))) for b in batches if b.num_rows]
     if not parts:
         return
-    token, cls, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    token, cls, n, own = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((cls, token))
-    token, cls, n = token[order], cls[order], n[order]
+    token, cls, n, own = token[order], cls[order], n[order], own[order]
     new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-    token, cls, n = token[new], cls[new], n[new]
+    token, cls, n, own = token[new], cls[new], n[new], own[new]
     same = token[1:] == token[:-1]
     keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    token, cls, n = token[keep], cls[keep], n[keep]
+    token, cls, n, own = token[keep], cls[keep], n[keep], own[keep]
     for a in range(0, len(token), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 50_000]), pa.array(cls[a : a + 50_000]), pa.array(n[a : a + 50_000])], names=["token", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 50_000]), pa.array(cls[a : a + 50_000]), pa.array(n[a : a + 50_000]), pa.array(own[a : a + 50_000])], names=["token", "class", "n", "shared"])
 
 
 def index_lists(entries: DataFrame) -> DataFrame:
-    """``(token, class, n)`` of the tokens that several classes have.
+    """``(token, class, n, shared)`` of the lists that several classes are in.
 
-    Rare tokens are gathered by token: the sketch never counts too few, so a list there is
-    at most FREQUENT long.  Entries of frequent tokens stay where they are.
+    Lists of rare tokens are gathered by token: they are at most FREQUENT long.  Entries of
+    frequent tokens stay where they are.
     """
-    rare = entries.where("not frequent").select("token", "class", "n").repartition("token").mapInArrow(_shared, "token long, class long, n int")
-    often = entries.where("frequent").select("token", "class", "n").distinct()
-    return saved(rare.union(often), "index")
+    kinds = "token long, class long, n int, shared int"
+    rare = entries.where("not frequent").drop("frequent").repartition("token").mapInArrow(_shared, kinds)
+    return saved(rare.union(entries.where("frequent").drop("frequent")), "index")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(class, n, low, hashes)`` of the wanted classes, once each."""
+def class_sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """``(class, n, low, hashes)`` of the wanted classes, from the blocks of their representatives."""
     few = rows_are_few(wanted, BROADCAST_IDS)
     ids = np.sort(np.array([r[0] for r in wanted.collect()], dtype=np.int64)) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
-            out: list[tuple] = []
-            for found in shingle_sets(batch.column(0), words):
-                if not len(found) or (c := _class_of(found)) in seen:
-                    continue
-                if ids is not None and ((i := int(np.searchsorted(ids, c))) == len(ids) or ids[i] != c):
-                    continue
-                if len(seen) < 200_000:
-                    seen.add(c)
-                out.append((c, len(found), found[:LOW].tobytes(), found.tobytes()))
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["class", "n", "low", "hashes"])
+            for i in range(batch.num_rows):
+                classes = batch.column(3)[i].as_py()
+                at = [j for j in batch.column(2)[i].as_py() if ids is None or ((k := int(np.searchsorted(ids, classes[j]))) < len(ids) and ids[k] == classes[j])]
+                out = [(classes[j], len(x), x[:LOW].tobytes(), x.tobytes()) for j, x in zip(at, _block_sets(batch.column(1)[i].values, at, words), strict=True)] if at else []
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["class", "n", "low", "hashes"])
 
-    rows = docs.select("text").mapInArrow(run, "class long, n int, low binary, hashes binary")
-    if not few:
-        rows = rows.join(wanted, "class", "left_semi")
-    return saved(rows.dropDuplicates(["class"]), "hashes")
+    rows = blocks.mapInArrow(run, "class long, n int, low binary, hashes binary")
+    return saved(rows if few else rows.join(wanted, "class", "left_semi"), "hashes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -209,47 +237,74 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return whole.mapInArrow(decided, "a long, b long")
 
 
-def _close(percent: int, a: str, b: str) -> F.Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+def _possible(percent: int, a: str, b: str) -> F.Column:
+    """Sizes and shared shingles of two sets allow the similarity."""
+    return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & ((100 + percent) * F.least(f"{a}s", f"{b}s") >= percent * (F.col(f"{a}n") + F.col(f"{b}n")))
 
 
-def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
-
-    Rows link when 100 * intersection >= percent * union of their shingle sets; a component is
-    named by its smallest doc_id.  Null or wordless texts have empty sets and link with
-    nothing.  Rows with equal doc_id stay separate rows; a null doc_id never names a component
-    unless nothing else can.  An empty table gives no rows; other columns are ignored.
-    """
-    rows, sketch = document_sets(docs, words)
-    lists = index_lists(prefixes(docs, sketch, percent, words))
-    sets = class_sets(docs, lists.select("class").distinct(), words)
-    roots: DataFrame | None = None  # (class, root) of linked classes
+def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """``(class, root)`` of every class that is linked with a smaller one; None without links."""
+    roots: DataFrame | None = None
     links: DataFrame | None = None
     turn = 0
     while True:
         named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        first, other = F.struct("n", "class", "root"), F.struct(F.xxhash64("class", F.lit(turn)).alias("h"), "n", "class", "root")
-        heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(first).alias("p"), F.min(other).alias("q")).where("low != high")
-        heads = heads.select("token", "size", F.col("p.class").alias("p"), F.col("p.n").alias("pn"), F.col("p.root").alias("pr"), F.col("q.class").alias("q"), F.col("q.n").alias("qn"), F.col("q.root").alias("qr"))
+        named = named.withColumnsRenamed({"n": "_n", "shared": "_s"})
+        one = F.struct("_n", "class", "_s", "root")
+        picks = [F.min(one).alias("p0"), *(F.min(F.struct(F.xxhash64("class", F.lit(4 * turn + i)).alias("h"), "_n", "class", "_s", "root")).alias(f"p{i}") for i in (1, 2, 3))]
+        heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), *picks).where("low != high").drop("low", "high")
         open_lists = saved(named.join(heads, "token"), "open")
         if open_lists.isEmpty():
-            break
-        short, long = open_lists.where(F.col("size") <= BLOCK), open_lists.where(F.col("size") > BLOCK)
-        left, right = (short.select("token", F.col("class").alias(s), F.col("n").alias(f"{s}n"), F.col("root").alias(f"{s}r")) for s in "ab")
-        inside = left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _close(percent, "an", "bn")).select("a", "b")
-        stars = [long.where((F.col(s) != F.col("class")) & (F.col(f"{s}r") != F.col("root")) & _close(percent, "n", f"{s}n")).select(F.least(s, "class").alias("a"), F.greatest(s, "class").alias("b")) for s in "pq"]
-        found = saved(verified(inside.union(stars[0]).union(stars[1]).distinct(), sets, percent), "links")
-        links = found if links is None else links.union(found)
-        lists = long.where("class != p and class != q").select("token", "class", "n")
+            return roots
+        block = BLOCK if turn else 1
+        short, long = open_lists.where(F.col("size") <= block), open_lists.where(F.col("size") > block)
+        stars = long.select("class", "root", "_n", "_s", F.explode(F.array(*(F.struct(F.col(f"p{i}._n").alias("pn"), F.col(f"p{i}.class").alias("p"), F.col(f"p{i}._s").alias("ps"), F.col(f"p{i}.root").alias("pr")) for i in range(4)))).alias("x")).select("class", "root", "_n", "_s", "x.*")
+        pairs = stars.where((F.col("p") != F.col("class")) & (F.col("pr") != F.col("root")) & _possible(percent, "_", "p")).select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"))
+        if turn:
+            left, right = (short.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r")) for x in "ab")
+            pairs = pairs.union(left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")).select("a", "b"))
+        found = saved(verified(pairs.distinct(), sets, percent), "links")
+        lists = saved(long.where(" and ".join(f"class != p{i}.class" for i in range(4))).select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")
         if not found.isEmpty():
+            links = found if links is None else links.union(found)
             roots = saved(components(links).withColumnRenamed("node", "class"), "roots")
         turn += 1
-    classes = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
+
+
+def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``(doc_id, n_shingles, component_id)`` for each row of ``docs(doc_id, text)``.
+
+    Rows link when 100 * intersection >= percent * union of their shingle sets; a component is
+    named by its smallest doc_id.  Null or wordless texts have empty sets and link with
+    nothing.  Rows with equal doc_id stay separate rows; a null doc_id never names a component
+    unless nothing else can.  An empty table gives no rows; other columns are ignored.
+    """
+    spark = docs.sparkSession
+    name = f"sets_{uuid.uuid4().hex}"
+    texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
+    texts.mapInArrow(_stored(words), BLOCKS).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "zstd").saveAsTable(name)
+    try:
+        stored = spark.table(name)
+        total = stored.agg(F.sum("n_bytes")).first()[0] or 0
+        bits = max(4, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
+        placed = stored.select("block", F.posexplode(F.arrays_zip("ids", "n", "classes")).alias("at", "x")).select("block", "at", "x.*")
+        first = placed.where("classes is not null").groupBy("classes").agg(F.min(F.struct("block", "at")).alias("x"))
+        reps = saved(first.groupBy("x.block").agg(F.sort_array(F.collect_list("x.at")).alias("at")), "representatives")
+        blocks = stored.select("block", "texts", "classes").join(reps, "block").select("block", "texts", "at", "classes")
+        levels = saved(blocks.select("block", "texts", "at").mapInArrow(_sent(words, bits), ENTRIES).groupBy("bucket").applyInArrow(_levels, LEVELS), "levels")
+        replies = levels.groupBy("block").agg(F.collect_list(F.struct("bucket", "levels")).alias("reply"))
+        entries = blocks.join(replies, "block").select("block", "texts", "at", "classes", "reply").mapInArrow(_prefixes(percent, words, bits), "token long, class long, n int, shared int, frequent boolean")
+        lists = index_lists(entries)
+        sets = class_sets(blocks, lists.select("class").distinct(), words)
+        roots = linked_classes(lists, sets, percent)
+        rows = saved(placed.select(F.col("ids").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("classes").alias("class")), "sets")
+    finally:
+        spark.sql(f"drop table if exists {name}")
+    least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     if roots is None:
-        named = classes.select("class", F.col("least").alias("component_id"))
+        named = least.select("class", F.col("least").alias("component_id"))
     else:
-        of = classes.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        of = least.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = of.select("class", "root").join(of.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("class", "component_id")
     # classes of many rows: their rows are few longs each, and AQE splits a class that is frequent
     return rows.join(named, "class", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
