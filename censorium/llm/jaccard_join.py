@@ -9,9 +9,9 @@ Plan (no step sees all pairs of a group, and nothing is capped):
    similarity t share one of their first n - ceil(t n) + 1 shingles in that order, so only those
    are indexed, and of these only what several classes have.  A set with too many shingles
    of its own is similar to none.  Lists are divided by set size.
-4. Index lists are walked in blocks, ordered by set size.  First some sets of each list are compared
-   with the rest.  From then on a short list is one block, whose sets are compared with each
-   other, and long ones go on as before.
+4. Index lists are walked in blocks.  A list of at most BLOCK sets is one block, whose sets are
+   compared where sizes and shared shingles allow it.  Of a longer list the smallest set and
+   three others are compared with the rest, in rounds.
 5. Set relations skip work: once a set is known to be highly similar to another, its answers
    are taken over from it: a list whose sets are all in one component is done, and no pair
    inside a component is compared.  The rest goes to the next round.
@@ -46,7 +46,7 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Classes that have a shingle above which its list isn't gathered in one task.
 FREQUENT = 1 << 15
 #: Longest list that is one block.
-BLOCK = 48
+BLOCK = 256
 #: Smallest hashes that go ahead of a whole set.
 LOW = 64
 #: Class ids that are sent to all executors at most.
@@ -256,13 +256,11 @@ def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         open_lists = saved(named.join(heads, "token"), "open")
         if open_lists.isEmpty():
             return roots
-        block = BLOCK if turn else 1
-        short, long = open_lists.where(F.col("size") <= block), open_lists.where(F.col("size") > block)
+        short, long = open_lists.where(F.col("size") <= BLOCK), open_lists.where(F.col("size") > BLOCK)
         stars = long.select("class", "root", "_n", "_s", F.explode(F.array(*(F.struct(F.col(f"p{i}._n").alias("pn"), F.col(f"p{i}.class").alias("p"), F.col(f"p{i}._s").alias("ps"), F.col(f"p{i}.root").alias("pr")) for i in range(4)))).alias("x")).select("class", "root", "_n", "_s", "x.*")
         pairs = stars.where((F.col("p") != F.col("class")) & (F.col("pr") != F.col("root")) & _possible(percent, "_", "p")).select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"))
-        if turn:
-            left, right = (short.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r")) for x in "ab")
-            pairs = pairs.union(left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")).select("a", "b"))
+        left, right = (short.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r")) for x in "ab")
+        pairs = pairs.union(left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")).select("a", "b"))
         found = saved(verified(pairs.distinct(), sets, percent), "links")
         lists = saved(long.where(" and ".join(f"class != p{i}.class" for i in range(4))).select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")
         if not found.isEmpty():
