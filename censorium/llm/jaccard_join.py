@@ -10,8 +10,8 @@ Plan (no step sees all pairs of a group, and nothing is capped):
    are indexed, and of these only what several classes have.  A set with too many shingles
    of its own is similar to none.  Lists are divided by set size.
 4. Index lists are walked in blocks.  A list of at most BLOCK sets is one block, whose sets are
-   compared where sizes and shared shingles allow it.  Of a longer list the smallest set and
-   three others are compared with the rest, in rounds.
+   compared where sizes and shared shingles allow it.  Of a longer list some sets are
+   compared with the rest, in rounds.
 5. Set relations skip work: once a set is known to be highly similar to another, its answers
    are taken over from it: a list whose sets are all in one component is done, and no pair
    inside a component is compared.  The rest goes to the next round.
@@ -45,8 +45,8 @@ PERCENT = 80
 BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 #: Classes that have a shingle above which its list isn't gathered in one task.
 FREQUENT = 1 << 15
-#: Longest list that is one block.
-BLOCK = 256
+#: Longest list that is one block; sets of a longer list that are compared with the rest in the first round.
+BLOCK, PIVOTS = 256, 64
 #: Smallest hashes that go ahead of a whole set.
 LOW = 64
 #: Class ids that are sent to all executors at most.
@@ -250,19 +250,20 @@ def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     while True:
         named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = named.withColumnsRenamed({"n": "_n", "shared": "_s"})
-        one = F.struct("_n", "class", "_s", "root")
-        picks = [F.min(one).alias("p0"), *(F.min(F.struct(F.xxhash64("class", F.lit(4 * turn + i)).alias("h"), "_n", "class", "_s", "root")).alias(f"p{i}") for i in (1, 2, 3))]
-        heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), *picks).where("low != high").drop("low", "high")
-        open_lists = saved(named.join(heads, "token"), "open")
+        heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("_n", "class")).alias("p")).where("low != high").drop("low", "high")
+        # of a long list the smallest set and a share drawn by hash go first: few at first, more once those left are known to be far apart
+        share = F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn else F.lit(0)) / F.col("size")
+        drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 32)) < share * (1 << 32)
+        open_lists = saved(named.join(heads, "token").withColumn("pivot", (F.col("size") > BLOCK) & (drawn | (F.col("class") == F.col("p.class")))), "open")
         if open_lists.isEmpty():
             return roots
         short, long = open_lists.where(F.col("size") <= BLOCK), open_lists.where(F.col("size") > BLOCK)
-        stars = long.select("class", "root", "_n", "_s", F.explode(F.array(*(F.struct(F.col(f"p{i}._n").alias("pn"), F.col(f"p{i}.class").alias("p"), F.col(f"p{i}._s").alias("ps"), F.col(f"p{i}.root").alias("pr")) for i in range(4)))).alias("x")).select("class", "root", "_n", "_s", "x.*")
-        pairs = stars.where((F.col("p") != F.col("class")) & (F.col("pr") != F.col("root")) & _possible(percent, "_", "p")).select(F.least("p", "class").alias("a"), F.greatest("p", "class").alias("b"))
-        left, right = (short.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r")) for x in "ab")
-        pairs = pairs.union(left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")).select("a", "b"))
-        found = saved(verified(pairs.distinct(), sets, percent), "links")
-        lists = saved(long.where(" and ".join(f"class != p{i}.class" for i in range(4))).select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")
+        side = lambda rows, x: rows.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r"))
+        apart = (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")
+        stars = side(long.where("pivot"), "a").join(side(long, "b"), "token").where((F.col("a") != F.col("b")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        inside = side(short, "a").join(side(short, "b"), "token").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+        found = saved(verified(stars.union(inside).distinct(), sets, percent), "links")
+        lists = saved(long.where("not pivot").select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")
         if not found.isEmpty():
             links = found if links is None else links.union(found)
             roots = saved(components(links).withColumnRenamed("node", "class"), "roots")
