@@ -1,15 +1,141 @@
-"""The library's own registered queries."""
+"""The library's own registered queries on the driver tables, and their SQL.
+
+Roles: ``lineitem`` is right-censored data with many ties (time l_quantity, event: returned),
+``events`` has few ties and causes, keyed by user.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from censorium.operators import compare, curves, data_prep, metrics
+
+Q = dict(time="l_quantity", status="returned")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_linestatus", "l_discount", (F.col("l_returnflag") == "R").cast("int").alias("returned"))
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def _r(*names: str) -> list:
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+def km_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km = curves.kaplan_meier(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
+    return km.select("l_linestatus", "time", "n_risk", "n_event", *_r("survival", "std_err", "cum_hazard"))
+
+
+def na_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    na = curves.nelson_aalen(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
+    return na.select("l_linestatus", "time", *_r("cum_hazard", "survival"))
+
+
+def km_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.survival_quantile(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
+
+
+def km_rmst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.restricted_mean(_lines(spark, sf_dir), keys=["l_linestatus"], tau=30.0, **Q).select("l_linestatus", *_r("rmst"))
+
+
+def actuarial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.life_table(_lines(spark, sf_dir), keys=["l_linestatus"], width=10.0, **Q).select("l_linestatus", "start", "n_enter", "n_event", "n_censor", *_r("survival"))
+
+
+def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cause = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(0)
+    rows = _events(spark, sf_dir).select(F.floor("value").alias("t"), cause.alias("cause"))
+    return curves.cumulative_incidence(rows, time="t", cause="cause").select("time", "cause", "n_event", *_r("incidence"))
+
+
+def logrank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.logrank(_lines(spark, sf_dir), group="l_linestatus", **Q).select(*_r("observed", "expected", "variance", "chi_square"))
+
+
+def split_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("start", F.lit(0.0))
+    parts = data_prep.split_at(rows, start="start", stop="l_quantity", event="returned", cuts=[10, 20, 30, 40])
+    return parts.groupBy("episode").agg(F.count("*").alias("n"), F.sum("returned").cast("long").alias("events"), F.round(F.sum(F.col("l_quantity") - F.col("start")), 6).alias("exposure"))
+
+
+def last_signup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    signups = rows.where("event_type = 'signup'").select("user_id", "ts", F.col("ts").alias("signup"))
+    found = data_prep.nearest_before(rows.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), signups, key="user_id", left_time="ts", right_time="ts", value="signup")
+    return found.select("event_id", "signup")
+
+
+def type_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data_prep.without_repeats(_events(spark, sf_dir), key="user_id", time="ts", state="event_type").select("event_id", "user_id", "event_type")
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data_prep.person_time(_lines(spark, sf_dir), keys=["l_linestatus"], **Q).select("l_linestatus", "n", "events", *_r("person_time", "rate"))
+
+
+def brier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.brier_score(_lines(spark, sf_dir), prediction="l_discount", outcome="returned").select(*_r("brier"))
+
+
+def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _lines(spark, sf_dir).withColumn("p", F.col("l_quantity") / 64)
+    return metrics.calibration(rows, prediction="p", outcome="returned", bins=8).select("bin", "n", *_r("mean_prediction", "mean_outcome"))
+
+
+def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    return metrics.population_stability(rows.where("event_type = 'purchase'"), rows.where("event_type = 'signup'"), column="value", low=0.0, high=500.0).select(*_r("psi"))
+
+
+_CELLS = """
+cells as (select l_linestatus, l_quantity as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) as double) as c from lineitem group by all),
+risk as (select *, sum(c) over (partition by l_linestatus order by time desc) as n from cells),
+km as (select *, product(1 - d / n) over w as s, sum(d / n) over w as h, sum(case when n > d then d / (n * (n - d)) end) over w as g
+       from risk window w as (partition by l_linestatus order by time))"""
+
+SQL = {
+    "km_by_group": f"with {_CELLS} select l_linestatus, time, n as n_risk, d as n_event, round(s, 6) as survival, round(s * sqrt(coalesce(g, 0)), 6) as std_err, round(h, 6) as cum_hazard from km",
+    "na_by_group": f"with {_CELLS} select l_linestatus, time, round(h, 6) as cum_hazard, round(exp(-h), 6) as survival from km",
+    "km_median": f"with {_CELLS} select l_linestatus, min(case when s <= 0.5 + 1e-12 then time end) as quantile from km group by 1",
+    "km_rmst": f"with {_CELLS}, a as (select *, lag(s, 1, 1.0) over w as s0, lag(time, 1, 0.0) over w as t0 from km where time <= 30 window w as (partition by l_linestatus order by time)) select l_linestatus, round(sum(s0 * (time - t0)) + arg_max(s, time) * (30 - max(time)), 6) as rmst from a group by 1",
+    "actuarial": """with c as (select l_linestatus, floor(l_quantity / 10) * 10 as start, cast(count(*) filter (l_returnflag = 'R') as double) as n_event, cast(count(*) filter (l_returnflag <> 'R') as double) as n_censor from lineitem group by all),
+        e as (select *, sum(n_event + n_censor) over (partition by l_linestatus order by start desc) as n_enter from c)
+        select l_linestatus, start, n_enter, n_event, n_censor, round(product(1 - n_event / (n_enter - n_censor / 2)) over (partition by l_linestatus order by start), 6) as survival from e""",
+    "incidence": """with e as (select floor(value) as time, case event_type when 'purchase' then 1 when 'signup' then 2 else 0 end as cause from events),
+        c as (select time, cast(count(*) filter (cause <> 0) as double) as d, cast(count(*) as double) as c from e group by 1),
+        r as (select *, sum(c) over (order by time desc) as n from c), s as (select *, product(1 - d / n) over (order by time) as s from r),
+        b as (select time, n, coalesce(lag(s) over (order by time), 1.0) as before from s),
+        k as (select time, cause, cast(count(*) as double) as n_event from e where cause <> 0 group by 1, 2)
+        select k.time, cause, n_event, round(sum(before * n_event / n) over (partition by cause order by k.time), 6) as incidence from k join b on k.time = b.time""",
+    "logrank_test": """with c as (select l_quantity as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) filter (l_returnflag = 'R' and l_linestatus = 'O') as double) as d1, cast(count(*) as double) as c, cast(count(*) filter (l_linestatus = 'O') as double) as c1 from lineitem group by 1),
+        r as (select *, sum(c) over (order by time desc) as n, sum(c1) over (order by time desc) as n1 from c),
+        s as (select sum(d1) as observed, sum(d * n1 / n) as expected, sum(case when n > 1 then d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) else 0 end) as variance from r)
+        select round(observed, 6) as observed, round(expected, 6) as expected, round(variance, 6) as variance, round((observed - expected) ** 2 / variance, 6) as chi_square from s""",
+    "split_episodes": """with e as (select unnest([0, 1, 2, 3, 4]) as episode), p as (select episode, l_returnflag = 'R' and l_quantity <= case when episode = 4 then 1e9 else 10 * (episode + 1) end as ev, least(l_quantity, case when episode = 4 then 1e9 else 10 * (episode + 1) end) - 10 * episode as x from lineitem, e where l_quantity > 10 * episode)
+        select cast(episode as integer) as episode, count(*) as n, cast(count(*) filter (ev) as bigint) as events, round(sum(x), 6) as exposure from p group by 1""",
+    "last_signup": "select p.event_id, (select max(s.ts) from events s where s.user_id = p.user_id and s.event_type = 'signup' and s.ts <= p.ts) as signup from events p where p.event_type = 'purchase'",
+    "type_changes": "with e as (select *, lag(event_type) over w as before, row_number() over w as i from events window w as (partition by user_id order by ts)) select event_id, user_id, event_type from e where i = 1 or event_type is distinct from before",
+    "rates": "select l_linestatus, count(*) as n, cast(count(*) filter (l_returnflag = 'R') as double) as events, round(sum(l_quantity), 6) as person_time, round(count(*) filter (l_returnflag = 'R') / sum(l_quantity), 6) as rate from lineitem group by 1",
+    "brier": "select round(avg((l_discount - case when l_returnflag = 'R' then 1 else 0 end) ** 2), 6) as brier from lineitem",
+    "calibration": "select cast(least(7, floor(l_quantity / 64 * 8)) as integer) as bin, count(*) as n, round(avg(l_quantity / 64), 6) as mean_prediction, round(avg(case when l_returnflag = 'R' then 1.0 else 0.0 end), 6) as mean_outcome from lineitem group by 1",
+    "drift": """with b as (select cast(greatest(0, least(9, floor(value / 500 * 10))) as integer) as bin, event_type from events where value is not null),
+        c as (select bin, count(*) filter (event_type = 'purchase') as r, count(*) filter (event_type = 'signup') as c from b where event_type in ('purchase', 'signup') group by 1),
+        s as (select greatest(r / (sum(r) over ()), 1e-4) as p, greatest(c / (sum(c) over ()), 1e-4) as q from c) select round(sum((q - p) * ln(q / p)), 6) as psi from s""",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    found = [km_by_group, na_by_group, km_median, km_rmst, actuarial, incidence, logrank_test, split_episodes, last_signup, type_changes, rates, brier, calibration, drift]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
