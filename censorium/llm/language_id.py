@@ -104,7 +104,7 @@ def train(x: np.ndarray, y: np.ndarray, whole: np.ndarray, languages: list[str])
         order = rng.permutation(fit)
         for a in range(0, len(order), BATCH):
             rows = order[a : a + BATCH]
-            xb = x[rows]
+            xb = x[rows].astype(np.float32)
             mean = xb @ embed
             g = _softmax(mean @ weights + bias)
             g[np.arange(len(rows)), y[rows]] -= 1
@@ -116,10 +116,11 @@ def train(x: np.ndarray, y: np.ndarray, whole: np.ndarray, languages: list[str])
     model = LanguageModel(languages, embed, weights, bias, 1.0, 0.0)
     held = np.flatnonzero(kept)
     if len(held):
-        z, t = x[held] @ embed @ weights + bias, y[held]
+        xh = x[held].astype(np.float32)
+        z, t = xh @ embed @ weights + bias, y[held]
         loss = lambda temp: -np.log(np.maximum(_softmax(z / temp)[np.arange(len(t)), t], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-        top = model.probabilities(x[held]).max(axis=1)[whole[held]]
+        top = model.probabilities(xh).max(axis=1)[whole[held]]
         model.threshold = min(HIGHEST, float(np.quantile(top, REJECT))) if len(top) else 0.0
     return model
 
@@ -150,21 +151,28 @@ def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_langua
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
-    kinds = "doc_id long, lang string, whole boolean, x binary"
+    kinds = "doc_id long, lang string, whole boolean, at binary, x binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for key, text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if has_letter(text):
-                    out += [(key, lang, i == 0, features(t).astype(np.float16).tobytes()) for i, t in enumerate([text, *passages(text, key)]) if has_letter(t)]
-            cols = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.binary()), strict=True)], names=["doc_id", "lang", "whole", "x"])
-
-    found = rows.where(draw < share).mapInArrow(run, kinds).toPandas().sort_values(["doc_id", "lang", "whole", "x"])
+                    for i, t in enumerate([text, *passages(text, key)]):
+                        if has_letter(t):
+                            at = np.flatnonzero(x := features(t))
+                            out.append((key, lang, i == 0, at.astype("<u2").tobytes(), x[at].astype("<f2").tobytes()))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "lang", "whole", "at", "x"])
+
+    found = rows.where(draw < share).mapInArrow(run, kinds).toPandas().sort_values(["doc_id", "lang", "whole", "at", "x"])
     names = list(counts)
-    x = np.stack([np.frombuffer(b, dtype=np.float16) for b in found["x"]]).astype(np.float32) if len(found) else np.zeros((0, BUCKETS), dtype=np.float32)
-    return train(x, found["lang"].map(names.index).to_numpy(dtype=np.int64), found["whole"].to_numpy(dtype=bool), names)
+    x = np.zeros((len(found), BUCKETS), dtype=np.float16)
+    for i, (at, values) in enumerate(zip(found["at"], found["x"], strict=True)):
+        x[i, np.frombuffer(at, dtype="<u2")] = np.frombuffer(values, dtype="<f2")
+    y, whole = found["lang"].map(names.index).to_numpy(dtype=np.int64), found["whole"].to_numpy(dtype=bool)
+    del found
+    return train(x, y, whole, names)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
