@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from censorium.functions.riskset import ascending, descending
+from censorium.operators.curves import kaplan_meier
 
 
-def logrank(df: DataFrame, *, time: str, status: str, group: str, rho: float = 0.0) -> DataFrame:
+def logrank(df: DataFrame, *, time: str, status: str, group: str, rho: float = 0.0, gamma: float = 0.0) -> DataFrame:
     """One row: observed and expected events of the larger group value, variance, chi-square.
 
-    ``group`` has two values.  Weights are pooled survival just before t to the power rho
-    (0: log-rank, 1: Peto–Peto).
+    ``group`` has two values.  Weights are S^rho (1 - S)^gamma of the pooled survival S just
+    before t (both 0: log-rank; rho 1: Peto–Peto; any: Fleming–Harrington).
     """
     rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull() & F.col(group).isNotNull())
     high = rows.agg(F.max(group).alias("_high"))
@@ -21,8 +22,21 @@ def logrank(df: DataFrame, *, time: str, status: str, group: str, rho: float = 0
     at = one.groupBy(F.col(time).cast("double").alias("time")).agg(F.sum(event).alias("d"), F.sum(event * F.col("_one")).alias("d1"), F.count("*").cast("double").alias("c"), F.sum("_one").alias("c1"))
     risk = at.withColumns({"n": F.sum("c").over(descending([])), "n1": F.sum("c1").over(descending([]))})
     pooled = F.product(1 - F.col("d") / F.col("n")).over(ascending([])) / F.when(F.col("d") < F.col("n"), 1 - F.col("d") / F.col("n"))
-    risk = risk.withColumn("w", F.pow(F.coalesce(pooled, F.lit(0.0)), F.lit(rho)) if rho else F.lit(1.0))
+    before = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(pooled, F.lit(0.0))))
+    risk = risk.withColumn("w", F.pow(before, F.lit(rho)) * F.pow(1 - before, F.lit(gamma)) if rho or gamma else F.lit(1.0))
     expected = F.col("d") * F.col("n1") / F.col("n")
     variance = F.when(F.col("n") > 1, expected * (1 - F.col("n1") / F.col("n")) * (F.col("n") - F.col("d")) / (F.col("n") - 1)).otherwise(0.0)
     sums = risk.agg(F.sum(F.col("w") * F.col("d1")).alias("observed"), F.sum(F.col("w") * expected).alias("expected"), F.sum(F.col("w") * F.col("w") * variance).alias("variance"))
     return sums.withColumn("chi_square", F.try_divide((F.col("observed") - F.col("expected")) * (F.col("observed") - F.col("expected")), "variance"))
+
+
+def risk_difference(df: DataFrame, *, time: str, status: str, group: str, horizon: float) -> DataFrame:
+    """One row: survival at the horizon in the larger group value less that in the smaller, its error, number needed to treat.
+
+    ``group`` has two values; a group without times up to the horizon has survival 1.
+    """
+    km = kaplan_meier(df.where(F.col(group).isNotNull()), time=time, status=status, keys=[group])
+    until = F.max(F.when(F.col("time") <= horizon, F.struct("time", "survival", "std_err")))
+    at = km.groupBy(group).agg(until.alias("e")).select(group, F.coalesce("e.survival", F.lit(1.0)).alias("s"), F.coalesce("e.std_err", F.lit(0.0)).alias("se"))
+    both = at.agg(F.max_by("s", group).alias("high"), F.min_by("s", group).alias("low"), F.sqrt(F.sum(F.col("se") * F.col("se"))).alias("std_err"))
+    return both.withColumn("difference", F.col("high") - F.col("low")).withColumn("nnt", F.try_divide(F.lit(1.0), F.abs("difference"))).select("low", "high", "difference", "std_err", "nnt")

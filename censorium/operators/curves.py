@@ -66,3 +66,18 @@ def cumulative_incidence(df: DataFrame, *, time: str, cause: str, keys: Sequence
     joined = by_cause.join(before, [*keys, "time"])
     step = F.col("before") * F.col("n_event") / F.col("n_risk")
     return joined.withColumn("incidence", F.sum(step).over(Window.partitionBy(*keys, "cause").orderBy("time").rowsBetween(Window.unboundedPreceding, 0))).select(*keys, "time", "cause", "n_event", "n_risk", "incidence")
+
+
+def landmark(df: DataFrame, *, time: str, at: float) -> DataFrame:
+    """Rows still under observation after the landmark, with the clock set to zero there."""
+    return df.where(F.col(time) > at).withColumn(time, F.col(time) - at)
+
+
+def conditional_survival(df: DataFrame, *, time: str, status: str, given: float, target: float, keys: Sequence[str] = ()) -> DataFrame:
+    """Survival at ``target`` of those who survived ``given``, per group; null where nobody did."""
+    if target < given:
+        raise ValueError("target is before given")
+    at = lambda t: F.coalesce(F.min(F.when(F.col("time") <= t, F.col("survival"))), F.lit(1.0))
+    km = kaplan_meier(df, time=time, status=status, keys=keys)
+    both = km.groupBy(*keys).agg(at(given).alias("_g"), at(target).alias("_t"))
+    return both.select(*keys, F.try_divide("_t", "_g").alias("survival"))

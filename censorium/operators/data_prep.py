@@ -46,3 +46,27 @@ def person_time(df: DataFrame, *, time: str, status: str, keys: Sequence[str]) -
     """Events, person-time and rate by group."""
     out = df.groupBy(*keys).agg(F.count("*").alias("n"), F.sum((F.col(status) != 0).cast("double")).alias("events"), F.sum(F.col(time).cast("double")).alias("person_time"))
     return out.withColumn("rate", F.try_divide("events", "person_time"))
+
+
+def condense(df: DataFrame, *, key: str, start: str, stop: str, event: str, same: Sequence[str] = ()) -> DataFrame:
+    """Touching (start, stop] rows of a key become one as long as no event ends them and the columns ``same`` agree."""
+    w = Window.partitionBy(key).orderBy(start, stop, event, *same)
+    touches = F.lag(stop).over(w).eqNullSafe(F.col(start)) & (F.lag(event).over(w) == 0)
+    for c in same:
+        touches = touches & F.lag(c).over(w).eqNullSafe(F.col(c))
+    new = df.withColumn("_new", F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1))
+    runs = new.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(key, "_run", *same).agg(F.min(start).alias(start), F.max(stop).alias(stop), F.max(event).alias(event)).drop("_run")
+
+
+def snap_times(df: DataFrame, *, time: str, tolerance: float) -> DataFrame:
+    """Times whose gap to the next smaller one is at most ``tolerance`` take the smallest of their run.
+
+    The window runs over distinct times only.
+    """
+    w = Window.orderBy(time)
+    distinct = df.select(time).where(F.col(time).isNotNull()).distinct()
+    gap = F.col(time) - F.lag(time).over(w)
+    runs = distinct.withColumn("_new", F.when(gap <= tolerance, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    snapped = runs.withColumn("_snapped", F.min(time).over(Window.partitionBy("_run"))).select(time, "_snapped")
+    return df.join(snapped, time, "left").withColumn(time, F.col("_snapped")).drop("_snapped").select(df.columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,55 @@ def population_stability(reference: DataFrame, current: DataFrame, *, column: st
     totals = counts.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
     shares = counts.crossJoin(F.broadcast(totals)).select(F.greatest(F.col("r") / F.col("nr"), F.lit(floor)).alias("p"), F.greatest(F.col("c") / F.col("nc"), F.lit(floor)).alias("q"))  # one row of totals
     return shares.agg(F.sum((F.col("q") - F.col("p")) * F.log(F.col("q") / F.col("p"))).alias("psi"))
+
+
+def kolmogorov_smirnov(reference: DataFrame, current: DataFrame, *, column: str) -> DataFrame:
+    """Largest gap of the two distribution functions; the window runs over distinct values."""
+    side = lambda df, r: df.where(F.col(column).isNotNull()).select(F.col(column).alias("v"), F.lit(r).alias("r"), F.lit(1 - r).alias("c"))
+    at = side(reference, 1).union(side(current, 0)).groupBy("v").agg(F.sum("r").alias("r"), F.sum("c").alias("c"))
+    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    run = at.select(F.sum("r").over(w).alias("r"), F.sum("c").over(w).alias("c"))
+    totals = at.agg(F.sum("r").alias("nr"), F.sum("c").alias("nc"))
+    return run.crossJoin(F.broadcast(totals)).agg(F.max(F.abs(F.try_divide("r", "nr") - F.try_divide("c", "nc"))).alias("ks"))  # one row of totals
+
+
+def concordance(df: DataFrame, *, time: str, status: str, risk: str) -> DataFrame:
+    """Harrell's C: one row of concordant, discordant and risk-tied pairs, and the index; exact.
+
+    A pair counts if one has an event and the other is later, or censored at the same time.
+    No pair is made: two different ranks agree down to one binary digit and differ in it, so
+    for each digit rows are added up by (higher digits, time), and a running sum over
+    later times counts the pairs that part at that digit.  Rows with a null drop out.
+    """
+    rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull() & F.col(risk).isNotNull()).groupBy(F.col(time).cast("double").alias("time"), F.col(risk).cast("double").alias("risk")).agg(F.sum((F.col(status) != 0).cast("long")).alias("e"), F.count("*").alias("n"))
+    ranks = rows.select("risk").distinct().withColumn("rank", F.row_number().over(Window.orderBy("risk")) - 1)
+    digits = max(1, ((ranks.agg(F.max("rank")).first()[0] or 0)).bit_length())
+    ranked = rows.join(ranks, "risk")
+    later = Window.partitionBy("digit", "prefix").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1)
+    # digit -1: equal ranks
+    parts = ranked.select("time", "e", "n", "rank", F.explode(F.sequence(F.lit(-1), F.lit(digits - 1))).alias("digit"))
+    bit = F.when(F.col("digit") < 0, F.lit(0)).otherwise(F.getbit("rank", F.greatest("digit", F.lit(0))))
+    at = parts.withColumn("bit", bit).groupBy("digit", F.expr("shiftright(rank, digit + 1)").alias("prefix"), "time").agg(*(F.sum(F.when(F.col("bit") == b, F.col(c)).otherwise(0)).alias(f"{c}{b}") for c in "en" for b in (0, 1)))
+    beyond = lambda b: F.coalesce(F.sum(f"n{b}").over(later), F.lit(0)) + F.col(f"n{b}") - F.col(f"e{b}")
+    counted = at.select("digit", F.when(F.col("digit") >= 0, F.col("e1") * beyond(0)).otherwise(0).alias("up"), F.when(F.col("digit") >= 0, F.col("e0") * beyond(1)).otherwise(0).alias("down"), F.when(F.col("digit") < 0, F.col("e0") * beyond(0)).otherwise(0).alias("same"))
+    sums = counted.agg(F.sum("up").alias("concordant"), F.sum("down").alias("discordant"), F.sum("same").alias("tied_risk"))
+    return sums.withColumn("c_index", F.try_divide(F.col("concordant") + F.col("tied_risk") / 2, F.col("concordant") + F.col("discordant") + F.col("tied_risk")))
+
+
+def pooled_effect(df: DataFrame, *, effect: str, std_err: str) -> DataFrame:
+    """One row of fixed and random effects (DerSimonian–Laird), Q, tau squared and I squared over studies.
+
+    Studies with a null or an error that isn't positive drop out.
+    """
+    e, w = F.col(effect).cast("double"), 1 / (F.col(std_err) * F.col(std_err))
+    rows = df.where(F.col(effect).isNotNull() & (F.col(std_err) > 0)).select(e.alias("e"), w.alias("w"))
+    first = rows.agg(F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sww"), F.sum(F.col("w") * F.col("e")).alias("swe"), F.count("*").alias("k"))
+    fixed = first.withColumn("fixed", F.try_divide("swe", "sw"))
+    beside = rows.crossJoin(F.broadcast(fixed))  # one row
+    gap = F.col("e") - F.col("fixed")
+    q = fixed.crossJoin(F.broadcast(beside.agg(F.sum(F.col("w") * gap * gap).alias("q"))))
+    tau2 = F.coalesce(F.greatest(F.lit(0.0), F.try_divide(F.col("q") - (F.col("k") - 1), F.col("sw") - F.col("sww") / F.col("sw"))), F.lit(0.0))
+    known = q.withColumn("tau2", tau2).withColumn("i2", F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q") - (F.col("k") - 1), "q"), F.lit(0.0))))
+    v = 1 / (1 / F.col("w") + F.col("tau2"))
+    random = rows.crossJoin(F.broadcast(known.select("tau2"))).agg((F.sum(v * F.col("e")) / F.sum(v)).alias("random"), F.sqrt(1 / F.sum(v)).alias("random_std_err"))
+    return known.crossJoin(F.broadcast(random)).select("k", "fixed", F.sqrt(1 / F.col("sw")).alias("fixed_std_err"), "q", "tau2", "i2", "random", "random_std_err")

@@ -95,6 +95,46 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.population_stability(rows.where("event_type = 'purchase'"), rows.where("event_type = 'signup'"), column="value", low=0.0, high=500.0).select(*_r("psi"))
 
 
+def fh_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.logrank(_lines(spark, sf_dir), group="l_linestatus", rho=0.5, gamma=0.5, **Q).select(*_r("observed", "expected", "variance", "chi_square"))
+
+
+def nnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.risk_difference(_lines(spark, sf_dir), group="l_linestatus", horizon=25.0, **Q).select(*_r("low", "high", "difference", "std_err"))
+
+
+def after_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = curves.landmark(_lines(spark, sf_dir), time="l_quantity", at=20.0)
+    return curves.kaplan_meier(rows, **Q).select("time", "n_risk", "n_event", *_r("survival"))
+
+
+def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curves.conditional_survival(_lines(spark, sf_dir), keys=["l_linestatus"], given=10.0, target=30.0, **Q).select("l_linestatus", *_r("survival"))
+
+
+def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", (F.col("l_linenumber") - 1).alias("start"), F.col("l_linenumber").alias("stop"), (F.col("l_returnflag") == "R").cast("int").alias("event"))
+    return data_prep.condense(rows, key="l_orderkey", start="start", stop="stop", event="event")
+
+
+def snapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return data_prep.snap_times(_events(spark, sf_dir), time="value", tolerance=0.02).groupBy("value").agg(F.count("*").alias("n"))
+
+
+def drift_ks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _events(spark, sf_dir)
+    return metrics.kolmogorov_smirnov(rows.where("event_type = 'purchase'"), rows.where("event_type = 'signup'"), column="value").select(*_r("ks"))
+
+
+def c_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.concordance(_lines(spark, sf_dir), risk="l_discount", **Q).select("concordant", "discordant", "tied_risk", *_r("c_index"))
+
+
+def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    studies = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_suppkey").agg(F.avg("l_discount").alias("effect"), (F.stddev_samp("l_discount") / F.sqrt(F.count("*"))).alias("se"))
+    return metrics.pooled_effect(studies, effect="effect", std_err="se").select("k", *_r("fixed", "fixed_std_err", "q", "tau2", "i2", "random", "random_std_err"))
+
+
 _CELLS = """
 cells as (select l_linestatus, l_quantity as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) as double) as c from lineitem group by all),
 risk as (select *, sum(c) over (partition by l_linestatus order by time desc) as n from cells),
@@ -129,11 +169,36 @@ SQL = {
     "drift": """with b as (select cast(greatest(0, least(9, floor(value / 500 * 10))) as integer) as bin, event_type from events where value is not null),
         c as (select bin, count(*) filter (event_type = 'purchase') as r, count(*) filter (event_type = 'signup') as c from b where event_type in ('purchase', 'signup') group by 1),
         s as (select greatest(r / (sum(r) over ()), 1e-4) as p, greatest(c / (sum(c) over ()), 1e-4) as q from c) select round(sum((q - p) * ln(q / p)), 6) as psi from s""",
+    "fh_test": """with c as (select l_quantity as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) filter (l_returnflag = 'R' and l_linestatus = 'O') as double) as d1, cast(count(*) as double) as c, cast(count(*) filter (l_linestatus = 'O') as double) as c1 from lineitem group by 1),
+        r as (select *, sum(c) over (order by time desc) as n, sum(c1) over (order by time desc) as n1 from c), k as (select *, product(1 - d / n) over (order by time) as s from r),
+        b as (select *, coalesce(lag(s) over (order by time), 1.0) as b from k), g as (select *, sqrt(b) * sqrt(1 - b) as w from b),
+        s as (select sum(w * d1) as observed, sum(w * d * n1 / n) as expected, sum(case when n > 1 then w * w * d * n1 / n * (1 - n1 / n) * (n - d) / (n - 1) else 0 end) as variance from g)
+        select round(observed, 6) as observed, round(expected, 6) as expected, round(variance, 6) as variance, round((observed - expected) ** 2 / variance, 6) as chi_square from s""",
+    "nnt": f"with {_CELLS}, e as (select l_linestatus, arg_max(s, time) as s, arg_max(s * sqrt(coalesce(g, 0)), time) as se from km where time <= 25 group by 1) select round(min(s) filter (l_linestatus = 'F'), 6) as low, round(min(s) filter (l_linestatus = 'O'), 6) as high, round(min(s) filter (l_linestatus = 'O') - min(s) filter (l_linestatus = 'F'), 6) as difference, round(sqrt(sum(se * se)), 6) as std_err from e",
+    "after_landmark": """with c as (select l_quantity - 20 as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) as double) as c from lineitem where l_quantity > 20 group by 1),
+        r as (select *, sum(c) over (order by time desc) as n from c) select time, n as n_risk, d as n_event, round(product(1 - d / n) over (order by time), 6) as survival from r""",
+    "conditional": f"with {_CELLS} select l_linestatus, round(min(s) filter (time <= 30) / min(s) filter (time <= 10), 6) as survival from km group by 1",
+    "condensed": """with e as (select l_orderkey, l_linenumber - 1 as start, l_linenumber as stop, case when l_returnflag = 'R' then 1 else 0 end as event from lineitem),
+        n as (select *, case when lag(stop) over w = start and lag(event) over w = 0 then 0 else 1 end as fresh from e window w as (partition by l_orderkey order by start, stop, event)),
+        r as (select *, sum(fresh) over (partition by l_orderkey order by start, stop, event rows unbounded preceding) as run from n)
+        select l_orderkey, cast(min(start) as integer) as start, cast(max(stop) as integer) as stop, cast(max(event) as integer) as event from r group by l_orderkey, run""",
+    "snapped": """with v as (select value, count(*) as n from events where value is not null group by 1), f as (select *, case when value - lag(value) over (order by value) <= 0.02 then 0 else 1 end as fresh from v),
+        r as (select *, sum(fresh) over (order by value) as run from f) select min(value) as value, cast(sum(n) as bigint) as n from r group by run union all select null, count(*) from events where value is null having count(*) > 0""",
+    "drift_ks": """with v as (select value, count(*) filter (event_type = 'purchase') as r, count(*) filter (event_type = 'signup') as c from events where value is not null and event_type in ('purchase', 'signup') group by 1),
+        s as (select sum(r) over (order by value) / sum(r) over () as p, sum(c) over (order by value) / sum(c) over () as q from v) select round(max(abs(p - q)), 6) as ks from s""",
+    "c_index": """with c as (select l_quantity as t, l_discount as x, count(*) as n, count(*) filter (l_returnflag = 'R') as e from lineitem group by 1, 2),
+        p as (select a.e * case when b.t > a.t then b.n else b.n - b.e end as k, a.x as x, b.x as y from c a join c b on b.t >= a.t where a.e > 0),
+        s as (select sum(case when x > y then k else 0 end) as u, sum(case when x < y then k else 0 end) as d, sum(case when x = y then k else 0 end) as s from p)
+        select cast(u as bigint) as concordant, cast(d as bigint) as discordant, cast(s as bigint) as tied_risk, round((u + s / 2) / (u + d + s), 6) as c_index from s""",
+    "meta": """with g as (select avg(l_discount) as e, stddev_samp(l_discount) / sqrt(count(*)) as se from lineitem group by l_suppkey), r as (select e, 1 / (se * se) as w from g where se > 0),
+        f as (select count(*) as k, sum(w) as sw, sum(w * w) as sww, sum(w * e) / sum(w) as fixed from r), q as (select sum(w * (e - fixed) ** 2) as q from r, f),
+        t as (select *, greatest(0, (q - (k - 1)) / (sw - sww / sw)) as tau2, greatest(0, (q - (k - 1)) / q) as i2 from f, q), v as (select e, 1 / (1 / w + tau2) as v from r, t), z as (select sum(v * e) / sum(v) as random, sqrt(1 / sum(v)) as random_std_err from v)
+        select k, round(fixed, 6) as fixed, round(sqrt(1 / sw), 6) as fixed_std_err, round(q, 6) as q, round(tau2, 6) as tau2, round(i2, 6) as i2, round(random, 6) as random, round(random_std_err, 6) as random_std_err from t, z""",
 }
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [km_by_group, na_by_group, km_median, km_rmst, actuarial, incidence, logrank_test, split_episodes, last_signup, type_changes, rates, brier, calibration, drift]
+    found = [km_by_group, na_by_group, km_median, km_rmst, actuarial, incidence, logrank_test, split_episodes, last_signup, type_changes, rates, brier, calibration, drift, fh_test, nnt, after_landmark, conditional, condensed, snapped, drift_ks, c_index, meta]
     return {f.__name__: f for f in found}
 
 

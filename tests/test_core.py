@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from censorium.operators import compare, cox, curves, data_prep
+from censorium.operators import compare, cox, curves, data_prep, metrics
 from censorium.plans import registry
 from censorium.streaming.counts import curve_of_cells, streaming_cells
 
@@ -46,6 +46,28 @@ def test_cox(aml):
     assert fit.log_likelihood == pytest.approx(-41.25011435, abs=1e-7)
 
 
+def test_concordance(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [(draw.randint(1, 9), draw.randint(0, 1), draw.choice([-1.5, 0.0, 0.25, 2.0, 7.0])) for _ in range(80)] + [(None, 1, 0.0), (3, 1, None)]
+    want = [0, 0, 0]
+    whole = [r for r in rows if None not in r]
+    for i, (t, s, x) in enumerate(whole):
+        for j, (u, r, y) in enumerate(whole):
+            if i != j and s and (u > t or (u == t and not r)):
+                want[0 if x > y else 1 if x < y else 2] += 1
+    got = metrics.concordance(spark.createDataFrame(rows, "t int, s int, x double"), time="t", status="s", risk="x").first()
+    assert [got["concordant"], got["discordant"], got["tied_risk"]] == want
+    empty = metrics.concordance(spark.createDataFrame([], "t int, s int, x double"), time="t", status="s", risk="x").first()
+    assert empty["c_index"] is None
+
+
+def test_condense(spark):
+    rows = spark.createDataFrame([(1, 0, 2, 0), (1, 2, 5, 0), (1, 5, 6, 1), (1, 6, 7, 0), (1, 8, 9, 0), (2, 0, 1, 0)], "k int, a int, b int, e int")
+    assert sorted(tuple(r) for r in data_prep.condense(rows, key="k", start="a", stop="b", event="e").collect()) == [(1, 0, 6, 1), (1, 6, 7, 0), (1, 8, 9, 0), (2, 0, 1, 0)]
+
+
 def test_carry_forward(spark):
     rows = spark.createDataFrame([(1, 1, 5.0), (1, 2, None), (2, 1, None)], "k int, t int, v double")
     assert sorted(tuple(r) for r in data_prep.carry_forward(rows, key="k", time="t", value="v").collect() if r["v"] is not None) == [(1, 1, 5.0), (1, 2, 5.0)]
