@@ -49,13 +49,18 @@ def person_time(df: DataFrame, *, time: str, status: str, keys: Sequence[str]) -
 
 
 def condense(df: DataFrame, *, key: str, start: str, stop: str, event: str, same: Sequence[str] = ()) -> DataFrame:
-    """Touching (start, stop] rows of a key become one as long as no event ends them and the columns ``same`` agree."""
+    """Touching (start, stop] rows of a key become one as long as no event ends them and the columns ``same`` agree.
+
+    Of equal rows only the first touches the row before.
+    """
     w = Window.partitionBy(key).orderBy(start, stop, event, *same)
     touches = F.lag(stop).over(w).eqNullSafe(F.col(start)) & (F.lag(event).over(w) == 0)
     for c in same:
         touches = touches & F.lag(c).over(w).eqNullSafe(F.col(c))
     new = df.withColumn("_new", F.when(F.coalesce(touches, F.lit(False)), 0).otherwise(1))
-    runs = new.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # of equal rows the one that touches comes first, in this sort too
+    order = Window.partitionBy(key).orderBy(start, stop, event, *same, "_new").rowsBetween(Window.unboundedPreceding, 0)
+    runs = new.withColumn("_run", F.sum("_new").over(order))
     return runs.groupBy(key, "_run", *same).agg(F.min(start).alias(start), F.max(stop).alias(stop), F.max(event).alias(event)).drop("_run")
 
 

@@ -180,7 +180,7 @@ SQL = {
     "conditional": f"with {_CELLS} select l_linestatus, round(min(s) filter (time <= 30) / min(s) filter (time <= 10), 6) as survival from km group by 1",
     "condensed": """with e as (select l_orderkey, l_linenumber - 1 as start, l_linenumber as stop, case when l_returnflag = 'R' then 1 else 0 end as event from lineitem),
         n as (select *, case when lag(stop) over w = start and lag(event) over w = 0 then 0 else 1 end as fresh from e window w as (partition by l_orderkey order by start, stop, event)),
-        r as (select *, sum(fresh) over (partition by l_orderkey order by start, stop, event rows unbounded preceding) as run from n)
+        r as (select *, sum(fresh) over (partition by l_orderkey order by start, stop, event, fresh rows unbounded preceding) as run from n)
         select l_orderkey, cast(min(start) as integer) as start, cast(max(stop) as integer) as stop, cast(max(event) as integer) as event from r group by l_orderkey, run""",
     "snapped": """with v as (select value, count(*) as n from events where value is not null group by 1), f as (select *, case when value - lag(value) over (order by value) <= 0.02 then 0 else 1 end as fresh from v),
         r as (select *, sum(fresh) over (order by value) as run from f) select min(value) as value, cast(sum(n) as bigint) as n from r group by run union all select null, count(*) from events where value is null having count(*) > 0""",
