@@ -47,6 +47,8 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 FREQUENT = 1 << 15
 #: Longest list that is one block; sets of a longer list that are compared with the rest in the first round.
 BLOCK, PIVOTS = 256, 64
+#: Sets of a longer list that one task compares with the rest of it.
+PART = 4096
 #: Smallest hashes that go ahead of a whole set.
 LOW = 64
 #: Class ids that are sent to all executors at most.
@@ -251,16 +253,23 @@ def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
         named = named.withColumnsRenamed({"n": "_n", "shared": "_s"})
         heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("_n", "class")).alias("p")).where("low != high").drop("low", "high")
-        # of a long list the smallest set and a share drawn by hash go first: few at first, more once those left are known to be far apart
-        share = F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn else F.lit(0)) / F.col("size")
+        # of a long list the smallest set and a share drawn by hash go first: few at first, and all once those left are known to be far apart
+        share = F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn == 1 else F.col("size") if turn else F.lit(0)) / F.col("size")
         drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 32)) < share * (1 << 32)
-        open_lists = saved(named.join(heads, "token").withColumn("pivot", (F.col("size") > BLOCK) & (drawn | (F.col("class") == F.col("p.class")))), "open")
+        # a set that shares too little for even the smallest set of its list leaves the list
+        able = (100 + percent) * F.col("_s") >= percent * (F.col("_n") + F.col("p._n"))
+        open_lists = saved(named.join(heads, "token").where(able).withColumn("pivot", (F.col("size") > BLOCK) & (drawn | (F.col("class") == F.col("p.class")))), "open")
         if open_lists.isEmpty():
             return roots
         short, long = open_lists.where(F.col("size") <= BLOCK), open_lists.where(F.col("size") > BLOCK)
-        side = lambda rows, x: rows.select("token", F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r"))
+        side = lambda rows, x, *more: rows.select("token", *more, F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r"))
         apart = (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")
-        stars = side(long.where("pivot"), "a").join(side(long, "b"), "token").where((F.col("a") != F.col("b")) & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        # pivots in parts of at most about PART sets, so that no task compares a whole long list with itself
+        parts = F.ceil(F.col("size") * share / PART).cast("int")
+        heading = side(long.where("pivot"), "a", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
+        others = side(long, "b", "pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+        once = F.when(F.col("pivot"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+        stars = heading.join(others, ["token", "part"]).where(once & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         inside = side(short, "a").join(side(short, "b"), "token").where((F.col("a") < F.col("b")) & apart).select("a", "b")
         found = saved(verified(stars.union(inside).distinct(), sets, percent), "links")
         lists = saved(long.where("not pivot").select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")

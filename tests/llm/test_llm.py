@@ -212,6 +212,17 @@ def test_jaccard_join(spark, docs, rows, empty):
     assert collections.Counter(tuple(r) for r in jaccard_join.similar_components(table).collect()) == links(many)
 
 
+def test_jaccard_join_long_lists(spark, monkeypatch):
+    """Lists longer than a block, of sets that are alike, nearly alike and unlike, over several rounds and parts."""
+    for name, value in {"BLOCK": 6, "PIVOTS": 2, "PART": 4}.items():
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = np.random.default_rng(21)
+    passage, tails = prose(rng, 50), [prose(rng, int(n)) for n in rng.integers(2, 9, 12)]
+    rows = [(i, " ".join((tails[i % 12], passage, tails[i % 11], "z%d" % (i % 7)))) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert collections.Counter(tuple(r) for r in jaccard_join.similar_components(table).collect()) == links(rows)
+
+
 def test_warc(spark, tmp_path):
     big, other = "<p>é" + "x" * 1200, "y" * 2000
     pages = [(1, "u1", big), (5, "u\n5", big), (3, None, big), (4, "u4", other), (7, "u7", None), (8, "u8", "s"), (9, "u9", "s"), (10, "", "WARC/1.1\r\n\r\nhello")]
