@@ -15,8 +15,8 @@ Plan (no step sees all pairs of a group, and nothing is capped):
 5. Set relations skip work: once a set is known to be highly similar to another, its answers
    are taken over from it: a list whose sets are all in one component is done, and no pair
    inside a component is compared.  The rest goes to the next round.
-6. A candidate must pass the size filter, sharpened by how many shingles each set has for
-   itself, then a bound from the 64 smallest hashes of both sets (exact: they can't differ more
+6. A candidate must pass the size filter and, as every list is tried as the first that two sets
+   have in common, a filter by position: both need enough shingles from that one on.  Then a bound from the 64 smallest hashes of both sets (exact: they can't differ more
    than the whole sets may), then whole sets decide.
 
 Shingles and classes are told apart by 64-bit hashes.
@@ -128,7 +128,10 @@ def _levels(rows: pa.Table) -> pa.Table:
 
 
 def _prefixes(percent: int, words: int, bits: int):
-    """Index entries (list, class, n, shared, frequent) of a block's representatives."""
+    """Index entries (list, class, n, shared, frequent) of a block's representatives.
+
+    ``shared``: how many shingles the set has from this one on, in the common order.
+    """
     often = 1 + int(math.log2(FREQUENT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,11 +153,11 @@ def _prefixes(percent: int, words: int, bits: int):
                     order = np.argsort(lev, kind="stable")[own : spare + 1]
                     size = int(math.log(n) / math.log(100 / percent) + 1e-9)
                     for k in (size, size - 1):
-                        out.append((mix(x[order] + np.uint64((k + 2) * 0x9E3779B97F4A7C15 % 2**64)), c, n, n - own, lev[order] > often))
+                        out.append((mix(x[order] + np.uint64((k + 2) * 0x9E3779B97F4A7C15 % 2**64)), c, n, n - own - np.arange(len(order)), lev[order] > often))
                 counts = [len(x[0]) for x in out]
                 join = lambda j, kind: np.concatenate([x[j] for x in out]) if out else np.zeros(0, dtype=kind)
                 many = lambda j, kind: np.repeat(np.array([x[j] for x in out], dtype=kind), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(join(0, np.uint64).view(np.int64)), pa.array(many(1, np.int64)), pa.array(many(2, np.int32)), pa.array(many(3, np.int32)), pa.array(join(4, bool))], names=["token", "class", "n", "shared", "frequent"])
+                yield pa.RecordBatch.from_arrays([pa.array(join(0, np.uint64).view(np.int64)), pa.array(many(1, np.int64)), pa.array(many(2, np.int32)), pa.array(join(3, np.int64).astype(np.int32)), pa.array(join(4, bool))], names=["token", "class", "n", "shared", "frequent"])
 
     return run
 
@@ -240,7 +243,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _possible(percent: int, a: str, b: str) -> F.Column:
-    """Sizes and shared shingles of two sets allow the similarity."""
+    """Sizes of two sets, and what both have from this shingle on, allow the similarity if they share no earlier one."""
     return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & ((100 + percent) * F.least(f"{a}s", f"{b}s") >= percent * (F.col(f"{a}n") + F.col(f"{b}n")))
 
 
@@ -256,7 +259,7 @@ def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         # of a long list the smallest set and a share drawn by hash go first: few at first, and all once those left are known to be far apart
         share = F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn == 1 else F.col("size") if turn else F.lit(0)) / F.col("size")
         drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 32)) < share * (1 << 32)
-        # a set that shares too little for even the smallest set of its list leaves the list
+        # a set that has too little from this shingle on for even the smallest set of its list leaves the list
         able = (100 + percent) * F.col("_s") >= percent * (F.col("_n") + F.col("p._n"))
         open_lists = saved(named.join(heads, "token").where(able).withColumn("pivot", (F.col("size") > BLOCK) & (drawn | (F.col("class") == F.col("p.class")))), "open")
         if open_lists.isEmpty():
