@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +95,16 @@ def _keys(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return flat >> np.uint64(32 - bits)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """An array as compressed byte planes."""
+    return zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+
+
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 ENTRIES = "bucket int, block long, keys binary, counts binary"
 LEVELS = "block long, bucket int, levels binary"
 
@@ -107,16 +118,19 @@ def _sent(words: int, bits: int):
                 keys, counts = np.unique(_keys(_block_sets(batch.column(1)[i].values, batch.column(2)[i].as_py(), words), bits), return_counts=True)
                 edges = np.searchsorted(keys >> np.uint64(32), np.arange((1 << bits) + 1, dtype=np.uint64))
                 full = [j for j in range(1 << bits) if edges[j] < edges[j + 1]]
-                cut = lambda x: pa.array([x[edges[j] : edges[j + 1]].tobytes() for j in full], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(full), pa.int64()), cut(keys.astype("<u4")), cut(np.minimum(counts, 65535).astype("<u2"))], names=["bucket", "block", "keys", "counts"])
+                parts = [slice(edges[j], edges[j + 1]) for j in full]
+                low, few = keys.astype("<u4"), np.minimum(counts, 65535).astype("<u2")
+                # sorted keys as their differences
+                gaps, few = pa.array([_packed(np.diff(low[x], prepend=np.uint32(0))) for x in parts], pa.binary()), pa.array([_packed(few[x]) for x in parts], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([batch.column(0)[i].as_py()] * len(full), pa.int64()), gaps, few], names=["bucket", "block", "keys", "counts"])
 
     return run
 
 
 def _levels(rows: pa.Table) -> pa.Table:
     """For every block the level of each of its keys: 0 for one class, else 1 + log2 of their number."""
-    keys = [np.frombuffer(x.as_py(), dtype="<u4") for x in rows.column("keys")]
-    counts = [np.frombuffer(x.as_py(), dtype="<u2") for x in rows.column("counts")]
+    keys = [np.cumsum(_unpacked(x.as_py(), "<u4"), dtype=np.uint32) for x in rows.column("keys")]
+    counts = [_unpacked(x.as_py(), "<u2") for x in rows.column("counts")]
     flat, weight = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     order = np.argsort(flat, kind="stable")
     new = np.concatenate(([True], flat[order][1:] != flat[order][:-1]))
@@ -124,7 +138,7 @@ def _levels(rows: pa.Table) -> pa.Table:
     level = np.empty(len(flat), dtype=np.uint8)
     level[order] = np.where(sums == 1, 0, 1 + np.log2(sums)).astype(np.uint8)[np.cumsum(new) - 1]
     ends = np.cumsum([len(k) for k in keys])
-    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "levels": pa.array([level[e - len(k) : e].tobytes() for k, e in zip(keys, ends, strict=True)], pa.binary())})
+    return pa.table({"block": rows.column("block"), "bucket": rows.column("bucket"), "levels": pa.array([_packed(level[e - len(k) : e]) for k, e in zip(keys, ends, strict=True)], pa.binary())})
 
 
 def _prefixes(percent: int, words: int, bits: int):
@@ -141,7 +155,7 @@ def _prefixes(percent: int, words: int, bits: int):
                 sets = _block_sets(batch.column(1)[i].values, at, words)
                 keys, of = np.unique(_keys(sets, bits), return_inverse=True)
                 reply = sorted(batch.column(4)[i].as_py() or [], key=lambda x: x["bucket"])
-                level = np.frombuffer(b"".join(x["levels"] for x in reply), dtype=np.uint8)[of] if len(keys) else np.zeros(0, dtype=np.uint8)
+                level = np.concatenate([_unpacked(x["levels"], "u1") for x in reply])[of] if len(keys) else np.zeros(0, dtype=np.uint8)
                 classes = batch.column(3)[i].as_py()
                 ends = np.cumsum([len(x) for x in sets])
                 out = []
