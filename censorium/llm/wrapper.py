@@ -3,8 +3,8 @@
 Pages of a host share a template.  Each page becomes a tree of elements in which runs of
 like siblings are one node; per host, one page's tree is the reference, and every page's tree
 is aligned with it by simple tree matching (the largest order-preserving match of equal
-nodes).  A text slot whose content is the same on all the pages that differ elsewhere belongs
-to the template; slots that vary are content.  Within the article (or else the main part, or
+nodes).  A content that a text slot has on SUPPORT different pages at least, and on more than half
+of those with text there, belongs to the template and goes from the pages that have it; what else a slot holds is content.  Within the article (or else the main part, or
 the body), content outside of elements that the page itself marks as menu, header, footer,
 sidebar, notice, advert, form, script, style or comments is the text.
 
@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from censorium.llm.common import rows_are_few, saved, table
 
-#: Different pages of a host on which a slot must be the same to be template.
-SUPPORT = 5
+#: Different pages of a host on which a slot must be the same to be template, and the share of the pages with text in it that they must exceed.
+SUPPORT, SHARE = 5, 0.5
 #: Hosts whose wrappers are sent to all executors at most, and characters of a reference tree that may be one.
 BROADCAST_HOSTS, TREE_CHARS = 50_000, 20_000
 
@@ -166,6 +166,14 @@ def in_order(tree: Slots) -> list[Slots]:
     return out
 
 
+def slot_texts(nodes: list[Slots]) -> list[str]:
+    return ["\n".join(SPACE.sub(" ", t).strip() for t in s.texts) for s in nodes]
+
+
+def _digest(text: str) -> int | None:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None
+
+
 def _sizes(shape: list) -> int:
     return 1 + sum(map(_sizes, shape[2]))
 
@@ -306,9 +314,9 @@ def page_trees(pages: DataFrame) -> DataFrame:
             shapes, digests, whole = [], [], []
             for text in batch.column(1).to_pylist():
                 tree = collapse([parse(text or "")], {})
-                texts = ["\n".join(SPACE.sub(" ", t).strip() for t in s.texts) for s in in_order(tree)]
+                texts = slot_texts(in_order(tree))
                 shapes.append(json.dumps(tree.shape(), separators=(",", ":")))
-                digests.append([xxhash.xxh3_64_intdigest(t) - (1 << 63) if t else None for t in texts])
+                digests.append([_digest(t) for t in texts])
                 whole.append(xxhash.xxh3_64_intdigest("\0".join(texts)) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(whole, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], names=["host", "shape", "page", "slots"])
 
@@ -316,8 +324,10 @@ def page_trees(pages: DataFrame) -> DataFrame:
 
 
 def wrappers(pages: DataFrame, *, support: int = SUPPORT) -> DataFrame:
-    """``(host, reference, template)``: the reference tree and its nodes whose text is the same on all pages.
+    """``(host, reference, template)``: the reference tree, and nodes of it with the digest of their template text.
 
+    A digest is template if ``support`` different pages have it in that node, and more than SHARE of
+    the pages with text there; one page with another text changes nothing on the others.
     The reference is, of the host's trees, the one most pages have.  Only pages that differ in
     their text count, each once, so copies are no evidence.  Hosts without enough pages
     have an empty template.
@@ -338,9 +348,11 @@ def wrappers(pages: DataFrame, *, support: int = SUPPORT) -> DataFrame:
 
     few = rows_are_few(references, BROADCAST_HOSTS)
     joined = different.join(F.broadcast(references) if few else references, "host").select("host", "reference", "shape", "slots")
-    slots = joined.mapInArrow(align, "host string, node int, digest long").groupBy("host", "node").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
-    template = slots.where((F.col("n") >= support) & (F.col("low") == F.col("high"))).groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("template"))
-    return saved(references.join(template, "host", "left").select("host", "reference", F.coalesce("template", F.array().cast("array<int>")).alias("template")), "wrappers")
+    counts = joined.mapInArrow(align, "host string, node int, digest long").groupBy("host", "node", "digest").agg(F.count("*").alias("n"))
+    slots = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top"))
+    constant = slots.where((F.col("top.n") >= support) & (F.col("top.n") > SHARE * F.col("pages")))
+    template = constant.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("node", "top.digest"))).alias("template"))
+    return saved(references.join(template, "host", "left").select("host", "reference", F.coalesce("template", F.array().cast("array<struct<node:int,digest:long>>")).alias("template")), "wrappers")
 
 
 def extract(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -352,13 +364,14 @@ def extract(pages: DataFrame, found: DataFrame) -> DataFrame:
             for page, reference, template in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 root, slots = parse(page or ""), {}
                 tree = collapse([root], slots)
-                numbered = {id(s): i for i, s in enumerate(in_order(tree))}
+                nodes = in_order(tree)
+                numbered = {id(s): i for i, s in enumerate(nodes)}
                 keep = None
                 if reference and template:
                     shape = json.dumps(tree.shape(), separators=(",", ":"))
                     at = aligned(reference, shape) if len(shape) <= TREE_CHARS else ()
-                    constant = set(template)
-                    keep = {i for i in numbered.values() if i >= len(at) or at[i] not in constant}
+                    constant = {x["node"]: x["digest"] for x in template}
+                    keep = {i for i, t in enumerate(slot_texts(nodes)) if i >= len(at) or at[i] not in constant or _digest(t) != constant[at[i]]}
                 texts.append("\n\n".join(blocks_of(root, keep, slots, numbered)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 

@@ -120,6 +120,15 @@ def test_constant_slot_is_template(spark):
     assert got == {f"story {i}" for i in range(6)}
 
 
+def test_template_with_deviating_pages(spark):
+    """A page or two with another text keep nothing in the others, and lose nothing themselves."""
+    body = lambda i: f"<body><div><p>{'Log in again.' if i % 20 == 7 else 'Always the same words.'}</p></div><section>story {i}</section></body>"
+    for n in (10, 40):
+        pages = spark.createDataFrame([(i, "http://a.example", body(i)) for i in range(n)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in wrapper.main_text(pages).collect()}
+        assert got == {i: f"Log in again.\n\nstory {i}" if i % 20 == 7 else f"story {i}" for i in range(n)}
+
+
 def test_fingerprints(spark, docs, rows, empty):
     one = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
     found = collections.defaultdict(set)
