@@ -307,17 +307,18 @@ def host_of(url: Column) -> Column:
 
 
 def page_trees(pages: DataFrame) -> DataFrame:
-    """``(host, shape, page, slots)`` of each page: its tree in JSON, a digest of all its text, and digests of its slots in order."""
+    """``(host, shape, page, slots)`` of each page: its tree in JSON, a digest of its main part's text, and digests of its slots in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shapes, digests, whole = [], [], []
             for text in batch.column(1).to_pylist():
-                tree = collapse([parse(text or "")], {})
+                root, at = parse(text or ""), {}
+                tree = collapse([root], at)
                 texts = slot_texts(in_order(tree))
                 shapes.append(json.dumps(tree.shape(), separators=(",", ":")))
                 digests.append([_digest(t) for t in texts])
-                whole.append(xxhash.xxh3_64_intdigest("\0".join(texts)) - (1 << 63))
+                whole.append(xxhash.xxh3_64_intdigest("\0".join(blocks_of(root, None, at, {}))) - (1 << 63))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shapes, pa.string()), pa.array(whole, pa.int64()), pa.array(digests, pa.list_(pa.int64()))], names=["host", "shape", "page", "slots"])
 
     return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, shape string, page long, slots array<long>")
@@ -329,13 +330,13 @@ def wrappers(pages: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     A digest is template if ``support`` different pages have it in that node, and more than SHARE of
     the pages with text there; one page with another text changes nothing on the others.
     The reference is, of the host's trees, the one most pages have.  Only pages that differ in
-    their text count, each once, so copies are no evidence.  Hosts without enough pages
-    have an empty template.
+    the text of their main part count, for trees and texts, each once, so copies are no evidence, whatever
+    menus or adverts surround them.  Hosts without enough pages have an empty template.
     """
     trees = saved(page_trees(pages), "trees")
-    shapes = trees.where(F.length("shape") <= TREE_CHARS).groupBy("host", "shape").agg(F.count("*").alias("n"))
-    references = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("r")).select("host", F.col("r.shape").alias("reference"))
     different = trees.groupBy("host", "page").agg(F.min(F.struct("shape", "slots")).alias("x")).select("host", "x.*")
+    shapes = different.where(F.length("shape") <= TREE_CHARS).groupBy("host", "shape").agg(F.count("*").alias("n"))
+    references = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("r")).select("host", F.col("r.shape").alias("reference"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

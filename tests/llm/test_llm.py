@@ -129,6 +129,16 @@ def test_template_with_deviating_pages(spark):
         assert got == {i: f"Log in again.\n\nstory {i}" if i % 20 == 7 else f"story {i}" for i in range(n)}
 
 
+def test_copies_in_other_surroundings_are_no_evidence(spark):
+    """Copies of one article under different menus and adverts don't make its text template."""
+    page = lambda i, main: f"<body><nav>menu {i}</nav><article>{main}<aside>advert {i}</aside></article><footer>foot {i}</footer></body>"
+    copy = "<h1>One story</h1><p>Its text.</p><ul><li>a point</li></ul><table><tr><td>7</td></tr></table>"
+    pages = [(i, "http://copies.example", page(i, copy)) for i in range(9)] + [(20 + i, "http://mixed.example", page(i, copy if i < 9 else f"<h1>Story {i}</h1><p>text {i}</p>")) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    whole = "One story\n\nIts text.\n\na point\n\n7"
+    assert got == {i: whole for i in [*range(9), *range(20, 29)]} | {20 + i: f"Story {i}\n\ntext {i}" for i in range(9, 12)}
+
+
 def test_fingerprints(spark, docs, rows, empty):
     one = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
     found = collections.defaultdict(set)
