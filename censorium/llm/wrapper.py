@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import html
 import json
+import math
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,8 +35,10 @@ from censorium.llm.common import rows_are_few, saved, table
 
 #: Different pages of a host on which a slot must be the same to be template, and the share of the pages with text in it that they must exceed.
 SUPPORT, SHARE = 5, 0.5
-#: Hosts whose wrappers are sent to all executors at most, and characters of a reference tree that may be one.
-BROADCAST_HOSTS, TREE_CHARS = 50_000, 20_000
+#: Hosts whose wrappers are sent to all executors at most, and characters of all their reference trees; more are joined by host.
+BROADCAST_HOSTS, BROADCAST_CHARS = 50_000, 64 << 20
+#: Nodes of alignments that a Python worker keeps.
+CACHED_NODES = 2_000_000
 
 #: Element kinds of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -174,67 +179,128 @@ def _digest(text: str) -> int | None:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63) if text else None
 
 
-def _sizes(shape: list) -> int:
-    return 1 + sum(map(_sizes, shape[2]))
-
-
-@lru_cache(maxsize=20_000)
-def aligned(reference: str, page: str) -> tuple[int, ...]:
-    """Simple tree matching of two trees in JSON: for each node of the page, in order, the reference's node or -1."""
-    a, b = json.loads(reference), json.loads(page)
-    out = [-1] * _sizes(b)
-
-    @lru_cache(maxsize=None)
-    def child_starts(side: int, at: int) -> tuple[int, ...]:
-        shape, starts = nodes[side][at], []
-        nxt = at + 1
-        for c in shape[2]:
-            starts.append(nxt)
-            nxt += _sizes(c)
-        return tuple(starts)
-
-    nodes: list[list[list]] = [[], []]
-
-    def number(shape: list, into: list) -> None:
-        into.append(shape)
-        for c in shape[2]:
-            number(c, into)
-
-    number(a, nodes[0])
-    number(b, nodes[1])
-    memo: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
-
-    def match(i: int, j: int) -> tuple[int, list[tuple[int, int]]]:
-        """Size of the largest match of the two subtrees, and which children pair up in it."""
-        if nodes[0][i][0] != nodes[1][j][0]:
-            return 0, []
-        if (i, j) in memo:
-            return memo[i, j]
-        x, y = child_starts(0, i), child_starts(1, j)
-        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(1, len(x) + 1):
-            for q in range(1, len(y) + 1):
-                best[p][q] = max(best[p - 1][q], best[p][q - 1], best[p - 1][q - 1] + match(x[p - 1], y[q - 1])[0])
-        pairs, p, q = [], len(x), len(y)
-        while p and q:
-            if best[p][q] == best[p - 1][q]:
-                p -= 1
-            elif best[p][q] == best[p][q - 1]:
+class Matcher:
+    """Simple tree matching of two trees; equal subtrees share a number, so each pair of different ones is matched once."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.keys: list[str] = []
+        self.children: list[tuple[int, ...]] = []
+        self.sizes: list[int] = []
+        self.weights: dict[tuple[int, int], int] = {}
+
+    def number(self, shape: list) -> int:
+        inside = tuple([self.number(c) for c in shape[2]])
+        found = self.numbers.setdefault((shape[0], inside), len(self.keys))
+        if found == len(self.keys):
+            self.keys.append(shape[0])
+            self.children.append(inside)
+            self.sizes.append(1 + sum(self.sizes[c] for c in inside))
+        return found
+
+    def weight(self, a: int, b: int) -> int:
+        """Size of the largest match of two subtrees."""
+        if a == b:
+            return self.sizes[a]
+        if self.keys[a] != self.keys[b]:
+            return 0
+        if (a, b) not in self.weights:
+            x, y, head, tail = self._trimmed(a, b)
+            ends = sum(self.sizes[c] for c in (*self.children[a][:head], *self.children[a][len(self.children[a]) - tail :]))
+            last = np.zeros(len(y) + 1, dtype=np.int32)
+            for last in self._rows(x, last, self._against(x, y)):  # noqa: B007
+                pass
+            self.weights[a, b] = 1 + ends + int(last[-1])
+        return self.weights[a, b]
+
+    def _trimmed(self, a: int, b: int) -> tuple[tuple[int, ...], tuple[int, ...], int, int]:
+        """The children without those equal at both ends: nothing matches a subtree better than its like."""
+        x, y = self.children[a], self.children[b]
+        n, head, tail = min(len(x), len(y)), 0, 0
+        while head < n and x[head] == y[head]:
+            head += 1
+        while tail < n - head and x[-1 - tail] == y[-1 - tail]:
+            tail += 1
+        return x[head : len(x) - tail], y[head : len(y) - tail], head, tail
+
+    def _against(self, x: tuple[int, ...], y: tuple[int, ...]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """For each of x with like nodes in y: their places and weights."""
+        places: dict[str, list[int]] = {}
+        for i, c in enumerate(y):
+            places.setdefault(self.keys[c], []).append(i)
+        out = {}
+        for c in set(x):
+            at = places.get(self.keys[c], [])
+            if at:
+                out[c] = np.array(at), np.array([self.weight(c, y[i]) for i in at], dtype=np.int32)
+        return out
+
+    def _rows(self, x: tuple[int, ...], row: np.ndarray, against: dict) -> Iterator[np.ndarray]:
+        """After each of x: the best sums of weights with the first 0, 1, ... of y; ``row`` is the one before."""
+        for c in x:
+            if c in against:
+                at, weights = against[c]
+                new = row.copy()
+                new[at + 1] = np.maximum(new[at + 1], row[at] + weights)
+                row = np.maximum.accumulate(new)
+            yield row
+
+    def pairs(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """Which children of two different matched subtrees pair up, by their places."""
+        x, y, head, tail = self._trimmed(a, b)
+        yield from ((i, i) for i in range(head))
+        m, n = len(self.children[a]), len(self.children[b])
+        yield from ((m - 1 - i, n - 1 - i) for i in range(tail))
+        # each step-th row stays, those between are made again: memory of the root of the table
+        step, against = 1 + math.isqrt(len(x)), self._against(x, y)
+        first = np.zeros(len(y) + 1, dtype=np.int32)
+        kept = [first] + [r for i, r in enumerate(self._rows(x, first, against), 1) if i % step == 0]
+        q = len(y)
+        for part in range(len(kept) - 1, -1, -1):
+            rows = [kept[part], *self._rows(x[part * step : (part + 1) * step], kept[part], against)]
+            for p in range(len(rows) - 1, 0, -1):
+                if not q or rows[p][q] == rows[p - 1][q]:
+                    continue
+                q = int(np.searchsorted(rows[p][: q + 1], rows[p][q]))
+                yield head + part * step + p - 1, head + q - 1
                 q -= 1
-            else:
-                pairs.append((x[p - 1], y[q - 1]))
-                p, q = p - 1, q - 1
-        memo[i, j] = (1 + best[len(x)][len(y)], pairs)
-        return memo[i, j]
 
-    def mark(i: int, j: int) -> None:
+    def mark(self, out: list[int], a: int, b: int, i: int, j: int) -> None:
+        """The match of two subtrees whose first nodes are i and j."""
+        if a == b:
+            out[j : j + self.sizes[b]] = range(i, i + self.sizes[a])
+            return
         out[j] = i
-        for x, y in match(i, j)[1]:
-            mark(x, y)
+        x, y = ([*accumulate((self.sizes[c] for c in self.children[t]), initial=at + 1)] for t, at in ((a, i), (b, j)))
+        for p, q in self.pairs(a, b):
+            c, d = self.children[a][p], self.children[b][q]
+            self.mark(out, c, d, x[p], y[q])
+
 
-    if nodes[0][0][0] == nodes[1][0][0]:
-        mark(0, 0)
-    return tuple(out)
+_aligned: dict[int, np.ndarray] = {}
+_held = [0]
+
+
+def aligned(reference: str, page: str) -> np.ndarray:
+    """Simple tree matching of two trees in JSON: for each node of the page, in order, the reference's node or -1.
+
+    Trees of any size: equal subtrees are matched once, and children row by row in arrays, so the work
+    is at most that of the pairs of nodes with equal keys, without those in equal ends of two lists of children.
+    """
+    name = xxhash.xxh3_128_intdigest(f"{reference}\0{page}")
+    if name not in _aligned:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+        matcher = Matcher()
+        a, b = matcher.number(json.loads(reference)), matcher.number(json.loads(page))
+        out = [-1] * matcher.sizes[b]
+        if matcher.weight(a, b):
+            matcher.mark(out, a, b, 0, 0)
+        if _held[0] > CACHED_NODES:
+            _aligned.clear()
+            _held[0] = 0
+        _aligned[name] = np.array(out, dtype=np.int32)
+        _held[0] += len(out)
+    return _aligned[name]
 
 
 def blocks_of(root: Node, keep: set[int] | None, slots: dict[int, Slots], order: dict[int, int]) -> list[str]:
@@ -324,6 +390,10 @@ def page_trees(pages: DataFrame) -> DataFrame:
     return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(run, "host string, shape string, page long, slots array<long>")
 
 
+def _can_be_sent(found: DataFrame) -> bool:
+    return rows_are_few(found, BROADCAST_HOSTS) and (found.agg(F.sum(F.length("reference"))).first()[0] or 0) <= BROADCAST_CHARS
+
+
 def wrappers(pages: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     """``(host, reference, template)``: the reference tree, and nodes of it with the digest of their template text.
 
@@ -335,19 +405,20 @@ def wrappers(pages: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     """
     trees = saved(page_trees(pages), "trees")
     different = trees.groupBy("host", "page").agg(F.min(F.struct("shape", "slots")).alias("x")).select("host", "x.*")
-    shapes = different.where(F.length("shape") <= TREE_CHARS).groupBy("host", "shape").agg(F.count("*").alias("n"))
+    shapes = different.groupBy("host", "shape").agg(F.count("*").alias("n"))
     references = shapes.groupBy("host").agg(F.max(F.struct("n", "shape")).alias("r")).select("host", F.col("r.shape").alias("reference"))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, reference, shape, slots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at = aligned(reference, shape) if len(shape) <= TREE_CHARS else ()
-                rows += [(host, node, digest) for node, digest in zip(at, slots, strict=False) if node >= 0 and digest is not None]
+                at = aligned(reference, shape).tolist()
+                rows += [(host, node, digest) for node, digest in zip(at, slots, strict=True) if node >= 0 and digest is not None]
             cols = list(zip(*rows, strict=True)) or [()] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64()), strict=True)], names=["host", "node", "digest"])
 
-    few = rows_are_few(references, BROADCAST_HOSTS)
+    references = saved(references, "references")
+    few = _can_be_sent(references)
     joined = different.join(F.broadcast(references) if few else references, "host").select("host", "reference", "shape", "slots")
     counts = joined.mapInArrow(align, "host string, node int, digest long").groupBy("host", "node", "digest").agg(F.count("*").alias("n"))
     slots = counts.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "digest")).alias("top"))
@@ -370,13 +441,13 @@ def extract(pages: DataFrame, found: DataFrame) -> DataFrame:
                 keep = None
                 if reference and template:
                     shape = json.dumps(tree.shape(), separators=(",", ":"))
-                    at = aligned(reference, shape) if len(shape) <= TREE_CHARS else ()
+                    at = aligned(reference, shape).tolist()
                     constant = {x["node"]: x["digest"] for x in template}
-                    keep = {i for i, t in enumerate(slot_texts(nodes)) if i >= len(at) or at[i] not in constant or _digest(t) != constant[at[i]]}
+                    keep = {i for i, t in enumerate(slot_texts(nodes)) if at[i] not in constant or _digest(t) != constant[at[i]]}
                 texts.append("\n\n".join(blocks_of(root, keep, slots, numbered)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    few = rows_are_few(found, BROADCAST_HOSTS)
+    few = _can_be_sent(found)
     rows = pages.select("page_id", "url", "html").withColumn("host", host_of(F.col("url"))).join(F.broadcast(found) if few else found, "host", "left")
     return rows.select("page_id", "url", "html", "reference", "template").mapInArrow(run, "page_id long, url string, text string")
 

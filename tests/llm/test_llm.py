@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import json
 import re
 import unicodedata
 import zlib
@@ -139,6 +140,41 @@ def test_copies_in_other_surroundings_are_no_evidence(spark):
     assert got == {i: whole for i in [*range(9), *range(20, 29)]} | {20 + i: f"Story {i}\n\ntext {i}" for i in range(9, 12)}
 
 
+def test_large_trees_are_aligned(spark):
+    """Pages with thousands of slots lose their template text as small ones do."""
+    page = lambda i, n: "<body><div><p>Always the same words.</p></div><section>" + f"<h2>h {i}</h2><p>p {i}</p><ul><li>l {i}</li></ul>" * n + "</section></body>"
+    for sizes in ([2] * 4 + [900] * 4, [900 + i for i in range(8)]):
+        pages = spark.createDataFrame([(i, "http://a.example", page(i, n)) for i, n in enumerate(sizes)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in wrapper.main_text(pages).collect()}
+        assert got == {i: "\n\n".join([f"h {i}\n\np {i}\n\nl {i}"] * n) for i, n in enumerate(sizes)}
+
+
+def test_aligned_is_a_largest_match():
+    rng = np.random.default_rng(8)
+    tree = lambda depth: [str(rng.choice(["a", "b", "c"])), True, [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []]
+    order = lambda t: [t, *(x for c in t[2] for x in order(c))]
+
+    def best(a, b):
+        if a[0] != b[0]:
+            return 0
+        rows = [[0] * (len(b[2]) + 1)]
+        for x in a[2]:
+            rows.append([0])
+            for j, y in enumerate(b[2]):
+                rows[-1].append(max(rows[-2][j + 1], rows[-1][j], rows[-2][j] + best(x, y)))
+        return 1 + rows[-1][-1]
+
+    for _ in range(300):
+        a, b = ["r", True, [tree(2) for _ in range(rng.integers(0, 9))]], ["r", True, [tree(2) for _ in range(rng.integers(0, 9))]]
+        at = wrapper.aligned(json.dumps(a), json.dumps(b)).tolist()
+        pairs = [(i, j) for j, i in enumerate(at) if i >= 0]
+        assert len(pairs) == best(a, b) and pairs == sorted(pairs) and len({i for i, _ in pairs}) == len(pairs)
+        parents = [{id(c): id(t) for t in order(x) for c in t[2]} for x in (a, b)]
+        x, y = order(a), order(b)
+        couples = {(id(x[i]), id(y[j])) for i, j in pairs}
+        assert all(x[i][0] == y[j][0] and (j == 0 or (parents[0][id(x[i])], parents[1][id(y[j])]) in couples) for i, j in pairs)
+
+
 def test_fingerprints(spark, docs, rows, empty):
     one = lambda t: " ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t or "").casefold()).split())
     found = collections.defaultdict(set)
