@@ -30,14 +30,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id stays, of repeated rows one.
+    """Of each component of near duplicates one row stays: that with the smallest doc_id, a null one last.
 
-    Documents without words have no duplicates and stay.
+    Rows equal in all columns are one row, told apart from others by a 64-bit hash; of different rows with
+    one doc_id in a component that with the smallest hash stays.  Documents without words have no
+    other duplicates and stay.
     """
-    named = similar_components(docs)
-    keep = named.where("doc_id = component_id or doc_id is null").select("doc_id").distinct()
-    one = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return one.select(_columns(docs))
+    names = _columns(docs)
+    # hashes pass over nulls, so where they are is hashed too
+    rows = docs.select(*names, F.xxhash64(*(x for c in names for x in (F.col(c), F.col(c).isNull()))).alias("_row"))
+    named = similar_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("doc_id"))
+    keep = named.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("x")).select("x._row")
+    # equal rows meet before the shuffle
+    return rows.dropDuplicates(["_row"]).join(keep, "_row", "left_semi").select(names)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
