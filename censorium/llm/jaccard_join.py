@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censorium.llm.common import rows_are_few, saved, table, text_or_empty
+from censorium.llm.common import saved, table, text_or_empty
 from censorium.llm.components import components
 from censorium.llm.shingles import WORDS, mix, shingle_sets
 
@@ -52,8 +52,6 @@ BLOCK, PIVOTS = 256, 64
 PART = 4096
 #: Smallest hashes that go ahead of a whole set.
 LOW = 64
-#: Class ids that are sent to all executors at most.
-BROADCAST_IDS = 2_000_000
 
 BLOCKS = "block long, ids array<long>, n array<int>, classes array<long>, texts array<string>, n_bytes long"
 
@@ -205,21 +203,23 @@ def index_lists(entries: DataFrame) -> DataFrame:
 
 
 def class_sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(class, n, low, hashes)`` of the wanted classes, from the blocks of their representatives."""
-    few = rows_are_few(wanted, BROADCAST_IDS)
-    ids = np.sort(np.array([r[0] for r in wanted.collect()], dtype=np.int64)) if few else None
+    """``(class, n, low, hashes)`` of the wanted classes, from the blocks of their representatives.
+
+    The classes' ids stay on Spark: they are joined as rows, and blocks get the places of their own.
+    """
+    places = blocks.select("block", "classes", F.explode("at").alias("_at")).select("block", "_at", F.col("classes")[F.col("_at")].alias("class"))
+    here = saved(places.join(wanted, "class", "left_semi").groupBy("block").agg(F.sort_array(F.collect_list("_at")).alias("at")), "wanted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                classes = batch.column(3)[i].as_py()
-                at = [j for j in batch.column(2)[i].as_py() if ids is None or ((k := int(np.searchsorted(ids, classes[j]))) < len(ids) and ids[k] == classes[j])]
-                out = [(classes[j], len(x), x[:LOW].tobytes(), x.tobytes()) for j, x in zip(at, _block_sets(batch.column(1)[i].values, at, words), strict=True)] if at else []
+                classes, at = batch.column(3)[i].as_py(), batch.column(2)[i].as_py()
+                out = [(classes[j], len(x), x[:LOW].tobytes(), x.tobytes()) for j, x in zip(at, _block_sets(batch.column(1)[i].values, at, words), strict=True)]
                 cols = list(zip(*out, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["class", "n", "low", "hashes"])
 
-    rows = blocks.mapInArrow(run, "class long, n int, low binary, hashes binary")
-    return saved(rows if few else rows.join(wanted, "class", "left_semi"), "hashes")
+    rows = blocks.drop("at").join(here, "block").select("block", "texts", "at", "classes")
+    return saved(rows.mapInArrow(run, "class long, n int, low binary, hashes binary"), "hashes")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -278,6 +278,16 @@ def test_jaccard_join_long_lists(spark, monkeypatch):
     assert collections.Counter(tuple(r) for r in jaccard_join.similar_components(table).collect()) == links(rows)
 
 
+def test_jaccard_join_collects_no_classes(docs, rows, monkeypatch):
+    """Only single rows of totals come to the driver."""
+    kind, sizes = type(docs), []
+    with monkeypatch.context() as m:
+        m.setattr(kind, "collect", lambda self, f=kind.collect: [sizes.append(len(out := f(self))), out][1])
+        found = jaccard_join.similar_components(docs)
+    assert max(sizes, default=0) <= 1
+    assert collections.Counter(tuple(r) for r in found.collect()) == links(rows)
+
+
 def test_warc(spark, tmp_path):
     big, other = "<p>é" + "x" * 1200, "y" * 2000
     pages = [(1, "u1", big), (5, "u\n5", big), (3, None, big), (4, "u4", other), (7, "u7", None), (8, "u8", "s"), (9, "u9", "s"), (10, "", "WARC/1.1\r\n\r\nhello")]
