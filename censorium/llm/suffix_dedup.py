@@ -1,14 +1,14 @@
-"""Removal of passages that occur in earlier documents, by a logarithmic family of suffix arrays.
+"""Removal of passages that occur in earlier documents, by levels of sorted hashes at anchors.
 
 A byte goes if it is covered by a string of ``least`` bytes that also starts in a document
-with a smaller doc_id.  Full suffix arrays of a corpus take many times its size, so the
-arrays here are sampled: a suffix is an *anchor* if the hash of its first GRAM bytes is the
+with a smaller doc_id.  Full suffix arrays of a corpus take many times its size, so none are
+built: a position is an *anchor* if the hash of its first GRAM bytes is the
 smallest of some window, which makes anchors depend on content alone and puts one into every
-string of ``least`` bytes.  Arrays are kept in the order of fingerprints of the suffixes'
-leading bytes, dealt out to buckets by the leading bits.
+string of ``least`` bytes.  What is kept are sorted hashes, without positions or suffix order,
+dealt out to buckets by the leading bits.
 
-Documents come in blocks of ascending doc_id.  In each bucket a block's array is a new
-batch: it is merge-scanned against the existing levels, then added as a level, and levels of
+Documents come in blocks of ascending doc_id.  In each bucket, within one call that has all its
+blocks, a block's array is a new batch: it is merge-scanned against the existing levels, then added as a level, and levels of
 like size are merged, so that sizes stay geometric.  Three scans narrow the work down, and
 only what survives one reaches the next:
 
