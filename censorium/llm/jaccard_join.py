@@ -12,9 +12,10 @@ Plan (no step sees all pairs of a group, and nothing is capped):
 4. Index lists are walked in blocks.  A list of at most BLOCK sets is one block, whose sets are
    compared where sizes and shared shingles allow it.  Of a longer list some sets are
    compared with the rest, in rounds.
-5. Set relations skip work: once a set is known to be highly similar to another, its answers
-   are taken over from it: a list whose sets are all in one component is done, and no pair
-   inside a component is compared.  The rest goes to the next round.
+5. Components skip work: a list whose sets are all in one component is done, and no pair
+   inside a component is compared.  The rest goes to the next round.  A set's answers are not
+   derived from those of a similar set, and no blocks inside a list are skipped by position:
+   the position filter (6) is tried on every pair of a list that is compared.
 6. A candidate must pass the size filter and, as every list is tried as the first that two sets
    have in common, a filter by position: both need enough shingles from that one on.  Then a bound from the 64 smallest hashes of both sets (exact: they can't differ more
    than the whole sets may), then whole sets decide.
