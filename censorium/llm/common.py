@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,11 +42,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders behind the frames that ``saved`` gave.
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder as Parquet and read again."""
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    _FOLDERS[found] = path
+    return found
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the folders of frames that ``saved`` gave; only when no plan that is still to run reads them."""
+    for df in frames:
+        path = _FOLDERS.pop(df, None) if df is not None else None
+        if path:
+            session = df.sparkSession
+            folder = session._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(session._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def text_or_empty(name: str = "text") -> Column:

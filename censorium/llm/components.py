@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censorium.llm.common import saved
+from censorium.llm.common import discard, saved
 
 
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,6 +52,8 @@ def components(links: DataFrame) -> DataFrame:
         # a forest of stars: every node has one root, and no root is a node
         several = after.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         chained = after.select("root").join(after.select(F.col("node").alias("root")), "root", "left_semi")
-        if several.select("node").union(chained.select("root")).isEmpty():
+        done = several.select("node").union(chained.select("root")).isEmpty()
+        discard(stars)
+        if done:
             return after
         stars = after

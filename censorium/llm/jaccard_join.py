@@ -9,16 +9,17 @@ Plan (no step sees all pairs of a group, and nothing is capped):
    similarity t share one of their first n - ceil(t n) + 1 shingles in that order, so only those
    are indexed, and of these only what several classes have.  A set with too many shingles
    of its own is similar to none.  Lists are divided by set size.
-4. Index lists are walked in blocks.  A list of at most BLOCK sets is one block, whose sets are
-   compared where sizes and shared shingles allow it.  Of a longer list some sets are
-   compared with the rest, in rounds.
-5. Components skip work: a list whose sets are all in one component is done, and no pair
-   inside a component is compared.  The rest goes to the next round.  A set's answers are not
-   derived from those of a similar set, and no blocks inside a list are skipped by position:
-   the position filter (6) is tried on every pair of a list that is compared.
-6. A candidate must pass the size filter and, as every list is tried as the first that two sets
+4. Each list has a head, its smallest set, and its sets are first compared with that alone (of a
+   long list, also with some sets drawn by hash).  The answers, overlaps included, are kept.
+5. What answers say of highly similar sets skips work.  A list whose sets are all in one component
+   is done, and no pair inside a component is compared.  For two sets of a list, their answers from the
+   head bound their overlap: |a & b| <= |p & b| + |a - p|; a pair that this rules out isn't compared, and
+   no pair is compared twice.
+6. Long lists that are still open are cut into blocks of like size and position (how many shingles a set has
+   from this one on); pairs of blocks are skipped whole where both bounds rule out every pair.
+7. A candidate must pass the size filter and, as every list is tried as the first that two sets
    have in common, a filter by position: both need enough shingles from that one on.  Then a bound from the 64 smallest hashes of both sets (exact: they can't differ more
-   than the whole sets may), then whole sets decide.
+   than the whole sets may), then whole sets decide.  Sets lie in a table bucketed by class, so rounds shuffle pairs, not sets.
 
 Shingles and classes are told apart by 64-bit hashes.
 """
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censorium.llm.common import saved, table, text_or_empty
+from censorium.llm.common import discard, saved, table, text_or_empty
 from censorium.llm.components import components
 from censorium.llm.shingles import WORDS, mix, shingle_sets
 
@@ -175,36 +176,54 @@ def _prefixes(percent: int, words: int, bits: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a task's rare tokens those that several classes have; each (token, class) once."""
-    parts = [(np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)), np.asarray(b.column(3))) for b in batches if b.num_rows]
-    if not parts:
-        return
-    token, cls, n, own = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((cls, token))
-    token, cls, n, own = token[order], cls[order], n[order], own[order]
-    new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
-    token, cls, n, own = token[new], cls[new], n[new], own[new]
-    same = token[1:] == token[:-1]
-    keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    token, cls, n, own = token[keep], cls[keep], n[keep], own[keep]
-    for a in range(0, len(token), 50_000):
-        yield pa.RecordBatch.from_arrays([pa.array(token[a : a + 50_000]), pa.array(cls[a : a + 50_000]), pa.array(n[a : a + 50_000]), pa.array(own[a : a + 50_000])], names=["token", "class", "n", "shared"])
+def _shared(percent: int):
+    """Of a task's rare tokens the lists of several classes, each (token, class) once, with size and head of the list.
+
+    The head is the smallest set.  A set that has too little from this shingle on for even that one leaves.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[np.asarray(b.column(i)) for i in range(4)] for b in batches if b.num_rows]
+        if not parts:
+            return
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        order = np.lexsort((rows[1], rows[2], rows[0]))
+        token, cls, n, own = (x[order] for x in rows)
+        new = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
+        token, cls, n, own = token[new], cls[new], n[new], own[new]
+        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        size = np.diff(np.append(first, len(token)))
+        head = np.repeat(first, size)
+        size = np.repeat(size, size).astype(np.int64)
+        keep = np.flatnonzero((size > 1) & ((100 + percent) * own.astype(np.int64) >= percent * (n.astype(np.int64) + n[head])))
+        for a in range(0, len(keep), 50_000):
+            k = keep[a : a + 50_000]
+            h = head[k]
+            cols = (token[k], cls[k], n[k], own[k], size[k], cls[h], n[h], own[h])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["token", "class", "n", "shared", "size", "head", "head_n", "head_s"])
+
+    return run
 
 
-def index_lists(entries: DataFrame) -> DataFrame:
-    """``(token, class, n, shared)`` of the lists that several classes are in.
+LISTS = "token long, class long, n int, shared int, size long, head long, head_n int, head_s int"
+
+
+def index_lists(entries: DataFrame, percent: int) -> DataFrame:
+    """LISTS of the tokens that several classes have.
 
     Lists of rare tokens are gathered by token: they are at most FREQUENT long.  Entries of
-    frequent tokens stay where they are.
+    frequent tokens meet only in aggregates and joins, which Spark may split.
     """
-    kinds = "token long, class long, n int, shared int"
-    rare = entries.where("not frequent").drop("frequent").repartition("token").mapInArrow(_shared, kinds)
-    return saved(rare.union(entries.where("frequent").drop("frequent")), "index")
+    rare = entries.where("not frequent").drop("frequent").repartition("token").mapInArrow(_shared(percent), LISTS)
+    often = entries.where("frequent").drop("frequent").dropDuplicates(["token", "class"])
+    heads = often.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("n", "class", "shared")).alias("_h")).where("size > 1")
+    able = (100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_h.n"))
+    long = often.join(heads, "token").where(able).select("token", "class", "n", "shared", "size", F.col("_h.class").alias("head"), F.col("_h.n").alias("head_n"), F.col("_h.shared").alias("head_s"))
+    return saved(rare.union(long), "index")
 
 
-def class_sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """``(class, n, low, hashes)`` of the wanted classes, from the blocks of their representatives.
+def class_sets(blocks: DataFrame, wanted: DataFrame, words: int, name: str) -> DataFrame:
+    """``(class, n, low, hashes)`` of the wanted classes, as a table bucketed by class, from the blocks of their representatives.
 
     The classes' ids stay on Spark: they are joined as rows, and blocks get the places of their own.
     """
@@ -220,11 +239,15 @@ def class_sets(blocks: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["class", "n", "low", "hashes"])
 
     rows = blocks.drop("at").join(here, "block").select("block", "texts", "at", "classes")
-    return saved(rows.mapInArrow(run, "class long, n int, low binary, hashes binary"), "hashes")
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle by class here, none in the rounds that follow
+    rows.mapInArrow(run, "class long, n int, low binary, hashes binary").repartition(parts, "class").write.bucketBy(parts, "class").saveAsTable(name)
+    discard(here)
+    return blocks.sparkSession.table(name)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose sets reach the similarity, as ``(a, b)``."""
+    """The answers to ``pairs(a, b)``: ``(a, b, both, linked)``; ``both``, the shared shingles, is null if a bound sufficed to say no."""
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,24 +260,30 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 apart = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
                 least = -(-percent * (na + nb) // (100 + percent))  # overlap that the similarity needs
                 keep.append(apart <= na + nb - 2 * least)
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "fine"])
 
     def decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            shared, linked = [], []
             for xa, xb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = np.frombuffer(xa, dtype=np.uint64), np.frombuffer(xb, dtype=np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+                shared.append(both)
+                linked.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared, pa.int32()), pa.array(linked, pa.bool_())], names=["a", "b", "both", "linked"])
 
     def beside(df: DataFrame, side: str, column: str) -> DataFrame:
         return df.join(sets.select(F.col("class").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"{column}_{side}")), side)
 
-    low = beside(beside(pairs, "b", "low"), "a", "low").select("a", "b", "n_a", "n_b", "low_a", "low_b")
-    left = low.mapInArrow(possible, "a long, b long")
-    whole = beside(beside(left, "b", "hashes"), "a", "hashes").select("a", "b", "hashes_a", "hashes_b")
-    return whole.mapInArrow(decided, "a long, b long")
+    # written first, so that the size of the pairs is known before sets are joined to them
+    asked = saved(pairs, "pairs")
+    low = beside(beside(asked, "b", "low"), "a", "low").select("a", "b", "n_a", "n_b", "low_a", "low_b")
+    tried = saved(low.mapInArrow(possible, "a long, b long, fine boolean"), "tried")
+    whole = beside(beside(tried.where("fine").select("a", "b"), "b", "hashes"), "a", "hashes").select("a", "b", "hashes_a", "hashes_b")
+    no = tried.where("not fine").select("a", "b", F.lit(None).cast("int").alias("both"), F.lit(False).alias("linked"))
+    answers = saved(whole.mapInArrow(decided, "a long, b long, both int, linked boolean").union(no), "answers")
+    discard(asked, tried)
+    return answers
 
 
 def _possible(percent: int, a: str, b: str) -> F.Column:
@@ -262,39 +291,107 @@ def _possible(percent: int, a: str, b: str) -> F.Column:
     return (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")) & ((100 + percent) * F.least(f"{a}s", f"{b}s") >= percent * (F.col(f"{a}n") + F.col(f"{b}n")))
 
 
+def _derived(percent: int) -> F.Column:
+    """Whether the answers of the list's head p leave the pair open: |a & b| <= |p & b| + |a - p|, and the other way round."""
+    most = F.least(F.col("bp") + F.col("an") - F.col("ao"), F.col("ap") + F.col("bn") - F.col("bo"))
+    return (100 + percent) * most >= percent * (F.col("an") + F.col("bn"))
+
+
+def _side(rows: DataFrame, x: str, *more) -> DataFrame:
+    return rows.select("token", *more, F.col("class").alias(x), F.col("n").alias(f"{x}n"), F.col("shared").alias(f"{x}s"), F.col("root").alias(f"{x}r"), F.col("least").alias(f"{x}o"), F.col("most").alias(f"{x}p"))
+
+
+def _stars(long: DataFrame, turn: int, apart: F.Column) -> DataFrame:
+    """Pairs of the sets of long lists that are drawn by hash with the rest of their list, in parts of at most about PART sets."""
+    parts = F.ceil(F.col("size") * _share(turn) / PART).cast("int")
+    heading = _side(long.where("pivot"), "a", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
+    others = _side(long, "b", "pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    once = F.when(F.col("pivot"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
+    return heading.join(others, ["token", "part"]).where(once & apart).select("a", "b")
+
+
+def _share(turn: int) -> F.Column:
+    """Share of a long list that is compared with the rest: few at first, then a quarter."""
+    return F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn else F.lit(0)) / F.col("size")
+
+
+def _block_pairs(long: DataFrame, percent: int, apart: F.Column) -> DataFrame:
+    """Pairs inside long lists, by blocks of like size and position; pairs of blocks whose bounds rule out every pair are skipped whole."""
+    rows = long.withColumns({"bn": F.floor(F.log("n") * 20).cast("int"), "bs": F.floor(F.log("shared") * 10).cast("int")})
+    blocks = rows.groupBy("token", "bn", "bs").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("shared").alias("top"), F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    blocks = saved(blocks, "blocks")
+    x, y = ((blocks.select("token", *(F.col(c).alias(f"{s}_{c}") for c in ("bn", "bs", "lo", "hi", "top", "parts")))) for s in "xy")
+    sizes = (100 * F.col("x_hi") >= percent * F.col("y_lo")) & (100 * F.col("y_hi") >= percent * F.col("x_lo"))
+    position = (100 + percent) * F.least("x_top", "y_top") >= percent * (F.col("x_lo") + F.col("y_lo"))
+    ordered = F.struct("x_bn", "x_bs") <= F.struct("y_bn", "y_bs")
+    met = x.join(y, "token").where(sizes & position & ordered)
+    met = met.withColumn("x_part", F.explode(F.sequence(F.lit(0), F.col("x_parts") - 1))).withColumn("y_part", F.explode(F.sequence(F.lit(0), F.col("y_parts") - 1)))
+    met = saved(met.select("token", *(f"{s}_{c}" for s in "xy" for c in ("bn", "bs", "part"))).withColumn("meeting", F.monotonically_increasing_id()), "meetings")
+    placed = rows.join(blocks.select("token", "bn", "bs", "parts"), ["token", "bn", "bs"]).withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int"))
+    beside = lambda s: met.select("token", *(F.col(f"{s}_{c}").alias(c) for c in ("bn", "bs", "part")), "meeting", (F.struct("x_bn", "x_bs") == F.struct("y_bn", "y_bs")).alias("_block"))
+    here = {s: placed.join(beside(s), ["token", "bn", "bs", "part"]) for s in "xy"}
+    # two parts of one block meet in both orders, so there the smaller class goes first
+    once = ~F.col("_block") | (F.col("a") < F.col("b"))
+    return _side(here["x"], "a", "meeting", "_block").join(_side(here["y"], "b", "meeting").drop("token"), "meeting").where(once & apart).select("a", "b")
+
+
 def linked_classes(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """``(class, root)`` of every class that is linked with a smaller one; None without links."""
+    """``(class, root)`` of every class that is linked with a smaller one; None without links.
+
+    Round 0 compares each list's sets with its head, and long lists with sets drawn by hash.  What is then still
+    in several components is compared inside its list: short lists at once, long ones
+    with a quarter of theirs in round 1 and by blocks in round 2.
+    """
+    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     roots: DataFrame | None = None
-    links: DataFrame | None = None
-    turn = 0
-    while True:
-        named = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-        named = named.withColumnsRenamed({"n": "_n", "shared": "_s"})
-        heads = named.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("_n", "class")).alias("p")).where("low != high").drop("low", "high")
-        # of a long list the smallest set and a share drawn by hash go first: few at first, and all once those left are known to be far apart
-        share = F.greatest(F.lit(PIVOTS), F.col("size") / 4 if turn == 1 else F.col("size") if turn else F.lit(0)) / F.col("size")
-        drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 32)) < share * (1 << 32)
-        # a set that has too little from this shingle on for even the smallest set of its list leaves the list
-        able = (100 + percent) * F.col("_s") >= percent * (F.col("_n") + F.col("p._n"))
-        open_lists = saved(named.join(heads, "token").where(able).withColumn("pivot", (F.col("size") > BLOCK) & (drawn | (F.col("class") == F.col("p.class")))), "open")
-        if open_lists.isEmpty():
-            return roots
-        short, long = open_lists.where(F.col("size") <= BLOCK), open_lists.where(F.col("size") > BLOCK)
-        side = lambda rows, x, *more: rows.select("token", *more, F.col("class").alias(x), F.col("_n").alias(f"{x}n"), F.col("_s").alias(f"{x}s"), F.col("root").alias(f"{x}r"))
-        apart = (F.col("ar") != F.col("br")) & _possible(percent, "a", "b")
-        # pivots in parts of at most about PART sets, so that no task compares a whole long list with itself
-        parts = F.ceil(F.col("size") * share / PART).cast("int")
-        heading = side(long.where("pivot"), "a", F.pmod(F.xxhash64("class"), parts).cast("int").alias("part"))
-        others = side(long, "b", "pivot", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-        once = F.when(F.col("pivot"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b"))
-        stars = heading.join(others, ["token", "part"]).where(once & apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        inside = side(short, "a").join(side(short, "b"), "token").where((F.col("a") < F.col("b")) & apart).select("a", "b")
-        found = saved(verified(stars.union(inside).distinct(), sets, percent), "links")
-        lists = saved(long.where("not pivot").select("token", "class", F.col("_n").alias("n"), F.col("_s").alias("shared")), "index")
-        if not found.isEmpty():
-            links = found if links is None else links.union(found)
-            roots = saved(components(links).withColumnRenamed("node", "class"), "roots")
-        turn += 1
+    answers: DataFrame | None = None
+    stored, lists = lists, lists.withColumns({"least": F.lit(0), "most": F.col("head_n")})
+    for turn in range(3):
+        rows = lists.withColumn("root", F.col("class")) if roots is None else lists.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+        if roots is not None:
+            several = rows.groupBy("token").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where("_low != _high").select("token")
+            rows = rows.join(several, "token", "left_semi")
+        drawn = F.pmod(F.xxhash64("class", F.lit(turn)), F.lit(1 << 32)) < _share(turn) * (1 << 32)
+        rows = rows.withColumn("pivot", ((F.col("size") > BLOCK) & drawn) | (F.col("class") == F.col("head")) & F.lit(turn == 0))
+        opened = rows if turn == 0 else saved(rows, "open")
+        short, long = opened.where(F.col("size") <= BLOCK), opened.where(F.col("size") > BLOCK)
+        apart = (F.col("ar") != F.col("br")) & _possible(percent, "a", "b") & _derived(percent)
+        if turn == 0:
+            near = (100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")) & ((100 + percent) * F.least("shared", "head_s") >= percent * (F.col("n") + F.col("head_n")))
+            pairs = lists.where((F.col("class") != F.col("head")) & near).select(F.col("head").alias("a"), F.col("class").alias("b")).union(_stars(long, turn, apart))
+        elif turn == 1:
+            inside = _side(short, "a").join(_side(short, "b"), "token").where((F.col("a") < F.col("b")) & apart).select("a", "b")
+            pairs = inside.union(_stars(long, turn, apart))
+        else:
+            pairs = _block_pairs(long, percent, apart)
+        pairs = pairs.select(*ordered).distinct()
+        if answers is not None:
+            pairs = pairs.join(answers.select("a", "b"), ["a", "b"], "left_anti")
+        found = verified(pairs, sets, percent)
+        answers = found if answers is None else answers.union(found)
+        links = answers.where("linked").select("a", "b")
+        if not found.where("linked").isEmpty():
+            old, roots = roots, saved(components(links).withColumnRenamed("node", "class"), "roots")
+            discard(old)
+        left = opened.where("not pivot") if turn == 0 else long.where("not pivot")
+        if turn == 0:
+            # what the head's answer says of each set: its overlap with the head, or a bound
+            of_head = found.select("a", "b", "both", "linked")
+            key = {"a": F.least("head", "class"), "b": F.greatest("head", "class")}
+            need = F.ceil(percent * (F.col("n") + F.col("head_n")) / (100.0 + percent)).cast("int")
+            known = left.drop("least", "most", "root", "pivot").withColumns(key).join(of_head, ["a", "b"], "left")
+            # a pair with the head that wasn't asked in this list may have been met in another: nothing is known of it
+            most = F.coalesce("both", F.when(F.col("linked").isNotNull(), need - 1).otherwise(F.least("n", "head_n")))
+            left = known.withColumns({"least": F.coalesce("both", F.lit(0)), "most": most}).drop("a", "b", "both", "linked")
+        else:
+            left = left.drop("root", "pivot")
+        before, stored = stored, saved(left, "lists")
+        discard(before, opened)
+        lists = stored
+        if lists.isEmpty():
+            break
+    discard(stored)
+    return roots
 
 
 def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -306,7 +403,7 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int =
     unless nothing else can.  An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    name = f"sets_{uuid.uuid4().hex}"
+    name, hashes = f"sets_{uuid.uuid4().hex}", f"hashes_{uuid.uuid4().hex}"
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().alias("text"))
     texts.mapInArrow(_stored(words), BLOCKS).write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").option("compression", "zstd").saveAsTable(name)
     try:
@@ -320,12 +417,15 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int =
         levels = saved(blocks.select("block", "texts", "at").mapInArrow(_sent(words, bits), ENTRIES).groupBy("bucket").applyInArrow(_levels, LEVELS), "levels")
         replies = levels.groupBy("block").agg(F.collect_list(F.struct("bucket", "levels")).alias("reply"))
         entries = blocks.join(replies, "block").select("block", "texts", "at", "classes", "reply").mapInArrow(_prefixes(percent, words, bits), "token long, class long, n int, shared int, frequent boolean")
-        lists = index_lists(entries)
-        sets = class_sets(blocks, lists.select("class").distinct(), words)
+        lists = index_lists(entries, percent)
+        discard(levels)
+        sets = class_sets(blocks, lists.select("class").distinct(), words, hashes)
+        discard(reps)
         roots = linked_classes(lists, sets, percent)
         rows = saved(placed.select(F.col("ids").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("classes").alias("class")), "sets")
     finally:
         spark.sql(f"drop table if exists {name}")
+        spark.sql(f"drop table if exists {hashes}")
     least = rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     if roots is None:
         named = least.select("class", F.col("least").alias("component_id"))
