@@ -1,42 +1,43 @@
-"""Risk sets as windows over aggregated (group, time) cells.
+"""Risk sets over aggregated (group, time) cells.
 
-Rows are aggregated to distinct times first, with map-side combining, so a window only ever
-sees one row per distinct time of a group, however many subjects share it.
+Rows are aggregated to distinct times first, with map-side combining; what runs over time are
+prefix sums by ranges (``prefix.running``), so no task sees all times of a group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from censorium.functions.prefix import binned, running
 
-def ascending(keys: Sequence[str], time: str = "time") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
 
+def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column]) -> DataFrame:
+    """One row per (keys, time): sums ``at`` over rows that end there, and ``leaving`` over all rows at risk there.
 
-def descending(keys: Sequence[str], time: str = "time") -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(F.desc(time)).rowsBetween(Window.unboundedPreceding, 0)
+    A row is at risk at t if entry < t <= time; a null entry is before all times.  Times of entry have rows
+    too, with zeros ``at``.
+    """
+    out = rows.select(*keys, F.col(time).cast("double").alias("time"), *(c.alias(n) for n, c in at.items()), *(c.alias(n) for n, c in leaving.items()))
+    if entry:
+        came = rows.where(F.col(entry).isNotNull()).select(*keys, F.col(entry).cast("double").alias("time"), *(F.lit(0.0).alias(n) for n in at), *((-c).alias(n) for n, c in leaving.items()))
+        out = out.unionByName(came)
+    sums = out.groupBy(*keys, "time").agg(*(F.sum(n).alias(n) for n in (*at, *leaving)))
+    return running(binned(sums, "time"), order="time", keys=keys, sums={n: F.col(n) for n in leaving}, reverse=True, keep_bin=True)
 
 
-def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, entry: str | None = None) -> DataFrame:
+def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, entry: str | None = None, keep_bin: bool = False) -> DataFrame:
     """``(keys, time, n_event, n_censor, n_risk)``: subjects are at risk at t if entry < t <= time.
 
-    Rows with null time or status drop out; events come before censorings at equal times.
+    Rows with null time or status drop out; events come before censorings at equal times; null keys are a group.
     """
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
-    rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull()).select(*keys, F.col(time).cast("double").alias("time"), (F.col(status) != 0).cast("double").alias("d"), w.alias("w"), *([F.col(entry).cast("double").alias("entry")] if entry else []))
-    at = rows.groupBy(*keys, "time").agg(F.sum(F.col("w") * F.col("d")).alias("n_event"), F.sum(F.col("w") * (1 - F.col("d"))).alias("n_censor"))
-    leaving = F.sum(F.col("n_event") + F.col("n_censor")).over(descending(keys))
-    if not entry:
-        return at.withColumn("n_risk", leaving)
-    # who has entered before t: entries and exits on one time line, exits first at equal times
-    came = rows.where("entry is not null").groupBy(*keys, F.col("entry").alias("time")).agg(F.sum("w").alias("came"))
-    always = rows.where("entry is null").groupBy(*keys).agg(F.sum("w").alias("always"))
-    line = at.withColumn("kind", F.lit(0)).withColumn("came", F.lit(0.0)).unionByName(came.withColumn("kind", F.lit(1)).withColumn("n_event", F.lit(None).cast("double")).withColumn("n_censor", F.lit(None).cast("double")))
-    w_in = Window.partitionBy(*keys).orderBy("time", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.sum(F.coalesce(F.col("n_event") + F.col("n_censor"), F.lit(0.0))).over(w_in) - F.coalesce(F.col("n_event") + F.col("n_censor"), F.lit(0.0))
-    line = line.withColumn("inside", F.sum("came").over(w_in) - gone).where("kind = 0")
-    line = line.join(always, list(keys), "left") if keys else line.crossJoin(always)
-    return line.withColumn("n_risk", F.col("inside") + F.coalesce("always", F.lit(0.0))).select(*keys, "time", "n_event", "n_censor", "n_risk")
+    d = (F.col(status) != 0).cast("double")
+    rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull())
+    line = timeline(rows, time=time, entry=entry, keys=keys, at={"n_event": w * d, "n_censor": w * (1 - d)}, leaving={"n_risk": w})
+    if entry:
+        line = line.where("n_event > 0 or n_censor > 0")
+    out = line.select(*keys, "time", "n_event", "n_censor", "n_risk", "_bin")
+    return out if keep_bin else out.drop("_bin")

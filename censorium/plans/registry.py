@@ -30,16 +30,16 @@ def _r(*names: str) -> list:
 
 def km_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     km = curves.kaplan_meier(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
-    return km.select("l_linestatus", "time", "n_risk", "n_event", *_r("survival", "std_err", "cum_hazard"))
+    return km.select("l_linestatus", "time", "n_risk", "n_event", *_r("surv", "std_err", "cum_hazard"))
 
 
 def na_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     na = curves.nelson_aalen(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
-    return na.select("l_linestatus", "time", *_r("cum_hazard", "survival"))
+    return na.select("l_linestatus", "time", *_r("cum_hazard", "surv"))
 
 
 def km_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.survival_quantile(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
+    return curves.quantile_time(_lines(spark, sf_dir), keys=["l_linestatus"], **Q)
 
 
 def km_rmst(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,7 +47,7 @@ def km_rmst(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def actuarial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.life_table(_lines(spark, sf_dir), keys=["l_linestatus"], width=10.0, **Q).select("l_linestatus", "start", "n_enter", "n_event", "n_censor", *_r("survival"))
+    return curves.life_table(_lines(spark, sf_dir), keys=["l_linestatus"], width=10.0, **Q).select("l_linestatus", "start", "n_enter", "n_event", "n_censor", *_r("surv"))
 
 
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,11 +105,11 @@ def nnt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def after_landmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = curves.landmark(_lines(spark, sf_dir), time="l_quantity", at=20.0)
-    return curves.kaplan_meier(rows, **Q).select("time", "n_risk", "n_event", *_r("survival"))
+    return curves.kaplan_meier(rows, **Q).select("time", "n_risk", "n_event", *_r("surv"))
 
 
 def conditional(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curves.conditional_survival(_lines(spark, sf_dir), keys=["l_linestatus"], given=10.0, target=30.0, **Q).select("l_linestatus", *_r("survival"))
+    return curves.conditional_curve(_lines(spark, sf_dir), keys=["l_linestatus"], given=10.0, target=30.0, **Q).select("l_linestatus", *_r("surv"))
 
 
 def condensed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,13 +142,13 @@ km as (select *, product(1 - d / n) over w as s, sum(d / n) over w as h, sum(cas
        from risk window w as (partition by l_linestatus order by time))"""
 
 SQL = {
-    "km_by_group": f"with {_CELLS} select l_linestatus, time, n as n_risk, d as n_event, round(s, 6) as survival, round(s * sqrt(coalesce(g, 0)), 6) as std_err, round(h, 6) as cum_hazard from km",
-    "na_by_group": f"with {_CELLS} select l_linestatus, time, round(h, 6) as cum_hazard, round(exp(-h), 6) as survival from km",
+    "km_by_group": f"with {_CELLS} select l_linestatus, time, n as n_risk, d as n_event, round(s, 6) as surv, round(s * sqrt(coalesce(g, 0)), 6) as std_err, round(h, 6) as cum_hazard from km",
+    "na_by_group": f"with {_CELLS} select l_linestatus, time, round(h, 6) as cum_hazard, round(exp(-h), 6) as surv from km",
     "km_median": f"with {_CELLS} select l_linestatus, min(case when s <= 0.5 + 1e-12 then time end) as quantile from km group by 1",
     "km_rmst": f"with {_CELLS}, a as (select *, lag(s, 1, 1.0) over w as s0, lag(time, 1, 0.0) over w as t0 from km where time <= 30 window w as (partition by l_linestatus order by time)) select l_linestatus, round(sum(s0 * (time - t0)) + arg_max(s, time) * (30 - max(time)), 6) as rmst from a group by 1",
     "actuarial": """with c as (select l_linestatus, floor(l_quantity / 10) * 10 as start, cast(count(*) filter (l_returnflag = 'R') as double) as n_event, cast(count(*) filter (l_returnflag <> 'R') as double) as n_censor from lineitem group by all),
         e as (select *, sum(n_event + n_censor) over (partition by l_linestatus order by start desc) as n_enter from c)
-        select l_linestatus, start, n_enter, n_event, n_censor, round(product(1 - n_event / (n_enter - n_censor / 2)) over (partition by l_linestatus order by start), 6) as survival from e""",
+        select l_linestatus, start, n_enter, n_event, n_censor, round(product(1 - n_event / (n_enter - n_censor / 2)) over (partition by l_linestatus order by start), 6) as surv from e""",
     "incidence": """with e as (select floor(value) as time, case event_type when 'purchase' then 1 when 'signup' then 2 else 0 end as cause from events),
         c as (select time, cast(count(*) filter (cause <> 0) as double) as d, cast(count(*) as double) as c from e group by 1),
         r as (select *, sum(c) over (order by time desc) as n from c), s as (select *, product(1 - d / n) over (order by time) as s from r),
@@ -176,8 +176,8 @@ SQL = {
         select round(observed, 6) as observed, round(expected, 6) as expected, round(variance, 6) as variance, round((observed - expected) ** 2 / variance, 6) as chi_square from s""",
     "nnt": f"with {_CELLS}, e as (select l_linestatus, arg_max(s, time) as s, arg_max(s * sqrt(coalesce(g, 0)), time) as se from km where time <= 25 group by 1) select round(min(s) filter (l_linestatus = 'F'), 6) as low, round(min(s) filter (l_linestatus = 'O'), 6) as high, round(min(s) filter (l_linestatus = 'O') - min(s) filter (l_linestatus = 'F'), 6) as difference, round(sqrt(sum(se * se)), 6) as std_err from e",
     "after_landmark": """with c as (select l_quantity - 20 as time, cast(count(*) filter (l_returnflag = 'R') as double) as d, cast(count(*) as double) as c from lineitem where l_quantity > 20 group by 1),
-        r as (select *, sum(c) over (order by time desc) as n from c) select time, n as n_risk, d as n_event, round(product(1 - d / n) over (order by time), 6) as survival from r""",
-    "conditional": f"with {_CELLS} select l_linestatus, round(min(s) filter (time <= 30) / min(s) filter (time <= 10), 6) as survival from km group by 1",
+        r as (select *, sum(c) over (order by time desc) as n from c) select time, n as n_risk, d as n_event, round(product(1 - d / n) over (order by time), 6) as surv from r""",
+    "conditional": f"with {_CELLS} select l_linestatus, round(min(s) filter (time <= 30) / min(s) filter (time <= 10), 6) as surv from km group by 1",
     "condensed": """with e as (select l_orderkey, l_linenumber - 1 as start, l_linenumber as stop, case when l_returnflag = 'R' then 1 else 0 end as event from lineitem),
         n as (select *, case when lag(stop) over w = start and lag(event) over w = 0 then 0 else 1 end as fresh from e window w as (partition by l_orderkey order by start, stop, event)),
         r as (select *, sum(fresh) over (partition by l_orderkey order by start, stop, event, fresh rows unbounded preceding) as run from n)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from censorium.functions.riskset import ascending, descending
+from censorium.functions.prefix import running
 
 
 def streaming_cells(stream: DataFrame, *, time: str, status: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -18,9 +18,9 @@ def streaming_cells(stream: DataFrame, *, time: str, status: str, keys: Sequence
 
 
 def curve_of_cells(at: DataFrame, *, keys: Sequence[str] = ()) -> DataFrame:
-    """Kaplan–Meier survival from cells."""
-    risk = at.withColumn("n_risk", F.sum(F.col("n_event") + F.col("n_censor")).over(descending(keys)))
-    return risk.withColumn("survival", F.product(1 - F.col("n_event") / F.col("n_risk")).over(ascending(keys)))
+    """Kaplan–Meier surv from cells."""
+    risk = running(at, order="time", keys=keys, sums={"n_risk": F.col("n_event") + F.col("n_censor")}, reverse=True, keep_bin=True)
+    return running(risk, order="time", keys=keys, products={"surv": 1 - F.col("n_event") / F.col("n_risk")})
 
 
 def write_curve(stream: DataFrame, *, time: str, status: str, table: str, checkpoint: str, keys: Sequence[str] = ()) -> StreamingQuery:

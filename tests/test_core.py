@@ -19,7 +19,7 @@ def aml(spark):
 
 def test_kaplan_meier(aml):
     rows = {r["time"]: r for r in curves.kaplan_meier(aml.where("x = 0"), time="time", status="status").collect()}
-    assert rows[48.0]["survival"] == pytest.approx(0.18409090909)
+    assert rows[48.0]["surv"] == pytest.approx(0.18409090909)
     assert rows[48.0]["std_err"] == pytest.approx(0.15349274579)
 
 
@@ -79,8 +79,8 @@ def test_streaming_curve(spark, aml, tmp_path):
     query = streaming_cells(stream, time="time", status="status", keys=["x"]).writeStream.outputMode("complete").format("memory").queryName("cells").start()
     query.processAllAvailable()
     query.stop()
-    got = {(r["x"], r["time"]): r["survival"] for r in curve_of_cells(spark.table("cells"), keys=["x"]).collect()}
-    want = {(r["x"], r["time"]): r["survival"] for r in curves.kaplan_meier(aml, time="time", status="status", keys=["x"]).collect()}
+    got = {(r["x"], r["time"]): r["surv"] for r in curve_of_cells(spark.table("cells"), keys=["x"]).collect()}
+    want = {(r["x"], r["time"]): r["surv"] for r in curves.kaplan_meier(aml, time="time", status="status", keys=["x"]).collect()}
     assert got == pytest.approx(want)
 
 
