@@ -11,10 +11,18 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINS = 64
 
 
+def number(df: DataFrame, name: str) -> Column:
+    """A column to compare by size as a double: dates and timestamps as microseconds."""
+    if isinstance(df.schema[name].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
+    return F.col(name).cast("double")
+
+
 def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", few: bool = False) -> DataFrame:
     """Equi-join in which null keys are equal; ``few``: right has a bounded number of rows and is broadcast."""
     other = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -66,9 +74,9 @@ def as_of(requests: DataFrame, steps: DataFrame, *, at: str, step: str, values:
 
     One union and one running maximum of (step, values): no range join.
     """
-    kept = F.struct(F.col(step).cast("double").alias("_t"), *(F.col(v) for v in values))
-    a = steps.select(*keys, F.col(step).cast("double").alias("_t"), F.lit(1 if strict else 0).alias("_k"), kept.alias("_s"))
-    wanted = requests.select(*keys, F.col(at).cast("double").alias("_t")).distinct().withColumn("_k", F.lit(0 if strict else 1)).withColumn("_s", F.lit(None).cast(a.schema["_s"].dataType))
+    kept = F.struct(number(steps, step).alias("_t"), *(F.col(v) for v in values))
+    a = steps.select(*keys, number(steps, step).alias("_t"), F.lit(1 if strict else 0).alias("_k"), kept.alias("_s"))
+    wanted = requests.select(*keys, number(requests, at).alias("_t")).distinct().withColumn("_k", F.lit(0 if strict else 1)).withColumn("_s", F.lit(None).cast(a.schema["_s"].dataType))
     line = a.groupBy(*keys, "_t", "_k").agg(F.max("_s").alias("_s")).unionByName(wanted).withColumn("_o", F.struct("_t", "_k"))
     rows = binned(line, "_t")
     w = Window.partitionBy(*keys, "_bin").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
@@ -76,5 +84,5 @@ def as_of(requests: DataFrame, steps: DataFrame, *, at: str, step: str, values:
     offsets = rows.groupBy(*keys, "_bin").agg(F.max("_s").alias("_m")).select(*keys, "_bin", F.max("_m").over(before).alias("_m"))
     found = join_keys(rows.withColumn("_f", F.max("_s").over(w)), offsets, [*keys, "_bin"], few=not keys).where(F.col("_k") == (0 if strict else 1))
     looked = found.select(*keys, "_t", F.coalesce("_f", "_m").alias("_f"))
-    asked = requests.withColumn("_t", F.col(at).cast("double"))
+    asked = requests.withColumn("_t", number(requests, at))
     return join_keys(asked, looked.select(*keys, "_t", *(F.col(f"_f.{v}").alias(v) for v in values)), [*keys, "_t"], "left").drop("_t")

@@ -17,9 +17,11 @@ from censorium.functions.prefix import binned, running
 def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column]) -> DataFrame:
     """One row per (keys, time): sums ``at`` over rows that end there, and ``leaving`` over all rows at risk there.
 
-    A row is at risk at t if entry < t <= time; a null entry is before all times.  Times of entry have rows
-    too, with zeros ``at``.
+    A row is at risk at t if entry < t <= time; a null entry is before all times, and a row with entry >= time,
+    which is never at risk, drops out.  Times of entry have rows too, with zeros ``at``.
     """
+    if entry:
+        rows = rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time)))
     out = rows.select(*keys, F.col(time).cast("double").alias("time"), *(c.alias(n) for n, c in at.items()), *(c.alias(n) for n, c in leaving.items()))
     if entry:
         came = rows.where(F.col(entry).isNotNull()).select(*keys, F.col(entry).cast("double").alias("time"), *(F.lit(0.0).alias(n) for n in at), *((-c).alias(n) for n, c in leaving.items()))

@@ -80,7 +80,8 @@ def _chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def _norm_cdf(x: pd.Series) -> pd.Series:
-    return _rowwise(STANDARD.cdf, x)
+    known = x.to_numpy(dtype="float64", na_value=np.nan)
+    return pd.Series(0.5 * np.array([math.erfc(v) for v in -known / math.sqrt(2)], dtype="float64")).where(~np.isnan(known))
 
 
 @F.pandas_udf(DoubleType())

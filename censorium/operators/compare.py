@@ -35,12 +35,18 @@ def _weight(name: str, rho: float, gamma: float) -> Column:
 def _cells(df: DataFrame, time: str, status: str, group: str, strata: Sequence[str], entry: str | None, weights: str, rho: float, gamma: float) -> DataFrame:
     """One row per (strata, time with events, group): ``_d _n _w _g _dg _ng``, groups without anybody at risk left out."""
     rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull() & F.col(group).isNotNull())
+    if entry:
+        rows = rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time)))
     one = F.lit(1.0)
     d = (F.col(status) != 0).cast("double")
-    by_group = timeline(rows, time=time, entry=entry, keys=[*strata, group], at={"_dg": d}, leaving={"_left": one}).select(*strata, group, "time", "_dg")
+    by_group = rows.groupBy(*strata, group, F.col(time).cast("double").alias("time")).agg(F.sum(d).alias("_dg"))
     pooled = timeline(rows, time=time, entry=entry, keys=strata, at={"_d": d}, leaving={"_n": one})
-    factor = F.when(F.col("_n") > 0, 1 - F.col("_d") / F.col("_n")).otherwise(F.lit(1.0))
-    pooled = running(pooled, order="time", keys=strata, products={"_before": factor}, strict=True).withColumn("_w", _weight(weights, rho, gamma)).where("_d > 0")
+    if weights == "peto" or (weights == "fleming-harrington" and (rho or gamma)):
+        factor = F.when(F.col("_n") > 0, 1 - F.col("_d") / F.col("_n")).otherwise(F.lit(1.0))
+        pooled = running(pooled, order="time", keys=strata, products={"_before": factor}, strict=True)
+    else:
+        pooled = pooled.withColumn("_before", F.lit(1.0)).drop("_bin")
+    pooled = pooled.withColumn("_w", _weight(weights, rho, gamma)).where("_d > 0")
     # at risk of each group at every event time of the stratum: exits at or after it less entries at or after it
     groups = rows.select(*strata, group).distinct()
     grid = join_keys(pooled, groups, strata) if strata else pooled.crossJoin(F.broadcast(groups))  # groups are few by their nature

@@ -71,8 +71,9 @@ def linear_predictor(df: DataFrame, *, x: Sequence[str], coefficients: Sequence[
 
 
 def _rows(df: DataFrame, time: str, status: str, x: Sequence[str], strata: Sequence[str], entry: str | None, weight: str | None) -> DataFrame:
-    """Rows that take part: none with a null time, status, covariate or weight; a null stratum is a stratum, a null entry is before all times."""
-    return df.dropna(subset=[time, status, *x, *([weight] if weight else [])])
+    """Rows that take part: none with a null time, status, covariate or weight, or with entry >= time; a null stratum is a stratum, a null entry is before all times."""
+    rows = df.dropna(subset=[time, status, *x, *([weight] if weight else [])])
+    return rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time))) if entry else rows
 
 
 #: Scalars of a time: sums over l of log(S0 - f E0) and of f^i / (S0 - f E0)^j, f = l / D (Breslow: f = 0).
@@ -217,18 +218,18 @@ def residuals(
     h, hx = q("a"), [s1[i] * q("b") - e1[i] * q("bf") for i in range(p)]
     own, own_x = q("a") - q("af"), [s1[i] * (q("b") - q("bf")) - e1[i] * (q("bf") - q("bff")) for i in range(p)]
     made = line.withColumns({"_h": h, "_own": own, **{f"_hx{i}": hx[i] for i in range(p)}, **{f"_ox{i}": own_x[i] for i in range(p)}, **{f"_m{i}": _means(p)[i] / F.col("d") for i in range(p)}})
-    run = running(made, order="time", keys=strata, sums={"_H": F.col("_h"), **{f"_X{i}": F.col(f"_hx{i}") for i in range(p)}})
-    steps = run.select(*strata, F.col("time").alias("_t"), "_H", "_h", "_own", *(f"_{k}{i}" for i in range(p) for k in ("X", "hx", "ox", "m")))
+    run = running(made, order="time", keys=strata, sums={"_cum": F.col("_h"), **{f"_X{i}": F.col(f"_hx{i}") for i in range(p)}})
+    steps = run.select(*strata, F.col("time").alias("_t"), "_cum", "_h", "_own", *(f"_{k}{i}" for i in range(p) for k in ("X", "hx", "ox", "m")))
     keys = [*strata, "_t"]
     out = join_keys(rows.withColumn("_t", F.col(time).cast("double")), steps, keys, "left")
     past, past_x = zero, [zero] * p
     if entry:
-        before = steps.select(*strata, "_t", F.col("_H").alias("_H0"), *(F.col(f"_X{i}").alias(f"_Y{i}") for i in range(p)))
+        before = steps.select(*strata, "_t", F.col("_cum").alias("_cum0"), *(F.col(f"_X{i}").alias(f"_Y{i}") for i in range(p)))
         out = join_keys(out.withColumn("_t", F.col(entry).cast("double")), before, keys, "left")
-        past, past_x = F.coalesce("_H0", zero), [F.coalesce(F.col(f"_Y{i}"), zero) for i in range(p)]
+        past, past_x = F.coalesce("_cum0", zero), [F.coalesce(F.col(f"_Y{i}"), zero) for i in range(p)]
     had = F.col(status) != 0
     risk = F.exp(lp)
-    lived = F.when(had, F.col("_H") - F.col("_h") + F.col("_own")).otherwise(F.col("_H")) - past
+    lived = F.when(had, F.col("_cum") - F.col("_h") + F.col("_own")).otherwise(F.col("_cum")) - past
     lived_x = [F.when(had, F.col(f"_X{i}") - F.col(f"_hx{i}") + F.col(f"_ox{i}")).otherwise(F.col(f"_X{i}")) - past_x[i] for i in range(p)]
     m = had.cast("double") - risk * lived
     v = [F.col(c).cast("double") for c in x]
@@ -238,7 +239,7 @@ def residuals(
         made[f"score_{c}"] = F.when(had, v[i] - F.col(f"_m{i}")).otherwise(zero) - risk * (v[i] * lived - lived_x[i])
         made[f"schoenfeld_{c}"] = F.when(had, v[i] - F.col(f"_m{i}"))
     out = out.withColumns(made)
-    return out.drop("_t", "_H", "_h", "_own", "_H0", *(f"_{k}{i}" for i in range(p) for k in ("X", "hx", "ox", "m", "Y")))
+    return out.drop("_t", "_cum", "_h", "_own", "_cum0", *(f"_{k}{i}" for i in range(p) for k in ("X", "hx", "ox", "m", "Y")))
 
 
 def dfbeta(rows: DataFrame, fit: CoxFit, *, scaled: bool = False) -> DataFrame:

@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censorium.operators import compare, curves, data_prep, metrics
+from censorium.plans import inference
+
+#: Modules with further QUERIES and SQL.
+MODULES = (inference,)
 
 Q = dict(time="l_quantity", status="returned")
 
@@ -199,8 +203,8 @@ SQL = {
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [km_by_group, na_by_group, km_median, km_rmst, actuarial, incidence, logrank_test, split_episodes, last_signup, type_changes, rates, brier, calibration, drift, fh_test, nnt, after_landmark, conditional, condensed, snapped, drift_ks, c_index, meta]
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in [*found, *(f for m in MODULES for f in m.QUERIES)]}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    return SQL | {k: v for m in MODULES for k, v in m.SQL.items()}
