@@ -214,12 +214,15 @@ def index_lists(entries: DataFrame, percent: int) -> DataFrame:
     Lists of rare tokens are gathered by token: they are at most FREQUENT long.  Entries of
     frequent tokens meet only in aggregates and joins, which Spark may split.
     """
+    entries = saved(entries, "entries")
     rare = entries.where("not frequent").drop("frequent").repartition("token").mapInArrow(_shared(percent), LISTS)
     often = entries.where("frequent").drop("frequent").dropDuplicates(["token", "class"])
     heads = often.groupBy("token").agg(F.count("*").alias("size"), F.min(F.struct("n", "class", "shared")).alias("_h")).where("size > 1")
     able = (100 + percent) * F.col("shared") >= percent * (F.col("n") + F.col("_h.n"))
     long = often.join(heads, "token").where(able).select("token", "class", "n", "shared", "size", F.col("_h.class").alias("head"), F.col("_h.n").alias("head_n"), F.col("_h.shared").alias("head_s"))
-    return saved(rare.union(long), "index")
+    lists = saved(rare.union(long), "index")
+    discard(entries)
+    return lists
 
 
 def class_sets(blocks: DataFrame, wanted: DataFrame, words: int, name: str) -> DataFrame:

@@ -293,10 +293,10 @@ def intervals_of_states(df: DataFrame, *, key: str, time: str, state: str) -> Da
 def check_histories(df: DataFrame, *, key: str, start: str, stop: str, status: str, state: str | None = None, gap: float = 1e-10) -> DataFrame:
     """df with ``flag``: invalid (stop <= start or null), overlap, jump (a gap and another state), gap, teleport (another state without a gap) or ok.
 
-    Rows of a key are compared with the row before in the order of (stop, start).  ``state`` is the state at the
-    start of a row; ``status`` the state it ends in (0: none).
+    Rows of a key are compared with the row before in the order of (stop, start, status, state).  ``state`` is the state
+    at the start of a row; ``status`` the state it ends in (0: none).
     """
-    w = Window.partitionBy(key).orderBy(stop, start)
+    w = Window.partitionBy(key).orderBy(stop, start, status, *([state] if state else []))
     end = F.lag(stop).over(w)
     bad = F.col(start).isNull() | F.col(stop).isNull() | (F.col(stop) <= F.col(start))
     moved = F.lit(False)

@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censorium.operators import compare, curves, data_prep, metrics
-from censorium.plans import inference
+from censorium.plans import histories, inference, predictions
 
 #: Modules with further QUERIES and SQL.
-MODULES = (inference,)
+MODULES = (inference, histories, predictions)
 
 Q = dict(time="l_quantity", status="returned")
 
