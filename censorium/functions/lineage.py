@@ -5,7 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Folders that ``cut`` wrote in this process.
+_WRITTEN: list[str] = []
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete everything that ``cut`` wrote; results that weren't stored elsewhere can't be read afterwards."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    while _WRITTEN:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        folder.getFileSystem(conf).delete(folder, True)
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -19,4 +30,5 @@ def cut(df: DataFrame, label: str) -> DataFrame:
         session.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return session.read.schema(df.schema).parquet(path)

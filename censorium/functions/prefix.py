@@ -34,11 +34,22 @@ def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return (left.join(other, on, how) if keys else left.crossJoin(other)).drop(*(f"_r_{k}" for k in keys))
 
 
-def binned(df: DataFrame, order: str, bins: int = BINS) -> DataFrame:
-    """With ``_bin``: the range of the order value, ascending."""
+def _cuts(df: DataFrame, order: str, bins: int) -> DataFrame:
     values = df.select(F.col(order).alias("_v")).where("_v is not null").distinct()
-    cuts = values.orderBy(F.xxhash64("_v"), "_v").limit(bins - 1).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))
-    beside = df.crossJoin(F.broadcast(cuts))  # one row of at most BINS values
+    return values.orderBy(F.xxhash64("_v"), "_v").limit(bins - 1).agg(F.sort_array(F.collect_list("_v")).alias("_cuts"))
+
+
+def cuts_of(df: DataFrame, order: str, bins: int = BINS) -> list[float]:
+    """The cuts of ``binned`` as numbers, for iterations that use them again and again."""
+    return [float(v) for v in _cuts(df, order, bins).first()["_cuts"]]
+
+
+def binned(df: DataFrame, order: str, bins: int = BINS, cuts: Sequence[float] | None = None) -> DataFrame:
+    """With ``_bin``: the range of the order value, ascending."""
+    if cuts is not None:
+        edges = F.array(*(F.lit(c) for c in cuts)).cast("array<double>")
+        return df.withColumn("_bin", F.size(F.filter(edges, lambda c: c <= F.col(order))))
+    beside = df.crossJoin(F.broadcast(_cuts(df, order, bins)))  # one row of at most BINS values
     return beside.withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(order)))).drop("_cuts")
 
 
@@ -74,15 +85,15 @@ def as_of(requests: DataFrame, steps: DataFrame, *, at: str, step: str, values:
 
     One union and one running maximum of (step, values): no range join.
     """
-    kept = F.struct(number(steps, step).alias("_t"), *(F.col(v) for v in values))
-    a = steps.select(*keys, number(steps, step).alias("_t"), F.lit(1 if strict else 0).alias("_k"), kept.alias("_s"))
-    wanted = requests.select(*keys, number(requests, at).alias("_t")).distinct().withColumn("_k", F.lit(0 if strict else 1)).withColumn("_s", F.lit(None).cast(a.schema["_s"].dataType))
-    line = a.groupBy(*keys, "_t", "_k").agg(F.max("_s").alias("_s")).unionByName(wanted).withColumn("_o", F.struct("_t", "_k"))
-    rows = binned(line, "_t")
-    w = Window.partitionBy(*keys, "_bin").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)
+    kept = F.struct(number(steps, step).alias("_as_of"), *(F.col(v) for v in values))
+    a = steps.select(*keys, number(steps, step).alias("_as_of"), F.lit(1 if strict else 0).alias("_side"), kept.alias("_kept"))
+    wanted = requests.select(*keys, number(requests, at).alias("_as_of")).distinct().withColumn("_side", F.lit(0 if strict else 1)).withColumn("_kept", F.lit(None).cast(a.schema["_kept"].dataType))
+    line = a.groupBy(*keys, "_as_of", "_side").agg(F.max("_kept").alias("_kept")).unionByName(wanted).withColumn("_place", F.struct("_as_of", "_side"))
+    rows = binned(line, "_as_of")
+    w = Window.partitionBy(*keys, "_bin").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = rows.groupBy(*keys, "_bin").agg(F.max("_s").alias("_m")).select(*keys, "_bin", F.max("_m").over(before).alias("_m"))
-    found = join_keys(rows.withColumn("_f", F.max("_s").over(w)), offsets, [*keys, "_bin"], few=not keys).where(F.col("_k") == (0 if strict else 1))
-    looked = found.select(*keys, "_t", F.coalesce("_f", "_m").alias("_f"))
-    asked = requests.withColumn("_t", number(requests, at))
-    return join_keys(asked, looked.select(*keys, "_t", *(F.col(f"_f.{v}").alias(v) for v in values)), [*keys, "_t"], "left").drop("_t")
+    offsets = rows.groupBy(*keys, "_bin").agg(F.max("_kept").alias("_top")).select(*keys, "_bin", F.max("_top").over(before).alias("_top"))
+    found = join_keys(rows.withColumn("_found", F.max("_kept").over(w)), offsets, [*keys, "_bin"], few=not keys).where(F.col("_side") == (0 if strict else 1))
+    looked = found.select(*keys, "_as_of", F.coalesce("_found", "_top").alias("_found"))
+    asked = requests.withColumn("_as_of", number(requests, at))
+    return join_keys(asked, looked.select(*keys, "_as_of", *(F.col(f"_found.{v}").alias(v) for v in values)), [*keys, "_as_of"], "left").drop("_as_of")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from censorium.functions.prefix import binned, running
 
 
-def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column]) -> DataFrame:
+def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column], cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per (keys, time): sums ``at`` over rows that end there, and ``leaving`` over all rows at risk there.
 
     A row is at risk at t if entry < t <= time; a null entry is before all times, and a row with entry >= time,
@@ -27,7 +27,7 @@ def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[st
         came = rows.where(F.col(entry).isNotNull()).select(*keys, F.col(entry).cast("double").alias("time"), *(F.lit(0.0).alias(n) for n in at), *((-c).alias(n) for n, c in leaving.items()))
         out = out.unionByName(came)
     sums = out.groupBy(*keys, "time").agg(*(F.sum(n).alias(n) for n in (*at, *leaving)))
-    return running(binned(sums, "time"), order="time", keys=keys, sums={n: F.col(n) for n in leaving}, reverse=True, keep_bin=True)
+    return running(binned(sums, "time", cuts=cuts), order="time", keys=keys, sums={n: F.col(n) for n in leaving}, reverse=True, keep_bin=True)
 
 
 def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, entry: str | None = None, keep_bin: bool = False) -> DataFrame:

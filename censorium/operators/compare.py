@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import join_keys, running
 from censorium.functions.riskset import timeline
 from censorium.functions.special import chi2_p, norm_cdf, z_of
@@ -46,7 +47,8 @@ def _cells(df: DataFrame, time: str, status: str, group: str, strata: Sequence[s
         pooled = running(pooled, order="time", keys=strata, products={"_before": factor}, strict=True)
     else:
         pooled = pooled.withColumn("_before", F.lit(1.0)).drop("_bin")
-    pooled = pooled.withColumn("_w", _weight(weights, rho, gamma)).where("_d > 0")
+    # a row per event time, read several times below
+    pooled = cut(pooled.withColumn("_w", _weight(weights, rho, gamma)).where("_d > 0"), "event-times")
     # at risk of each group at every event time of the stratum: exits at or after it less entries at or after it
     groups = rows.select(*strata, group).distinct()
     grid = join_keys(pooled, groups, strata) if strata else pooled.crossJoin(F.broadcast(groups))  # groups are few by their nature

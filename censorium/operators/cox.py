@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from censorium.functions.prefix import as_of, join_keys, running
+from censorium.functions.prefix import as_of, cuts_of, join_keys, running
 from censorium.functions.riskset import timeline
 from censorium.functions.special import chi2_p, chi2_sf, two_sided_p, z_of
 
@@ -82,7 +82,7 @@ _SUMS = """aggregate(sequence(0, cast(_k as int) - 1), named_struct('l', 0D, 'a'
  'b', s.b + 1 / pow(s0 - i / _k * {e} * e0, 2), 'bf', s.bf + i / _k * {e} / pow(s0 - i / _k * {e} * e0, 2), 'bff', s.bff + pow(i / _k * {e}, 2) / pow(s0 - i / _k * {e} * e0, 2)))"""
 
 
-def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True) -> DataFrame:
+def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True, cuts: Sequence[float] | None = None) -> DataFrame:
     """One row per (strata, time): event sums ``d _k e xj e0 e1_j e2_jk``, risk-set sums ``s0 s1_j s2_jk`` and, at event times, the scalars ``q``.
 
     ``d`` is the weight of events, ``_k`` their number.  ``q.*`` are already times d / _k.
@@ -98,7 +98,7 @@ def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp:
     at = {"d": had * w, "_k": had, "e": had * w * lp, "n_censor": (1 - had) * w, **{f"x{i}": had * w * v[i] for i in range(p)}}
     at |= {"e0": had * r, **{f"e1_{i}": had * r * v[i] for i in range(p)}, **{f"e2_{i}_{j}": had * r * v[i] * v[j] for i, j in pairs}}
     leaving = {"s0": r, "n_risk": w, **{f"s1_{i}": r * v[i] for i in range(p)}, **{f"s2_{i}_{j}": r * v[i] * v[j] for i, j in pairs}}
-    line = timeline(rows, time=time, entry=entry, keys=strata, at=at, leaving=leaving)
+    line = timeline(rows, time=time, entry=entry, keys=strata, at=at, leaving=leaving, cuts=cuts)
     q = F.expr(_SUMS.format(e="1D" if ties == "efron" else "0D"))
     line = line.withColumn("_q", F.when(F.col("d") > 0, q))
     scale = F.col("d") / F.col("_k")
@@ -140,7 +140,7 @@ def cox_fit(
     """
     p = len(x)
     kept = _rows(df, time, status, x, strata, entry, weight).select(*dict.fromkeys([time, status, *x, *strata, *(c for c in (entry, weight, offset) if c)])).persist()
-    how = dict(time=time, status=status, strata=strata, entry=entry, weight=weight, ties=ties)
+    how = dict(time=time, status=status, strata=strata, entry=entry, weight=weight, ties=ties, cuts=cuts_of(kept.withColumn("_t", F.col(time).cast("double")), "_t"))
 
     def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
         top = kept.agg(F.max(_total(x, beta, offset))).first()[0] or 0.0 if np.any(beta) or offset else 0.0

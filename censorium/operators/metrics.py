@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import as_of, join_keys, running
 from censorium.functions.riskset import cells
 from censorium.functions.special import chi2_p, norm_cdf, z_of
@@ -30,7 +31,9 @@ def censor_curve(df: DataFrame, *, time: str, status: str, keys: Sequence[str] =
     """``(keys, time, censor_surv)``: Kaplan–Meier of the censoring; ``events_first``: those with an event at t are no longer at risk of being censored there."""
     at = cells(df, time=time, status=status, keys=keys, weight=weight, keep_bin=True)
     left = F.col("n_risk") - F.col("n_event") if events_first else F.col("n_risk")
-    return running(at, order="time", keys=keys, products={"censor_surv": F.when(left > 0, 1 - F.col("n_censor") / left).otherwise(F.lit(1.0))}).select(*keys, "time", "censor_surv")
+    g = running(at, order="time", keys=keys, products={"censor_surv": F.when(left > 0, 1 - F.col("n_censor") / left).otherwise(F.lit(1.0))})
+    # a row per distinct time, read by several joins: written once, so that plans stay small
+    return cut(g.select(*keys, "time", "censor_surv"), "censoring")
 
 
 def brier_score(df: DataFrame, *, prediction: str, outcome: str, weight: str | None = None) -> DataFrame:
@@ -210,7 +213,7 @@ def _time_weights(rows: DataFrame, kind: str, keys: Sequence[str], weight: str |
     s, g, r, w = (F.col(c) for c in ("_S", "_G", "n_risk", "_W"))
     g = F.greatest(g, F.lit(floor)) if floor else g
     tw = {"n": F.lit(1.0), "S": w * s / r, "S/G": w * s / (g * r), "n/G2": 1 / (g * g), "I": 1 / r}[kind]
-    return both.select(*keys, "time", tw.alias("_tw"))
+    return cut(both.select(*keys, "time", tw.alias("_tw")), "time-weights")
 
 
 def concordance(
@@ -240,7 +243,9 @@ def concordance(
     scored = had * F.col("v") * tw * ((F.col("time") <= tau).cast("int") if tau is not None else F.lit(1))
     other = {"all": F.col("w"), "events": had, "censored": F.col("w") - had}[against]
     still = {"all": F.col("w") - had, "events": F.lit(0.0), "censored": F.col("w") - had}[against] if not later_only else F.lit(0.0)
-    sums = rows.groupBy(*keys, "time", "risk").agg(F.sum(scored).alias("e"), F.sum(other).alias("n"), F.sum(still).alias("c"), F.sum(had).alias("h"))
+    sums = rows.groupBy(*keys, "time", "risk").agg(F.sum(scored).alias("e"), F.sum(other).alias("n"), F.sum(still).alias("c"), F.sum(had).alias("h"), F.sum(had * had).alias("hs"))
+    # cells of time and risk are read several times below
+    sums = cut(sums, "cells")
     ranks = running(sums.select("risk").distinct(), order="risk", sums={"rank": F.lit(1.0)}).select("risk", (F.col("rank") - 1).cast("long").alias("rank"))
     top = ranks.agg(F.coalesce(F.length(F.bin(F.max("rank"))), F.lit(1)).alias("_digits"))
     # digit -1: equal ranks
@@ -256,9 +261,8 @@ def concordance(
     by = [] if pooled else list(keys)
     total = counted.groupBy(*by).agg(F.sum("up").alias("concordant"), F.sum("down").alias("discordant"), F.sum("same").alias("tied_risk"))
     # pairs of events at one time: all, and those of equal risk too
-    of_time = sums.groupBy(*keys, "time").agg(F.sum("h").alias("h"), F.sum(F.col("h") * F.col("h")).alias("hh"))
-    squares = rows.groupBy(*keys, "time").agg(F.sum(had * had).alias("ss"))
-    ties = join_keys(of_time, squares, [*keys, "time"]).groupBy(*by).agg(F.sum((F.col("h") * F.col("h") - F.col("ss")) / 2).alias("_pairs"), F.sum((F.col("hh") - F.col("ss")) / 2).alias("tied_both"))
+    of_time = sums.groupBy(*keys, "time").agg(F.sum("h").alias("h"), F.sum(F.col("h") * F.col("h")).alias("hh"), F.sum("hs").alias("ss"))
+    ties = of_time.groupBy(*by).agg(F.sum((F.col("h") * F.col("h") - F.col("ss")) / 2).alias("_pairs"), F.sum((F.col("hh") - F.col("ss")) / 2).alias("tied_both"))
     out = join_keys(total, ties, by, few=not by)
     kind = "long" if plain else "double"
     cast = lambda c: F.round(F.col(c)).cast(kind) if plain else F.col(c)

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from censorium.functions.prefix import cuts_of
 from censorium.operators.cox import _rows, _step, _total, cox_fit
 
 
@@ -72,7 +73,7 @@ def elastic_net(
     mean, sd = _standard(rows, x)
     scaled = rows.select(*dict.fromkeys([time, status, *([weight] if weight else [])]), *(((F.col(c) - float(mean[i])) / float(sd[i] or 1.0)).alias(f"_x{i}") for i, c in enumerate(x))).persist()
     names = [f"_x{i}" for i in range(len(x))]
-    how = dict(time=time, status=status, strata=[], entry=None, weight=weight, ties=ties)
+    how = dict(time=time, status=status, strata=[], entry=None, weight=weight, ties=ties, cuts=cuts_of(scaled.withColumn("_t", F.col(time).cast("double")), "_t"))
     out: list[PenalizedFit] = []
     try:
         n = scaled.count()

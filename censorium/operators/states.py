@@ -129,20 +129,20 @@ def subdistribution_rows(df: DataFrame, *, time: str, cause: str, of: int = 1, k
     d, c = (F.col(cause) != 0).cast("double"), (F.col(cause) == 0).cast("double")
     at = timeline(rows, time="_t", entry=None, keys=keys, at={"d": d, "c": c, "o": (F.col(cause) == of).cast("double")}, leaving={"n": F.lit(1.0)})
     left = F.col("n") - F.col("d")
-    g = running(at, order="time", keys=keys, products={"G": F.when(left > 0, 1 - F.col("c") / left).otherwise(F.lit(1.0))}, keep_bin=True)
+    g = running(at, order="time", keys=keys, products={"_cg": F.when(left > 0, 1 - F.col("c") / left).otherwise(F.lit(1.0))}, keep_bin=True)
     g = running(g, order="time", keys=keys, maxima={"last": F.when(F.col("o") > 0, F.col("time"))}, reverse=True)
     single = rows.where((F.col(cause) == 0) | (F.col(cause) == of)).withColumns({"fg_start": F.lit(0.0), "fg_stop": F.col("_t"), "fg_status": (F.col(cause) == of).cast("int"), "fg_weight": F.lit(1.0)}).drop("_t")
     others = rows.where((F.col(cause) != 0) & (F.col(cause) != of))
-    own = as_of(others, g, at="_t", step="time", values=["G"], keys=keys).withColumnRenamed("G", "_own")
+    own = as_of(others, g, at="_t", step="time", values=["_cg"], keys=keys).withColumnRenamed("_cg", "_first")
     # censoring times with a later event of the cause, as one array per group: its length is that of the censoring curve, not of the data
-    cuts = g.where("c > 0 and last > time").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("time", "G"))).alias("_cuts"))
+    cuts = g.where("c > 0 and last > time").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("time", "_cg"))).alias("_cuts"))
     ends = g.groupBy(*keys).agg(F.max(F.when(F.col("o") > 0, F.col("time"))).alias("_end"))
     beside = join_keys(join_keys(own, ends, keys, few=not keys), cuts, keys, "left", few=bool(not keys)) if keys else own.crossJoin(F.broadcast(ends)).crossJoin(F.broadcast(cuts))
     later = F.filter(F.coalesce("_cuts", F.array().cast(cuts.schema["_cuts"].dataType)), lambda x: x["time"] >= F.col("_t"))
-    starts = F.concat(F.array(F.struct(F.lit(0.0).alias("time"), F.col("_own").alias("G"))), later)
+    starts = F.concat(F.array(F.struct(F.lit(0.0).alias("time"), F.col("_first").alias("_cg"))), later)
     parts = beside.withColumn("_later", starts).withColumn("_i", F.explode(F.sequence(F.lit(1), F.size("_later")))).withColumn("_x", F.element_at("_later", F.col("_i")))
     stop = F.when(F.col("_i") < F.size("_later"), F.element_at("_later", F.least(F.col("_i") + 1, F.size("_later")))["time"]).otherwise(F.greatest(F.col("_t"), F.coalesce("_end", F.col("_t"))))
-    out = parts.withColumns({"fg_start": F.col("_x.time"), "fg_stop": stop, "fg_status": F.lit(0), "fg_weight": F.col("_x.G") / F.col("_own")})
+    out = parts.withColumns({"fg_start": F.col("_x.time"), "fg_stop": stop, "fg_status": F.lit(0), "fg_weight": F.col("_x._cg") / F.col("_first")})
     return single.unionByName(out.where("fg_stop > fg_start").select(single.columns))
 
 
