@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from censorium.llm.common import table
+from censorium.llm.common import saved, table
 
 BUCKETS, DIM, ORDERS = 4096, 16, (2, 3, 4)
-#: Rows of each language that the fit learns from at most, in expectation; most languages.
-SAMPLE_PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: Rows of each language, and of all languages together, that the fit learns from at most, in expectation.
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 150_000
+#: Labels whose counts are sent to all executors at most.
+BROADCAST_LANGUAGES = 100_000
 #: Short passages drawn from each sampled text, so that short texts are learned too.
 PASSAGE_WORDS = (2, 8, 30)
 EPOCHS, BATCH, RATE, SEED = 12, 64, 8.0, 7
@@ -90,8 +92,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(x: np.ndarray, y: np.ndarray, whole: np.ndarray, languages: list[str]) -> LanguageModel:
-    """x: features, y: language numbers, whole: which rows are whole texts (these calibrate)."""
+class SparseRows:
+    """Feature rows as places and values; an index of rows gives them dense."""
+
+    def __init__(self, places: list[np.ndarray], values: list[np.ndarray]) -> None:
+        self.places, self.values = places, values
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), BUCKETS), dtype=np.float32)
+        for i, r in enumerate(rows):
+            out[i, self.places[r]] = self.values[r]
+        return out
+
+
+def train(x: np.ndarray | SparseRows, y: np.ndarray, whole: np.ndarray, languages: list[str]) -> LanguageModel:
+    """x: features, y: language numbers, whole: which rows are whole texts (these calibrate).  A batch at a time is dense."""
     rng = np.random.default_rng(SEED)
     kept = rng.random(len(y)) < CALIBRATE
     fit = np.flatnonzero(~kept)
@@ -116,11 +134,10 @@ def train(x: np.ndarray, y: np.ndarray, whole: np.ndarray, languages: list[str])
     model = LanguageModel(languages, embed, weights, bias, 1.0, 0.0)
     held = np.flatnonzero(kept)
     if len(held):
-        xh = x[held].astype(np.float32)
-        z, t = xh @ embed @ weights + bias, y[held]
+        z, t = np.concatenate([x[held[a : a + 1024]].astype(np.float32) @ embed for a in range(0, len(held), 1024)]) @ weights + bias, y[held]
         loss = lambda temp: -np.log(np.maximum(_softmax(z / temp)[np.arange(len(t)), t], 1e-12)).mean()
         model.temperature = float(min(np.geomspace(0.25, 8, 41), key=loss))
-        top = model.probabilities(xh).max(axis=1)[whole[held]]
+        top = _softmax(z / model.temperature).max(axis=1)[whole[held]]
         model.threshold = min(HIGHEST, float(np.quantile(top, REJECT))) if len(top) else 0.0
     return model
 
@@ -136,20 +153,20 @@ def passages(text: str, key: int) -> list[str]:
     return [" ".join(words[(a := int(rng.integers(0, len(words) - n + 1))) : a + n]) for n in PASSAGE_WORDS if len(words) > n]
 
 
-def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from ``docs(doc_id, text, lang)``, the caller having left out what may not be learned from.
 
-    Rows without doc_id, lang or a text with words don't count.  A row is in the sample if
-    a hash of its doc_id is below per_language / rows of its language; its features are
-    made by Spark, and only they come to the driver.
+    Rows without doc_id, lang or a text with words don't count.  Every label is learned.  A row is in the sample if
+    a hash of its doc_id is below share / rows of its language, the share being the smaller of ``per_language``
+    and ``most_rows`` over the number of languages; its features are made by Spark, and only they come to
+    the driver, as sparse rows.
     """
     rows = docs.select("doc_id", "text", "lang").where("doc_id is not null and text is not null and lang is not null")
-    counts = dict(sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()))
-    if not counts:
+    counts = saved(rows.groupBy("lang").agg(F.count("*").alias("_n")), "languages")
+    languages = counts.count()
+    if not languages:
         return LanguageModel([], np.zeros((BUCKETS, DIM)), np.zeros((DIM, 0)), np.zeros(0), 1.0, 0.0)
-    share = F.lit(None).cast("double")
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
+    share = min(float(per_language), most_rows / languages) / F.col("_n")
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) / float(1 << 32)
     kinds = "doc_id long, lang string, whole boolean, at binary, x binary"
 
@@ -165,11 +182,10 @@ def fit(docs: DataFrame, *, per_language: int = SAMPLE_PER_LANGUAGE, most_langua
             cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.bool_(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "lang", "whole", "at", "x"])
 
-    found = rows.where(draw < share).mapInArrow(run, kinds).toPandas().sort_values(["doc_id", "lang", "whole", "at", "x"])
-    names = list(counts)
-    x = np.zeros((len(found), BUCKETS), dtype=np.float16)
-    for i, (at, values) in enumerate(zip(found["at"], found["x"], strict=True)):
-        x[i, np.frombuffer(at, dtype="<u2")] = np.frombuffer(values, dtype="<f2")
+    drawn = rows.join(F.broadcast(counts) if languages <= BROADCAST_LANGUAGES else counts, "lang").where(draw < share).select("doc_id", "text", "lang")
+    found = drawn.mapInArrow(run, kinds).toPandas().sort_values(["doc_id", "lang", "whole", "at", "x"])
+    names = sorted(found["lang"].unique())
+    x = SparseRows([np.frombuffer(v, dtype="<u2") for v in found["at"]], [np.frombuffer(v, dtype="<f2") for v in found["x"]])
     y, whole = found["lang"].map(names.index).to_numpy(dtype=np.int64), found["whole"].to_numpy(dtype=bool)
     del found
     return train(x, y, whole, names)
