@@ -31,14 +31,21 @@ K, SCALE, EVERY = 5, 256.0, 50
 #: Routing objects; members of a page; rows of a group that is cut into pages; queries of a block.
 ROUTERS, PAGE, GROUP, BLOCK = 64, 256, 50_000, 4_096
 #: Relative slack of floating-point bounds; exact scores decide inside it.
-SLACK = 1e-9
+SLACK = 1e-7
+#: Bits of the largest squared length whose scores are certain to fit a long.
+LENGTH_BITS = 62
 
 
 def integer_vectors(rows: DataFrame, *, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
-    """``(id, v array<long>)``; rows without id, without vector, or with a null, NaN or infinite component drop out."""
+    """``(id, v array<long>)``; rows without id, without vector, or with a null, NaN or infinite component drop out.
+
+    So do vectors whose squared length, in integers, is 2^62 or more: scores of the others are below that, fit a long and are exact.
+    """
     v = F.col(vector_col).cast("array<double>")
-    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return rows.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float(1 << (LENGTH_BITS // 2))))
+    whole = rows.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    length = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return whole.where(length < float(1 << LENGTH_BITS))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -160,10 +167,10 @@ def _search(dim: int, asked: list, best: dict[int, Best], cols: list[list], obje
     routers, parents, radii = np.array(routers), np.array(parents), np.array(radii)
     routing = np.stack([np.frombuffer(b) for b in routing])
     ids, distances = [np.frombuffer(b, dtype=np.int64) for b in ids], [np.frombuffer(b) for b in distances]
-    vectors = [np.frombuffer(b, dtype=np.int64).reshape(-1, dim).astype(np.float64) for b in vectors]
+    vectors = [np.frombuffer(b, dtype=np.int64).reshape(-1, dim) for b in vectors]
     for key, v in asked:
         q = np.append(v.astype(np.float64), 0.0)
-        length = float(v @ v) + top
+        length = float(v.astype(np.float64) @ v.astype(np.float64)) + top
         slack = SLACK * (length + 1) ** 0.5 + 1e-6
         found = best[key]
         # no distance to a page yet: only that between its routing object and the parent
@@ -190,9 +197,9 @@ def _search(dim: int, asked: list, best: dict[int, Best], cols: list[list], obje
             near = np.abs(d - distances[p]) <= reach
             near &= ids[p] != key
             if near.any():
-                scores = vectors[p][near] @ v.astype(np.float64)
+                scores = vectors[p][near] @ v  # whole numbers, exact
                 fine = scores >= found.least
-                found.add(scores[fine].astype(np.int64), ids[p][near][fine])
+                found.add(scores[fine], ids[p][near][fine])
 
 
 def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
