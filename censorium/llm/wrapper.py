@@ -21,6 +21,7 @@ import json
 import math
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
@@ -55,7 +56,10 @@ ASIDE_NAMES = re.compile(
     re.IGNORECASE,
 )
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+#: A tag up to the next >, for pages with unclosed quotes.
+LOOSE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+LETTERS = frozenset("/abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACE = re.compile(r"\s+")
 
@@ -70,7 +74,7 @@ class Node:
     @property
     def key(self) -> str:
         """What aligns: the tag and how the page names the element."""
-        names = " ".join(sorted(self.attrs.get("class", "").split())[:4])
+        names = " ".join(sorted(self.attrs.get("class", "").split()))
         return f"{self.tag}.{names}" if names else self.tag
 
     def is_aside(self) -> bool:
@@ -83,47 +87,75 @@ class Node:
 
 
 def parse(text: str) -> Node:
-    """A tolerant tree: implied and missing end tags, stray end tags, unfinished pages."""
+    """A tolerant tree: implied and missing end tags, stray end tags, unfinished tags and pages.  Its time is linear in the page."""
     root = Node("#root")
     stack, at, n = [root], 0, len(text)
+    opened: Counter[str] = Counter()
+    tag_of, found = TAG, 0
     while at < n:
-        m = TAG.search(text, at)
-        if m is None:
+        # found: the next < that may begin something; between at and it lies text
+        found = text.find("<", max(at, found))
+        if found < 0 or found + 1 >= n:
             stack[-1].inside.append(html.unescape(text[at:]))
             break
-        if m.start() > at:
-            stack[-1].inside.append(html.unescape(text[at : m.start()]))
-        at = m.end()
+        if text[found + 1] not in LETTERS and text[found + 1] not in "!?":
+            found += 1
+            continue
+        m = tag_of.match(text, found)
+        if m is None and tag_of is TAG and text[found + 1] in LETTERS:
+            # an unclosed quote, or no > any more: from here on tags end at the next >
+            tag_of = LOOSE
+            m = tag_of.match(text, found)
+        if m is None:
+            if text.find(">", found) < 0:
+                stack[-1].inside.append(html.unescape(text[at:]))
+                break
+            found += 1
+            continue
+        if found > at:
+            stack[-1].inside.append(html.unescape(text[at:found]))
+        at = found = m.end()
         if m[1] is not None:
             stack[-1].inside.append(m[1])
         if m[3] is None:
             continue
         tag = m[3].lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+            if opened[tag]:
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        _pop(stack, opened, i)
+                        break
             continue
-        if tag in CLOSES_P:
-            _close(stack, frozenset(["p"]))
-        if tag in IMPLIED:
-            _close(stack, IMPLIED[tag])
+        if tag in CLOSES_P and opened["p"]:
+            _close(stack, opened, _PARAGRAPH)
+        if tag in IMPLIED and any(opened[t] for t in IMPLIED[tag]):
+            _close(stack, opened, IMPLIED[tag])
         node = Node(tag, _attributes(m[4]) if m[4] and m[4] != "/" else {})
         stack[-1].inside.append(node)
         if tag in OPAQUE:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(text, at)
-            at = end.end() if end else n
+            at = found = end.end() if end else n
         elif tag not in VOID and not m[4].endswith("/") or tag in BLOCKS and tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
-def _close(stack: list[Node], tags: frozenset[str]) -> None:
+_PARAGRAPH = frozenset(["p"])
+
+
+def _pop(stack: list[Node], opened: Counter[str], i: int) -> None:
+    for node in stack[i:]:
+        opened[node.tag] -= 1
+    del stack[i:]
+
+
+def _close(stack: list[Node], opened: Counter[str], tags: frozenset[str]) -> None:
     """End an open element of these tags, if none of the elements around it begins a new scope."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
+            _pop(stack, opened, i)
             return
         if stack[i].tag in SCOPE:
             return
@@ -142,35 +174,52 @@ class Slots:
     texts: list[str] = field(default_factory=list)
 
     def shape(self) -> list:
-        return [self.key, bool(self.texts), [c.shape() for c in self.children]]
+        """(depth, key, whether it has text) of the nodes in order."""
+        out, work = [], [(self, 0)]
+        while work:
+            node, depth = work.pop()
+            out.append([depth, node.key, bool(node.texts)])
+            work += [(c, depth + 1) for c in reversed(node.children)]
+        return out
 
 
 def collapse(nodes: list[Node], slots: dict[int, Slots]) -> Slots:
     """Runs of siblings with equal keys as one node; ``slots`` says by id() where each node went."""
-    out = Slots(nodes[0].key)
-    children: list[list[Node]] = []
-    for node in nodes:
-        slots[id(node)] = out
-        for x in node.inside:
-            if isinstance(x, str):
-                if not x.isspace():
-                    out.texts.append(x)
-            elif x.tag not in RAW and x.tag not in ("br", "wbr"):
-                if children and children[-1][0].key == x.key:
-                    children[-1].append(x)
-                else:
-                    children.append([x])
-    out.children = [collapse(run, slots) for run in children]
-    return out
+    whole = Slots(nodes[0].key)
+    work = [(nodes, whole)]
+    while work:
+        run, out = work.pop()
+        children: list[list[Node]] = []
+        for node in run:
+            slots[id(node)] = out
+            for x in node.inside:
+                if isinstance(x, str):
+                    if not x.isspace():
+                        out.texts.append(x)
+                elif x.tag not in RAW and x.tag not in ("br", "wbr"):
+                    if children and children[-1][0].key == x.key:
+                        children[-1].append(x)
+                    else:
+                        children.append([x])
+        out.children = [Slots(r[0].key) for r in children]
+        work += zip(children, out.children, strict=True)
+    return whole
 
 
 def in_order(tree: Slots) -> list[Slots]:
-    out = [tree]
-    for c in tree.children:
-        out += in_order(c)
+    out, work = [], [tree]
+    while work:
+        node = work.pop()
+        out.append(node)
+        work += reversed(node.children)
     return out
 
 
+def _deep() -> None:
+    """Room for trees of any depth: calls between Python functions don't use the C stack."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000_000))
+
+
 def slot_texts(nodes: list[Slots]) -> list[str]:
     return ["\n".join(SPACE.sub(" ", t).strip() for t in s.texts) for s in nodes]
 
@@ -190,13 +239,23 @@ class Matcher:
         self.weights: dict[tuple[int, int], int] = {}
 
     def number(self, shape: list) -> int:
-        inside = tuple([self.number(c) for c in shape[2]])
-        found = self.numbers.setdefault((shape[0], inside), len(self.keys))
-        if found == len(self.keys):
-            self.keys.append(shape[0])
-            self.children.append(inside)
-            self.sizes.append(1 + sum(self.sizes[c] for c in inside))
-        return found
+        """The number of a tree, given as (depth, key, ...) of its nodes in order, or nested as (key, ..., children)."""
+        if isinstance(shape[0], str):
+            shape, work = [], [(0, shape)]
+            while work:
+                depth, node = work.pop()
+                shape.append((depth, node[0]))
+                work += [(depth + 1, c) for c in reversed(node[2])]
+        waiting: dict[int, list[int]] = {}
+        for depth, key, *_ in reversed(shape):
+            inside = tuple(reversed(waiting.pop(depth + 1, [])))
+            found = self.numbers.setdefault((key, inside), len(self.keys))
+            if found == len(self.keys):
+                self.keys.append(key)
+                self.children.append(inside)
+                self.sizes.append(1 + sum(self.sizes[c] for c in inside))
+            waiting.setdefault(depth, []).append(found)
+        return waiting[0][0]
 
     def weight(self, a: int, b: int) -> int:
         """Size of the largest match of two subtrees."""
@@ -289,7 +348,7 @@ def aligned(reference: str, page: str) -> np.ndarray:
     """
     name = xxhash.xxh3_128_intdigest(f"{reference}\0{page}")
     if name not in _aligned:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))
+        _deep()
         matcher = Matcher()
         a, b = matcher.number(json.loads(reference)), matcher.number(json.loads(page))
         out = [-1] * matcher.sizes[b]
@@ -305,6 +364,7 @@ def aligned(reference: str, page: str) -> np.ndarray:
 
 def blocks_of(root: Node, keep: set[int] | None, slots: dict[int, Slots], order: dict[int, int]) -> list[str]:
     """Texts of the blocks of the main part, in page order; ``keep`` None: no slot is template."""
+    _deep()
     tops = _main_parts(root)
     out: list[str] = []
     run: list[str] = []
