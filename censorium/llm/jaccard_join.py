@@ -442,3 +442,18 @@ def similar_components(docs: DataFrame, *, percent: int = PERCENT, words: int =
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id of all documents."""
     return similar_components(table(spark, sf_dir, "documents"))
+
+
+#: The same by counting shared shingles of all pairs that share one.
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+), e as (select doc_id, unnest(s) as x from s
+), c as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all
+), l as (select a, b from c join s p on p.doc_id = a join s q on q.doc_id = b where 100 * c >= 80 * (len(p.s) + len(q.s) - c)
+), u as (select a, b from l union all select b, a from l
+), r(doc_id, reach) as (select doc_id, doc_id from s union select r.doc_id, u.b from r join u on u.a = r.reach)
+select s.doc_id, cast(len(s.s) as bigint) as n_shingles, min(r.reach) as component_id from s join r on r.doc_id = s.doc_id group by all
+"""

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from censorium.llm.byte_bpe import op3_byte_bpe
 from censorium.llm.fingerprints import op5_fingerprints
-from censorium.llm.jaccard_join import op8_jaccard_join
+from censorium.llm.jaccard_join import OP8_SQL, op8_jaccard_join
 from censorium.llm.language_id import op7_language_id
 from censorium.llm.metric_topk import OP2_SQL, op2_metric_topk
 from censorium.llm.packing import op10_packing
 from censorium.llm.suffix_dedup import op1_suffix_dedup
 from censorium.llm.token_files import op6_token_files
-from censorium.llm.warc import op9_warc
+from censorium.llm.warc import OP9_SQL, op9_warc
 from censorium.llm.wrapper import op4_main_text
 
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_metric_topk": OP2_SQL}
+    return {"op2_metric_topk": OP2_SQL, "op8_jaccard_join": OP8_SQL, "op9_warc": OP9_SQL}

@@ -7,7 +7,9 @@ records when the schema has no ``payload``.
 Writing: each task writes its own archive under a temporary name; the commit of the job
 gives the final names, so that lost tasks and executors leave nothing behind that counts.
 
-Archives are reached through pyarrow's file systems (local, hdfs, s3, ...).
+Archives are reached through pyarrow's file systems (local, hdfs, s3, ...).  Compressed archives (.warc.gz) are read
+too, from front to back.  Headers may be written in any case and without a space; a record without a length
+or a file that isn't an archive is an error.  Line breaks in a value are written percent-encoded.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PARTITION_BYTES, BATCH_ROWS, BATCH_BYTES = 64 << 20, 4_096, 16 << 20
 #: Duplicate payloads that are sent to all executors at most.
 BROADCAST_ROWS = 200_000
 VERSION = b"WARC/1.1"
+#: Profile of a revisit with an equal payload (fixed value).
+PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SCHEMA = "record_id string, record_type string, uri string, date string, refers_to string, payload_digest string, payload_bytes long, content_length long, payload binary"
 #: Columns that are headers (fixed names of the format).
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "uri": "WARC-Target-URI", "date": "WARC-Date", "refers_to": "WARC-Refers-To", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "content_length": "Content-Length"}
@@ -80,11 +84,11 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[Files]:
         system, root = open_fs(self.path)
-        files = sorted((i.path, i.size) for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.base_name.endswith(".warc"))
+        files = sorted((i.path, i.size) for i in system.get_file_info(fs.FileSelector(root, recursive=True)) if i.is_file and i.base_name.endswith((".warc", ".warc.gz")))
         out: list[Files] = []
         room = 0
         for path, size in files:
-            if size > room:
+            if not out or size > room:
                 out.append(Files([]))
                 room = self.partition_bytes
             out[-1].paths.append(path)
@@ -97,7 +101,7 @@ class WarcReader(DataSourceReader):
         rows: list[list] = []
         held = 0
         for path in partition.paths:
-            with system.open_input_file(path) as raw:
+            with Unpacked(system.open_input_stream(path, compression="gzip")) if path.endswith(".gz") else system.open_input_file(path) as raw:
                 for headers, payload in records(raw, self.wanted, "payload" in self.columns):
                     rows.append([payload if c == "payload" else _value(c, headers) for c in self.columns])
                     held += len(payload or b"")
@@ -118,30 +122,87 @@ def _batch(rows: list[list], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds.values(), strict=True)], names=list(kinds))
 
 
-def records(raw: pa.NativeFile, wanted: dict[str, set[str]], payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
-    """Headers and, if asked for, payload of each record that passes; other payloads are not read."""
-    size, at, window, base = raw.size(), 0, b"", 0
+class Unpacked:
+    """A compressed archive, read forwards; what lies before the last place asked for is gone."""
+
+    def __init__(self, stream: pa.NativeFile) -> None:
+        self.stream, self.at = stream, 0
+
+    def read_at(self, n: int, at: int) -> bytes:
+        while self.at < at:
+            skipped = len(self.stream.read(min(1 << 20, at - self.at)))
+            if not skipped:
+                return b""
+            self.at += skipped
+        found = self.stream.read(n)
+        self.at += len(found)
+        return found
+
+    def __enter__(self) -> Unpacked:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.stream.close()
+
+
+#: Header names in lower case to the names used here.
+_NAMES = {h.lower(): h for h in HEADERS.values()}
+
+
+def headers_of(lines: list[bytes]) -> dict[str, str]:
+    """Headers by name: any case, with or without space after the colon, continued lines joined; others are passed over."""
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
+        text = line.decode("utf-8", "replace")
+        if text[:1] in (" ", "\t") and last:
+            out[last] += " " + text.strip()
+            continue
+        name, colon, value = text.partition(":")
+        if colon:
+            last = _NAMES.get(name.strip().lower(), name.strip())
+            out[last] = value.strip()
+    return out
+
+
+def records(raw: pa.NativeFile | Unpacked, wanted: dict[str, set[str]], payloads: bool) -> Iterator[tuple[dict[str, str], bytes | None]]:
+    """Headers and, if asked for, payload of each record that passes; other payloads are not read (of compressed archives: not kept)."""
+    at, window, base = 0, b"", 0
     step = 64 << 10
-    while at < size:
+    while True:
         # headers first: read on only until the blank line
         if not base <= at < base + len(window):
-            window, base = raw.read_at(min(step, size - at), at), at
+            window, base = raw.read_at(step, at), at
+        if not window[at - base :].strip(b"\r\n"):
+            more = raw.read_at(step, base + len(window))
+            if not more:
+                return
+            window, base = window[at - base :] + more, at
+            continue
+        while window[at - base : at - base + 1] in (b"\r", b"\n"):
+            at += 1
         while (end := window.find(b"\r\n\r\n", at - base)) < 0:
-            if base + len(window) >= size:
+            more = raw.read_at(step, base + len(window))
+            if not more:
                 raise ValueError(f"cut-off WARC header at byte {at}")
-            window, base = window[at - base :] + raw.read_at(min(step, size - base - len(window)), base + len(window)), at
+            window, base = window[at - base :] + more, at
         lines = window[at - base : end].split(b"\r\n")
         if not lines[0].startswith(b"WARC/"):
             raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.decode().split(": ", 1) for x in lines[1:])
+        headers = headers_of(lines[1:])
+        if not headers.get("Content-Length", "").isdigit():
+            raise ValueError(f"no Content-Length in the WARC record at byte {at}")
         begin, length = base + end + 4, int(headers["Content-Length"])
         if all(headers.get(k) in v for k, v in wanted.items()):
             payload = None
             if payloads:
                 inside = begin - base
-                payload = window[inside : inside + length] if inside + length <= len(window) else raw.read_at(length, begin)
+                payload = window[inside : inside + length]
+                if len(payload) < length:
+                    payload += raw.read_at(length - len(payload), begin + len(payload))
+                    window, base = b"", begin + length
             yield headers, payload
-        at = begin + length + 4
+        at = begin + length
 
 
 @dataclass
@@ -190,8 +251,10 @@ def record(row: dict) -> bytes:
     lines = [VERSION]
     for column, header in HEADERS.items():
         if column != "content_length" and (value := row.get(column)) is not None:
-            text = "".join(str(value).splitlines())  # a header is one line
+            text = "".join(f"%{ord(c):02X}" if c in "\r\n" else c for c in str(value))  # a header is one line
             lines.append(f"{header}: {text}".encode())
+    if row.get("record_type") == "revisit":
+        lines.append(b"WARC-Profile: " + PROFILE)
     lines += [b"Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}".encode()]
     return b"\r\n".join([*lines, b"", payload, b"", b""])
 
@@ -254,3 +317,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = spark.read.format("warc").schema(SCHEMA.rsplit(",", 1)[0]).load(path)
     revisits = heads.where("record_type = 'revisit'").select("record_id", "payload_bytes", F.substring_index("payload_digest", ":", -1).alias("payload_digest"), "record_type", "refers_to")
     return responses.union(revisits).select(page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of("refers_to").alias("refers_to"))
+
+
+#: The same from the pages themselves.
+OP9_SQL = """
+with b as (select page_id, octet_length(encode(coalesce(html, ''))) as n, sha1(coalesce(html, '')) as d from pages
+), m as (select d, max(page_id) as last from b where n >= 1000 group by d)
+select page_id, cast(n as bigint) as payload_bytes, b.d as payload_digest, case when n >= 1000 and page_id < last then 'revisit' else 'response' end as record_type,
+  case when n >= 1000 and page_id < last then last end as refers_to
+from b left join m on m.d = b.d
+"""
