@@ -164,15 +164,18 @@ def life_table(df: DataFrame, *, time: str, status: str, width: float | None = N
     return out.withColumn("std_err", F.col("surv") * F.sqrt("_g")).drop("_g")
 
 
-def cumulative_incidence(df: DataFrame, *, time: str, cause: str, keys: Sequence[str] = (), level: float = 0.95) -> DataFrame:
+def cumulative_incidence(df: DataFrame, *, time: str, cause: str, keys: Sequence[str] = (), level: float = 0.95, with_variance: bool = True) -> DataFrame:
     """Aalen–Johansen incidence of each cause (0: censored): one row per group, time of that cause, and cause.
 
-    ``variance`` is the delta-method variance; limits are plain, clamped to [0, 1].
+    ``variance`` is the delta-method variance; limits are plain, clamped to [0, 1].  Without it only the causes' own times are visited.
     """
     rows = df.where(F.col(time).isNotNull() & F.col(cause).isNotNull()).withColumn("_any", (F.col(cause) != 0).cast("int"))
     base = cells(rows, time=time, status="_any", keys=keys, keep_bin=True)
     before = running(base, order="time", keys=keys, products={"before": 1 - _ratio("n_event", "n_risk")}, strict=True).select(*keys, "time", "n_risk", "before", F.col("n_event").alias("n_all"))
     by_cause = rows.where(F.col(cause) != 0).groupBy(*keys, F.col(time).cast("double").alias("time"), F.col(cause).alias("cause")).agg(F.count("*").cast("double").alias("n_event"))
+    if not with_variance:
+        own = join_keys(by_cause, before, [*keys, "time"]).withColumn("_step", F.col("before") * F.col("n_event") / F.col("n_risk"))
+        return running(own, order="time", keys=[*keys, "cause"], sums={"incidence": F.col("_step")}).select(*keys, "time", "cause", "n_event", "n_risk", "incidence")
     # every cause has a row at every event time, so that its variance can run over all of them
     causes = by_cause.select("cause").distinct()
     times = before.where("n_all > 0")

@@ -57,7 +57,7 @@ def actuarial(spark: SparkSession, sf_dir: str) -> DataFrame:
 def incidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     cause = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "signup", 2).otherwise(0)
     rows = _events(spark, sf_dir).select(F.floor("value").alias("t"), cause.alias("cause"))
-    return curves.cumulative_incidence(rows, time="t", cause="cause").select("time", "cause", "n_event", *_r("incidence"))
+    return curves.cumulative_incidence(rows, time="t", cause="cause", with_variance=False).select("time", "cause", "n_event", *_r("incidence"))
 
 
 def logrank_test(spark: SparkSession, sf_dir: str) -> DataFrame:
