@@ -9,18 +9,20 @@ dealt out to buckets by the leading bits.
 
 Documents come in blocks of ascending doc_id.  In each bucket, within one call that has all its
 blocks, a block's array is a new batch: it is merge-scanned against the existing levels, then added as a level, and levels of
-like size are merged, so that sizes stay geometric.  Three scans narrow the work down, and
+like size are merged, so that sizes stay geometric.  Four scans narrow the work down, and
 only what survives one reaches the next:
 
 1. anchors' grams (40 bits each): which occur in several documents;
 2. of those, the whole context that strings around the anchor can cover: an equal context in
    an earlier document settles all its strings at once (the inside of every long match);
-3. of the rest (the edges of matches), each string of ``least`` bytes.
-
-What goes back to the blocks is one or two bits an entry.  Blocks lie in a table bucketed by
-block, so text is shuffled once.  Every block sends an entry once however often it holds it,
-so a passage of a third of all documents costs no bucket more than a row per block.
-Contexts and strings are told apart by 64-bit hashes.
+3. of contexts that no earlier block has, the grams again: which of them stand in several contexts;
+4. of anchors with those (the edges of matches), each string of ``least`` bytes.
+
+What goes back to the blocks is one flag an entry.  Blocks lie in a table bucketed by
+block, so text is shuffled once.  Every block sends an entry once however often it holds it, and
+contexts are dealt out by their own hash, not by their gram's, so neither a passage nor a gram of
+a third of all documents costs a bucket more than an entry per block.  Contexts and strings are
+told apart by 96 bits: a 64-bit key and 32 bits of another hash beside it.
 """
 
 from __future__ import annotations
@@ -49,26 +51,45 @@ _PAD = 128
 
 
 class Levels:
-    """Sorted arrays of keys with geometrically falling sizes."""
+    """Sorted arrays of keys with geometrically falling sizes; beside each may stand a second hash of each key's owner."""
 
     def __init__(self) -> None:
         self.arrays: list[np.ndarray] = []
+        self.beside: list[np.ndarray | None] = []
 
-    def seen(self, keys: np.ndarray) -> np.ndarray:
-        """Which of the sorted keys some level holds: a merge scan of each level."""
+    def seen(self, keys: np.ndarray, beside: np.ndarray | None = None) -> np.ndarray:
+        """Which of the sorted keys some level holds, with the same second hash if there is one: a merge scan of each level."""
         found = np.zeros(len(keys), dtype=bool)
-        for level in self.arrays:
-            found |= level[np.minimum(np.searchsorted(level, keys), len(level) - 1)] == keys
+        for level, other in zip(self.arrays, self.beside, strict=True):
+            at = np.minimum(np.searchsorted(level, keys), len(level) - 1)
+            equal = level[at] == keys
+            if beside is None:
+                found |= equal
+                continue
+            open_, at = np.flatnonzero(equal), at[equal]
+            while len(open_):
+                same = other[at] == beside[open_]
+                found[open_[same]] = True
+                # equal keys with different second hashes stand side by side
+                open_, at = open_[~same], at[~same] + 1
+                on = at < len(level)
+                on[on] = level[at[on]] == keys[open_[on]]
+                open_, at = open_[on], at[on]
         return found
 
-    def add(self, keys: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, beside: np.ndarray | None = None) -> None:
         """A new level of sorted keys; levels not larger than twice the new one merge with it."""
         if not len(keys):
             return
         while self.arrays and len(self.arrays[-1]) <= 2 * len(keys):
-            keys = np.concatenate((self.arrays.pop(), keys))
-            keys.sort(kind="stable")  # merges two runs
+            keys, other = np.concatenate((self.arrays.pop(), keys)), self.beside.pop()
+            if beside is None:
+                keys.sort(kind="stable")  # merges two runs
+            else:
+                order = np.argsort(keys, kind="stable")
+                keys, beside = keys[order], np.concatenate((other, beside))[order]
         self.arrays.append(keys)
+        self.beside.append(beside)
 
 
 def _among(keys: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -136,28 +157,35 @@ class Block:
 
     # -- scan 2: contexts
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (gram, context), sorted."""
+        """Both hashes of the distinct contexts, sorted."""
         left = np.maximum(self.at - (self.least - GRAM), self.begins[self.doc])
         right = np.minimum(self.at + self.least, self.ends[self.doc])
         h = mix((self.at - left).astype(np.uint64) * _K[3] + (right - self.at).astype(np.uint64))
+        e = h.copy()
         for o in range(0, 2 * self.least - GRAM, 8):
             rest = np.clip(right - left - o, 0, 8)
-            h = mix((h ^ (self.words[np.minimum(left + o, self.n)] & _MASK[rest])) * _K[0] + np.uint64(o))
-        both = np.empty(len(h), dtype=[("g", "u8"), ("c", "u8")])
-        both["g"], both["c"] = self.gram, h
-        order = np.lexsort((h, self.gram))
-        new = np.concatenate(([True], both[order][1:] != both[order][:-1])) if len(h) else np.zeros(0, dtype=bool)
-        self.of_context = np.empty(len(h), dtype=np.int64)
-        self.of_context[order] = np.cumsum(new) - 1
-        kinds = both[order][new]
-        self.first_rank = np.full(len(kinds), np.iinfo(np.int64).max)
+            v = self.words[np.minimum(left + o, self.n)] & _MASK[rest]
+            h = mix((h ^ v) * _K[0] + np.uint64(o))
+            e = _other(e, v)
+        keys, beside, self.of_context, at = _distinct(h, e)
+        self.context_gram = self.gram[at]
+        self.first_rank = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(self.first_rank, self.of_context, self.rank[self.doc])
-        return kinds["g"].copy(), kinds["c"].copy()
+        return keys, beside
 
-    def use_contexts(self, settled: np.ndarray, fine: np.ndarray) -> None:
+    # -- scan 3: grams of the contexts that are new
+    def open_grams(self, settled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted distinct leading bits of these grams, and which have several of the block's new contexts."""
+        self.settled = settled
+        keys, self.of_new = np.unique(self.context_gram[~settled] >> np.uint64(32 - self.bits), return_inverse=True)
+        return keys, np.bincount(self.of_new, minlength=len(keys)) > 1
+
+    def use_contexts(self, flags: np.ndarray) -> None:
         """Marks the strings of settled anchors; keeps the positions of strings to look at one by one."""
+        fine = np.zeros(len(self.settled), dtype=bool)
+        fine[~self.settled] = flags[self.of_new]
         first = self.rank[self.doc] == self.first_rank[self.of_context]
-        done = settled[self.of_context] | ~first
+        done = self.settled[self.of_context] | ~first
         self.starts = np.zeros(self.n + 1, dtype=bool)
         self.starts[self._strings(done)] = True
         self.look = self._strings(fine[self.of_context] & first)
@@ -172,19 +200,21 @@ class Block:
         np.add.at(edges, high[ok] + 1, -1)
         return np.flatnonzero(np.cumsum(edges) > 0)
 
-    # -- scan 3: strings
-    def strings(self) -> np.ndarray:
-        """Sorted distinct hashes of the strings to look at."""
-        x = [self.words[self.look + o] for o in (*range(0, self.least - 7, 8), self.least - 8)]
+    # -- scan 4: strings
+    def strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Both hashes of the distinct strings to look at, sorted."""
         h = np.full(len(self.look), self.least, dtype=np.uint64)
-        for i, v in enumerate(x):
+        e = h.copy()
+        for i, o in enumerate((*range(0, self.least - 7, 8), self.least - 8)):
+            v = self.words[self.look + o]
             h = mix((h ^ v) * _K[i % 4] + np.uint64(i))
-        keys, self.of_string = np.unique(h, return_inverse=True)
+            e = _other(e, v)
+        keys, beside, self.of_string, _ = _distinct(h, e)
         rank = self.rank[np.searchsorted(self.ends, self.look, side="right")]
         least = np.full(len(keys), np.iinfo(np.int64).max)
         np.minimum.at(least, self.of_string, rank)
         self.later = rank > least[self.of_string]
-        return keys
+        return keys, beside
 
     def use_strings(self, seen: np.ndarray) -> None:
         self.starts[self.look[seen[self.of_string] | self.later]] = True
@@ -207,6 +237,27 @@ def _running(x: np.ndarray, w: int, f: Callable) -> np.ndarray:
     return f(x[: len(x) - (w - have)], x[w - have :]) if have < w else x
 
 
+def _other(e: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """One step of the second hash."""
+    e = (e + v) * _K[2]
+    return e ^ (e >> np.uint64(29))
+
+
+def _distinct(h: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of h and 32 bits of e in order of h; for each row its pair; for each pair one of its rows."""
+    beside = (mix(e) >> np.uint64(32)).astype(np.uint32)
+    order = np.argsort(h, kind="stable")
+    keys, others = h[order], beside[order]
+    if len(h) and np.any((keys[1:] == keys[:-1]) & (others[1:] != others[:-1])):
+        order = np.lexsort((beside, h))
+        keys, others = h[order], beside[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (others[1:] != others[:-1])
+    of = np.empty(len(h), dtype=np.int64)
+    of[order] = np.cumsum(new) - 1
+    return keys[new], others[new], of, order[new]
+
+
 def _several(of: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
     low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
     np.minimum.at(low, of, rank)
@@ -234,6 +285,14 @@ def _entries(block: int, bits: int, width: int, keys: np.ndarray, a: np.ndarray,
     return pa.table({"bucket": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "a": cut(a), "b": cut(b)})
 
 
+def _gram_entries(row: pa.Table, bits: int, keys: np.ndarray, several: np.ndarray) -> pa.Table:
+    return _entries(row.column("block")[0].as_py(), bits, bits + 32, keys, keys.astype("<u4"), several.astype(np.uint8))
+
+
+def _pair_entries(row: pa.Table, bits: int, keys: np.ndarray, beside: np.ndarray) -> pa.Table:
+    return _entries(row.column("block")[0].as_py(), bits, 64, keys, keys, beside)
+
+
 def _reply(scan: int, bucket: int, blocks: list[int], flags: list[np.ndarray]) -> pa.Table:
     n = len(blocks)
     return pa.table({"block": pa.array(blocks, pa.int64()), "scan": pa.array([scan] * n, pa.int32()), "bucket": pa.array([bucket] * n, pa.int32()), "flags": pa.array([f.astype(np.uint8).tobytes() for f in flags], pa.binary())})
@@ -244,7 +303,8 @@ def _in_order(rows: pa.Table) -> tuple[pa.Table, list[int], int]:
     return rows, rows.column("block").to_pylist(), rows.column("bucket")[0].as_py()
 
 
-def _scan_grams(rows: pa.Table) -> pa.Table:
+def _scan_grams(rows: pa.Table, scan: int) -> pa.Table:
+    """Which grams several blocks have, or one block several times."""
     rows, blocks, bucket = _in_order(rows)
     levels, hits = Levels(), []
     for i in range(len(blocks)):
@@ -253,35 +313,19 @@ def _scan_grams(rows: pa.Table) -> pa.Table:
         levels.add(keys[~seen])
         hits.append(keys[seen | several])
     wanted = np.unique(np.concatenate(hits))
-    return _reply(1, bucket, blocks, [_among(_u8(rows.column("a"), i, "<u4"), wanted) for i in range(len(blocks))])
+    return _reply(scan, bucket, blocks, [_among(_u8(rows.column("a"), i, "<u4"), wanted) for i in range(len(blocks))])
 
 
-def _scan_contexts(rows: pa.Table) -> pa.Table:
-    rows, blocks, bucket = _in_order(rows)
-    levels, settled, firsts = Levels(), [], []
-    for i in range(len(blocks)):
-        g, c = _u8(rows.column("a"), i, "<u8"), _u8(rows.column("b"), i, "<u8")
-        key = mix(g * _K[1] ^ c)
-        order = np.argsort(key)
-        seen = np.empty(len(key), dtype=bool)
-        seen[order] = levels.seen(key[order])
-        levels.add(np.sort(key[~seen]))
-        settled.append(seen)
-        firsts.append(g[~seen])
-    kinds, counts = np.unique(np.concatenate(firsts), return_counts=True)
-    open_grams = kinds[counts > 1]
-    return _reply(2, bucket, blocks, [s + 2 * (~s & _among(_u8(rows.column("a"), i, "<u8"), open_grams)) for i, s in enumerate(settled)])
-
-
-def _scan_strings(rows: pa.Table) -> pa.Table:
+def _scan_earlier(rows: pa.Table, scan: int) -> pa.Table:
+    """Which contexts or strings an earlier block has."""
     rows, blocks, bucket = _in_order(rows)
     levels, flags = Levels(), []
     for i in range(len(blocks)):
-        keys = _u8(rows.column("a"), i, "<u8")
-        seen = levels.seen(keys)
-        levels.add(keys[~seen])
+        keys, beside = _u8(rows.column("a"), i, "<u8"), _u8(rows.column("b"), i, "<u4")
+        seen = levels.seen(keys, beside)
+        levels.add(keys[~seen], beside[~seen])
         flags.append(seen)
-    return _reply(3, bucket, blocks, flags)
+    return _reply(scan, bucket, blocks, flags)
 
 
 def _flags(rows: pa.Table, scan: int) -> np.ndarray:
@@ -301,11 +345,12 @@ def _replayed(row: pa.Table, flags: pa.Table, upto: int, least: int, bits: int)
         block.use_grams(_flags(flags, 1).astype(bool))
         block.entries = block.contexts()
     if upto >= 2:
-        found = _flags(flags, 2)
-        block.use_contexts((found & 1).astype(bool), (found & 2).astype(bool))
-        block.entries = (block.strings(),)
+        block.entries = block.open_grams(_flags(flags, 2).astype(bool))
     if upto >= 3:
-        block.use_strings(_flags(flags, 3).astype(bool))
+        block.use_contexts(_flags(flags, 3).astype(bool))
+        block.entries = block.strings()
+    if upto >= 4:
+        block.use_strings(_flags(flags, 4).astype(bool))
     return block
 
 
@@ -396,28 +441,31 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, block_bytes: int = BL
                     b.doc = np.searchsorted(b.ends, b.at, side="right")
                     b.gram = b._gram(b.at)
                     keys, several = b.grams()
-                    yield from _entries(row.column("block")[0].as_py(), bits, bits + 32, keys, keys.astype("<u4"), several.astype(np.uint8)).to_batches()
+                    yield from _gram_entries(row, bits, keys, several).to_batches()
 
         def contexts(row: pa.Table, found: pa.Table) -> pa.Table:
-            g, c = _replayed(row, found, 1, least, bits).entries
-            return _entries(row.column("block")[0].as_py(), bits, 64, g, g, c)
+            return _pair_entries(row, bits, *_replayed(row, found, 1, least, bits).entries)
+
+        def open_grams(row: pa.Table, found: pa.Table) -> pa.Table:
+            return _gram_entries(row, bits, *_replayed(row, found, 2, least, bits).entries)
 
         def strings(row: pa.Table, found: pa.Table) -> pa.Table:
-            (keys,) = _replayed(row, found, 2, least, bits).entries
-            return _entries(row.column("block")[0].as_py(), bits, 64, keys, keys, np.zeros(0, dtype=np.uint8))
+            return _pair_entries(row, bits, *_replayed(row, found, 3, least, bits).entries)
 
         def beside(f: Callable, kinds: str | T.StructType, left: DataFrame) -> DataFrame:
             return left.groupBy("block").cogroup(flags.groupBy("block")).applyInArrow(f, kinds)
 
         one = wide(stored).mapInArrow(first, ENTRIES)
-        flags = saved(one.groupBy("bucket").applyInArrow(_scan_grams, FLAGS), "flags")
+        flags = saved(one.groupBy("bucket").applyInArrow(lambda rows: _scan_grams(rows, 1), FLAGS), "flags")
         two = beside(contexts, ENTRIES, wide(stored))
-        flags = flags.union(saved(two.groupBy("bucket").applyInArrow(_scan_contexts, FLAGS), "flags"))
-        three = beside(strings, ENTRIES, wide(stored))
-        flags = flags.union(saved(three.groupBy("bucket").applyInArrow(_scan_strings, FLAGS), "flags"))
+        flags = flags.union(saved(two.groupBy("bucket").applyInArrow(lambda rows: _scan_earlier(rows, 2), FLAGS), "flags"))
+        three = beside(open_grams, ENTRIES, wide(stored))
+        flags = flags.union(saved(three.groupBy("bucket").applyInArrow(lambda rows: _scan_grams(rows, 3), FLAGS), "flags"))
+        four = beside(strings, ENTRIES, wide(stored))
+        flags = flags.union(saved(four.groupBy("bucket").applyInArrow(lambda rows: _scan_earlier(rows, 4), FLAGS), "flags"))
 
         def last(row: pa.Table, found: pa.Table) -> pa.Table:
-            return _results(row, _replayed(row, found, 3, least, bits), columns, others)
+            return _results(row, _replayed(row, found, 4, least, bits), columns, others)
 
         out = saved(beside(last, schema, stored.select("block", "ids", "sizes", "data", "anchors", "rest")), "kept")
     finally:

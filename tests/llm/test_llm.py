@@ -75,6 +75,39 @@ def test_levels_are_geometric():
         assert all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
 
 
+def test_equal_keys_with_other_second_hashes():
+    """Keys that collide are told apart by what stands beside them, in a block and between blocks."""
+    levels, seen = suffix_dedup.Levels(), set()
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        h, e = rng.integers(0, 12, 30).astype(np.uint64), rng.integers(0, 6, 30).astype(np.uint64)
+        keys, beside, of, at = suffix_dedup._distinct(h, e)
+        pairs = list(zip(keys.tolist(), beside.tolist(), strict=True))
+        assert len(set(pairs)) == len(pairs) == len(set(zip(h.tolist(), e.tolist(), strict=True)))
+        assert (keys[of] == h).all() and (h[at] == keys).all() and (of[at] == np.arange(len(keys))).all()
+        hit = levels.seen(keys, beside)
+        assert hit.tolist() == [p in seen for p in pairs]
+        levels.add(keys[~hit], beside[~hit])
+        seen |= set(pairs)
+
+
+def test_suffix_dedup_hot_gram(spark):
+    """One string of fewer than 50 bytes in every document, in ever other contexts, beside repeats that go."""
+    rng = np.random.default_rng(2)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    hot, passage = "this common line is in all of it ", word(60)
+    rows = [(i, word(40) + hot + word(40) + (passage if i % 7 == 0 else "")) for i in range(200)]
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block_bytes=1500).collect()}
+    starts: dict[str, int] = {}
+    for i, t in rows:
+        gone = [False] * len(t)
+        for k in range(len(t) - 49):
+            if starts.setdefault(t[k : k + 50], i) < i:
+                gone[k : k + 50] = [True] * 50
+        assert got[i] == (sum(gone), sum(a and not b for a, b in zip(gone, [False, *gone], strict=False)))
+    assert sum(n > 0 for n, _ in got.values()) == 28
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     data = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(400)] + [(400 + i, [0.5] * 6) for i in range(300)]
