@@ -92,7 +92,7 @@ def test_equal_keys_with_other_second_hashes():
 
 
 def test_suffix_dedup_hot_gram(spark):
-    """One string of fewer than 50 bytes in every document, in ever other contexts, beside repeats that go."""
+    """One string of fewer than 50 bytes in every document, in ever different contexts, beside repeats that go."""
     rng = np.random.default_rng(2)
     word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
     hot, passage = "this common line is in all of it ", word(60)
