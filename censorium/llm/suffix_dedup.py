@@ -123,6 +123,10 @@ class Block:
         h += x[2] * _K[2]
         return mix(h)
 
+    def anchor_grams(self) -> np.ndarray:
+        """Grams of the anchors, hashed once more: an anchor's hash is the smallest of a window, so its leading bits would fill few buckets."""
+        return mix(self._gram(self.at) + _K[1])
+
     def anchors(self) -> None:
         """Positions, documents and grams of the anchors."""
         w = self.least - GRAM + 1
@@ -142,7 +146,7 @@ class Block:
         doc = np.searchsorted(self.ends, at, side="right")
         keep = (at + GRAM <= self.ends[doc]) & (self.sizes[doc] >= self.least) if len(at) else np.zeros(0, dtype=bool)
         self.at, self.doc = at[keep], doc[keep]
-        self.gram = self._gram(self.at)
+        self.gram = self.anchor_grams()
 
     # -- scan 1: grams
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -339,7 +343,7 @@ def _replayed(row: pa.Table, flags: pa.Table, upto: int, least: int, bits: int)
     gaps = _u8(row.column("anchors"), 0, "<u4")
     block.at = gaps.astype(np.int64)
     block.doc = np.searchsorted(block.ends, block.at, side="right")
-    block.gram = block._gram(block.at)
+    block.gram = block.anchor_grams()
     block.grams()
     if upto >= 1:
         block.use_grams(_flags(flags, 1).astype(bool))
@@ -439,7 +443,7 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, block_bytes: int = BL
                     b = Block(_u8(row.column("ids"), 0, "<i8"), _u8(row.column("sizes"), 0, "<i8"), row.column("data")[0].as_py(), least, bits)
                     b.at = _u8(row.column("anchors"), 0, "<u4").astype(np.int64)
                     b.doc = np.searchsorted(b.ends, b.at, side="right")
-                    b.gram = b._gram(b.at)
+                    b.gram = b.anchor_grams()
                     keys, several = b.grams()
                     yield from _gram_entries(row, bits, keys, several).to_batches()
 

@@ -398,3 +398,13 @@ def test_pipeline_run(spark, tmp_path):
         assert p["start"] not in whole[p["doc_id"]]
         whole[p["doc_id"]][p["start"]] = p["ids"]
     assert {i: [x for q in sorted(v) for x in v[q]] for i, v in whole.items()} == {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in cut}
+
+
+def test_buckets_of_anchors_are_even():
+    rng = np.random.default_rng(5)
+    data = bytes(rng.integers(97, 123, 400_000).astype(np.uint8))
+    block = suffix_dedup.Block(np.array([1]), np.array([len(data)]), data, 50, 4)
+    block.anchors()
+    keys, _ = block.grams()
+    shares = np.diff(suffix_dedup._split(keys, 4, 36))
+    assert shares.max() < 1.2 * shares.mean()
