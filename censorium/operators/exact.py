@@ -22,7 +22,7 @@ from censorium.functions.symmetric import MOST_CELLS, Choices, copies, product
 from censorium.operators.cox import CoxFit
 
 #: Different rows of a node that are multiplied in one group, rows of a task, and tree levels whose event times meet in one task.
-NODE_ROWS, TASK_ROWS, BLOCK_LEVELS = 4_096, 100_000, 8
+NODE_ROWS, TASK_ROWS, BLOCK_LEVELS = 4_096, 20_000, 8
 POLY = "_s string, level int, idx long, need int, log array<double>, mean array<double>, cov array<double>"
 
 

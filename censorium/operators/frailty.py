@@ -8,10 +8,11 @@ marginal likelihood largest.  Rounds of this kind never lower the marginal likel
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ from censorium.functions.prefix import as_of, cuts_of, join_keys
 from censorium.operators.cox import CoxFit, _rows, _step, _total, base_hazard, residuals
 
 KINDS = ("gamma", "normal")
-#: Variances that are looked at, and places of a finer look around the best.
-WIDEST, GRID = (1e-4, 1e2), 25
+#: Variances that are looked at, and their number a look.
+WIDEST, GRID = (1e-4, 1e2), 200
 
 
 @dataclass
@@ -39,49 +40,58 @@ class FrailtyFit:
         return self.history[-1]
 
 
-def log_gamma(x: Column) -> Column:
-    """ln Gamma of a positive column: Stirling's series at x + 8."""
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """ln Gamma of positive numbers: Stirling's series at x + 8."""
     y = x + 8
-    series = (y - 0.5) * F.log(y) - y + 0.5 * float(np.log(2 * np.pi)) + 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
-    below = F.log(x)
-    for i in range(1, 8):
-        below = below + F.log(x + i)
-    return series - below
+    series = (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return series - sum(np.log(x + i) for i in range(8))
+
+
+def _start(d, e, variance, least, most, log):
+    """Where Newton steps for the mode of a normal effect begin: to the right of the root, or at 0 on its left."""
+    return most(d * 0.0, least(d * variance, log(most(d, d * 0.0 + 1e-300) / most(e, e * 0.0 + 1e-300))))
 
 
 def _effect(kind: str, d: Column, e: Column, variance: float) -> Column:
     """The log effect of a cluster with d events where e were expected: log of the gamma mean, or the normal mode."""
     if kind == "gamma":
         return F.log((d + 1 / variance) / (e + 1 / variance))
-    # d - e exp(b) - b / variance falls in b; Newton from the right of the root never passes it
-    start = F.when(d > 0, F.least(d * variance, F.greatest(F.lit(0.0), F.log(d / F.greatest(e, F.lit(1e-300)))))).otherwise(F.lit(0.0))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start.cast("double"), lambda b, _: b + (d - e * F.exp(b) - b / variance) / (e * F.exp(b) + 1 / variance))
+    start = _start(d, e, variance, F.least, F.greatest, F.log)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, lambda b, _: b + (d - e * F.exp(b) - b / variance) / (e * F.exp(b) + 1 / variance))
 
 
-def _gain(kind: str, d: Column, e: Column, variance: float) -> Column:
-    """Log of a cluster's likelihood averaged over its effect."""
-    v = 1 / variance
+def _gains(kind: str, d: np.ndarray, e: np.ndarray, variance: np.ndarray) -> np.ndarray:
+    """Logs of the likelihoods of clusters, averaged over their effects, summed, for each variance."""
+    d, e, v = d[:, None], e[:, None], 1 / variance[None, :]
     if kind == "gamma":
-        return log_gamma(d + v) - log_gamma(F.lit(v)) + v * float(np.log(v)) - (d + v) * F.log(e + v)
-    b = _effect(kind, d, e, variance)
-    return d * b - e * F.exp(b) - b * b * v / 2 - F.log(1 + variance * e * F.exp(b)) / 2
+        return (log_gamma(d + v) - log_gamma(v) + v * np.log(v) - (d + v) * np.log(e + v)).sum(axis=0)
+    b = _start(d, e, variance[None, :], np.minimum, np.maximum, np.log)
+    for _ in range(60):
+        b = b + (d - e * np.exp(b) - b * v) / (e * np.exp(b) + v)
+    return (d * b - e * np.exp(b) - b * b * v / 2 - np.log(1 + e * np.exp(b) / v) / 2).sum(axis=0)
 
 
-def _best(sums: DataFrame, kind: str, near: float | None) -> tuple[float, float]:
-    """The variance with the greatest gain, and that gain: looks at a grid, then closer; one aggregation a look."""
-    low, high = WIDEST if near is None else (max(near / 3, WIDEST[0]), min(near * 3, WIDEST[1]))
-    # many clusters have the same few events but different sums, so only equal pairs are one row
-    d, e, n = F.col("d"), F.col("e"), F.col("n")
-    cells = sums.groupBy("d", "e").agg(F.count("*").alias("n")).persist()
-    try:
-        for _ in range(3):
-            grid = np.exp(np.linspace(np.log(low), np.log(high), GRID))
-            got = np.array(cells.agg(*(F.sum(n * _gain(kind, d, e, float(s))) for s in grid)).first(), dtype=float)
-            k = int(np.argmax(got))
-            low, high = grid[max(k - 1, 0)], grid[min(k + 1, GRID - 1)]
-        return float(grid[k]), float(got[k])
-    finally:
-        cells.unpersist()
+def _looked(sums: DataFrame, kind: str, grid: np.ndarray) -> tuple[np.ndarray, float]:
+    """Gains at each variance of the grid, and the predictors of all events: one aggregation of clusters (d, e, _plain)."""
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            parts = [_gains(kind, rows["d"].to_numpy()[i : i + 4096], rows["e"].to_numpy()[i : i + 4096], grid) for i in range(0, len(rows), 4096)]
+            yield pd.DataFrame({"k": np.arange(len(grid) + 1), "gain": np.append(np.sum(parts, axis=0), rows["_plain"].sum())})
+
+    got = {r["k"]: r["gain"] for r in sums.select("d", "e", "_plain").mapInPandas(look, "k int, gain double").groupBy("k").agg(F.sum("gain").alias("gain")).collect()}
+    return np.array([got.get(k, 0.0) for k in range(len(grid))]), got.get(len(grid), 0.0)
+
+
+def _best(grid: np.ndarray, gains: np.ndarray) -> tuple[float, float]:
+    """The variance with the greatest gain and that gain, by a parabola through the best three."""
+    k = int(np.argmax(gains))
+    if 0 < k < len(grid) - 1:
+        a, b, c = gains[k - 1 : k + 2]
+        if a - 2 * b + c < 0:
+            off = (a - c) / (a - 2 * b + c) / 2
+            return float(grid[k] * (grid[k + 1] / grid[k]) ** off), float(b - (a - c) * off / 4)
+    return float(grid[k]), float(gains[k])
 
 
 def frailty_fit(
@@ -101,9 +111,9 @@ def frailty_fit(
     means = own.agg(*(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)) for c in x)).first() if p else []
     base = own.select(
         F.col(cluster).alias("_g"), F.col(time).cast("double").alias("_t"), (F.col(status) != 0).cast("int").alias("_d"), off.alias("_off0"), *((F.col(entry).cast("double").alias("_a"),) if entry else ()),
-        *(F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)), *((F.col(c).cast("double") - float(m)).alias(f"_x{i}") for i, (c, m) in enumerate(zip(x, means, strict=True))),
+        *(F.col(c).alias(f"_k{i}") for i, c in enumerate(strata)), *((F.col(c).cast("double") - float(m)).alias(f"_v{i}") for i, (c, m) in enumerate(zip(x, means, strict=True))),
     ).persist()
-    xs, keys = [f"_x{i}" for i in range(p)], [f"_k{i}" for i in range(len(strata))]
+    xs, keys = [f"_v{i}" for i in range(p)], [f"_k{i}" for i in range(len(strata))]
     how = dict(time="_t", status="_d", strata=keys, entry="_a" if entry else None)
     cuts = cuts_of(base, "_t")
 
@@ -133,12 +143,15 @@ def frailty_fit(
             plain = _total(xs, beta, "_off0")
             sums = cut(under.groupBy("_g").agg(F.sum("_d").cast("double").alias("d"), F.sum(F.exp(plain) * lived).alias("e"), F.sum(F.when(F.col("_d") > 0, plain).otherwise(0.0)).alias("_plain")), "clusters")
             if variance is None:
-                theta, gain = _best(sums, kind, theta)
+                near = (theta / 3, theta * 3) if theta else WIDEST
+                grid = np.exp(np.linspace(*np.log(np.clip(near, *WIDEST)), GRID))
             else:
-                gain = sums.agg(F.sum(_gain(kind, F.col("d"), F.col("e"), theta))).first()[0] or 0.0
-            jumps, said = line.agg(F.sum(F.when(F.col("n_event") > 0, F.col("n_event") * (F.log("hazard") - F.log("n_event") + 1)))).first()[0] or 0.0, sums.agg(F.sum("_plain")).first()[0] or 0.0
+                grid = np.array([variance])
+            gains, said = _looked(sums, kind, grid)
+            theta, gain = _best(grid, gains)
+            jumps = line.agg(F.sum(F.when(F.col("n_event") > 0, F.col("n_event") * (F.log("hazard") - F.log("n_event") + 1)))).first()[0] or 0.0
             history.append(float(jumps + said + gain))
-            effects = cut(sums.withColumn("b", _effect(kind, F.col("d"), F.col("e"), theta)), "effects")
+            effects = sums.withColumn("b", _effect(kind, F.col("d"), F.col("e"), theta))
             if step > 1 and abs(history[-1] - history[-2]) <= eps * max(1.0, abs(history[-1])) and np.abs(move).max(initial=0.0) <= max(eps, 1e-6) * max(1.0, np.abs(beta).max(initial=0.0)):
                 break
         final = placed(effects)

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import as_of, join_keys, running
 from censorium.functions.riskset import cells
 from censorium.operators.curves import confidence_limits
@@ -37,14 +38,15 @@ def _processes(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     # when all die the curve is zero and so is its error
     gone = F.when(left > 1e-9 * F.col("n_risk"), 1 / left).otherwise(F.lit(0.0))
     out = running(at, order="time", keys=keys, products={"surv": 1 - d / F.col("n_risk")}, sums={"cum_hazard": d / F.col("n_risk"), "_cs": d / F.col("n_risk") * gone, "_ch": d / (F.col("n_risk") * F.col("n_risk"))})
-    return out.withColumns({"_as": gone, "_ah": 1 / F.col("n_risk")})
+    # read several times below, one row a time
+    return cut(out.withColumns({"_as": gone, "_ah": 1 / F.col("n_risk")}), "processes")
 
 
-def _changes(rows: DataFrame, line: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _changes(rows: DataFrame, line: DataFrame, keys: Sequence[str], entry: str | None) -> DataFrame:
     """``(keys, _cluster, time, _r, _s, _h)``: changes of R and of both A at the own times of each row."""
     steps = line.select(*keys, F.col("time").alias("_at"), "_cs", "_ch", "_as", "_ah")
     own = [c for c in ("_cluster",) if c in rows.columns]
-    come = as_of(rows, steps, at="_from", step="_at", values=["_cs", "_ch"], keys=keys)
+    come = as_of(rows, steps, at="_from", step="_at", values=["_cs", "_ch"], keys=keys) if entry else rows.withColumns({"_cs": F.lit(0.0), "_ch": F.lit(0.0)})
     w = F.col("_w")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     come = come.select(*keys, *own, "_from", "_to", "_d", "_w", (w * zero("_cs")).alias("_es"), (w * zero("_ch")).alias("_eh"))
@@ -57,7 +59,7 @@ def _steps_of_clusters(changes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Running A and R of each cluster at its own times, with their changes."""
     came = changes.select(*keys, "_cluster", F.col("_from").alias("time"), F.col("_w").alias("_r"), F.col("_es").alias("_s"), F.col("_eh").alias("_h"))
     went = changes.select(*keys, "_cluster", F.col("_to").alias("time"), (-F.col("_w")).alias("_r"), F.col("_ls").alias("_s"), F.col("_lh").alias("_h"))
-    sums = came.unionByName(went).groupBy(*keys, "_cluster", "time").agg(*(F.sum(c).alias(c) for c in ("_r", "_s", "_h")))
+    sums = cut(came.unionByName(went).groupBy(*keys, "_cluster", "time").agg(*(F.sum(c).alias(c) for c in ("_r", "_s", "_h"))), "clusters")
     return running(sums, order="time", keys=[*keys, "_cluster"], sums={"R": F.col("_r"), "As": F.col("_s"), "Ah": F.col("_h")})
 
 
@@ -73,7 +75,7 @@ def robust_curve(df: DataFrame, *, time: str, status: str, cluster: str | None =
     """
     rows = _rows(df, time, status, cluster, keys, weight, entry)
     line = _processes(rows, keys)
-    changes = _changes(rows, line, keys)
+    changes = _changes(rows, line, keys, entry)
     if cluster:
         at = _steps_of_clusters(changes, keys)
         r1, r0 = F.col("R"), F.col("R") - F.col("_r")
@@ -84,7 +86,7 @@ def robust_curve(df: DataFrame, *, time: str, status: str, cluster: str | None =
         went = changes.select(*keys, F.col("_to").alias("time"), *(c for k in "sh" for c in _squares(w, F.col(f"_e{k}"), zero, F.col(f"_e{k}") + F.col(f"_l{k}"), k)), (-w * w).alias("rr"))
         made = came.unionByName(went)
     names = ["aas", "ars", "aah", "arh", "rr"]
-    sums = made.groupBy(*keys, "time").agg(*(F.sum(n).alias(n) for n in names))
+    sums = cut(made.groupBy(*keys, "time").agg(*(F.sum(n).alias(n) for n in names)), "squares")
     total = running(sums, order="time", keys=keys, sums={n: F.col(n) for n in names})
     out = join_keys(line, total.select(*keys, "time", *names), [*keys, "time"])
     v = {k: F.sqrt(F.greatest(F.lit(0.0), F.col(f"aa{k}") - 2 * F.col(f"_c{k}") * F.col(f"ar{k}") + F.col(f"_c{k}") * F.col(f"_c{k}") * F.col("rr"))) for k in "sh"}
@@ -100,7 +102,7 @@ def curve_influence(df: DataFrame, *, time: str, status: str, cluster: str, time
     """
     rows = _rows(df, time, status, cluster, keys, weight, entry)
     line = _processes(rows, keys)
-    steps = _steps_of_clusters(_changes(rows, line, keys), keys).select(*keys, "_cluster", F.col("time").alias("_at"), "R", "As", "Ah")
+    steps = cut(_steps_of_clusters(_changes(rows, line, keys, entry), keys).select(*keys, "_cluster", F.col("time").alias("_at"), "R", "As", "Ah"), "steps")
     asked = rows.select(*keys, "_cluster").distinct().withColumn("time", F.explode(F.array(*(F.lit(float(t)) for t in times))))
     found = as_of(asked, steps, at="time", step="_at", values=["R", "As", "Ah"], keys=[*keys, "_cluster"])
     found = as_of(found, line.select(*keys, F.col("time").alias("_at"), "surv", "_cs", "_ch"), at="time", step="_at", values=["surv", "_cs", "_ch"], keys=keys)

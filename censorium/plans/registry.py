@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censorium.operators import compare, curves, data_prep, metrics
-from censorium.plans import histories, inference, predictions
+from censorium.plans import histories, inference, models, predictions
 
 #: Modules with further QUERIES and SQL.
-MODULES = (inference, histories, predictions)
+MODULES = (inference, histories, predictions, models)
 
 Q = dict(time="l_quantity", status="returned")
 
