@@ -82,10 +82,11 @@ _SUMS = """aggregate(sequence(0, cast(_k as int) - 1), named_struct('l', 0D, 'a'
  'b', s.b + 1 / pow(s0 - i / _k * {e} * e0, 2), 'bf', s.bf + i / _k * {e} / pow(s0 - i / _k * {e} * e0, 2), 'bff', s.bff + pow(i / _k * {e}, 2) / pow(s0 - i / _k * {e} * e0, 2)))"""
 
 
-def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True, cuts: Sequence[float] | None = None) -> DataFrame:
+def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True, cuts: Sequence[float] | None = None, late: Column | None = None, grown: DataFrame | None = None) -> DataFrame:
     """One row per (strata, time): event sums ``d _k e xj e0 e1_j e2_jk``, risk-set sums ``s0 s1_j s2_jk`` and, at event times, the scalars ``q``.
 
-    ``d`` is the weight of events, ``_k`` their number.  ``q.*`` are already times d / _k.
+    ``d`` is the weight of events, ``_k`` their number.  ``q.*`` are already times d / _k.  Rows with a ``late`` weight come back
+    to the risk set after their time, with that weight times ``_grown`` of the table ``grown (time, _grown)``.
     """
     if ties not in TIES:
         raise ValueError(f"ties is one of {TIES}")
@@ -98,7 +99,12 @@ def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp:
     at = {"d": had * w, "_k": had, "e": had * w * lp, "n_censor": (1 - had) * w, **{f"x{i}": had * w * v[i] for i in range(p)}}
     at |= {"e0": had * r, **{f"e1_{i}": had * r * v[i] for i in range(p)}, **{f"e2_{i}_{j}": had * r * v[i] * v[j] for i, j in pairs}}
     leaving = {"s0": r, "n_risk": w, **{f"s1_{i}": r * v[i] for i in range(p)}, **{f"s2_{i}_{j}": r * v[i] * v[j] for i, j in pairs}}
+    if late is not None:
+        at |= {f"_l{n}": late * c for n, c in leaving.items()}
     line = timeline(rows, time=time, entry=entry, keys=strata, at=at, leaving=leaving, cuts=cuts)
+    if late is not None:
+        line = running(line, order="time", keys=strata, sums={f"_b{n}": F.col(f"_l{n}") for n in leaving}, strict=True, keep_bin=True).join(grown, "time")
+        line = line.withColumns({n: F.col(n) + F.col("_grown") * F.col(f"_b{n}") for n in leaving}).drop(*(f"_{k}{n}" for n in leaving for k in "lb"))
     q = F.expr(_SUMS.format(e="1D" if ties == "efron" else "0D"))
     line = line.withColumn("_q", F.when(F.col("d") > 0, q))
     scale = F.col("d") / F.col("_k")
@@ -138,56 +144,77 @@ def cox_fit(
     the driver, whatever the size of the input; risk-set sums run over distinct times.  Covariates are centred
     and the linear predictor shifted by its maximum, so exp can't overflow.
     """
-    p = len(x)
-    kept = _rows(df, time, status, x, strata, entry, weight).select(*dict.fromkeys([time, status, *x, *strata, *(c for c in (entry, weight, offset) if c)])).persist()
+    own = _rows(df, time, status, x, strata, entry, weight)
+    kept = own.select(*dict.fromkeys([time, status, *strata, *(c for c in (entry, weight, offset) if c)]), *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(x))).persist()
     how = dict(time=time, status=status, strata=strata, entry=entry, weight=weight, ties=ties, cuts=cuts_of(kept.withColumn("_t", F.col(time).cast("double")), "_t"))
+    try:
+        return newton(centred(kept, len(x)), names=x, offset=offset, start=start, eps=eps, most=most, **how)
+    finally:
+        kept.unpersist()
 
-    def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
-        top = kept.agg(F.max(_total(x, beta, offset))).first()[0] or 0.0 if np.any(beta) or offset else 0.0
-        return (*_step(kept, beta, top, x, offset, **how), top)
 
-    try:
-        beta = np.zeros(p) if start is None else np.asarray(start, dtype=float)
-        ll, score, info, shift = step(beta)
-        null, first = ll, float(score @ np.linalg.pinv(info) @ score)
-        n = 0
-        for n in range(1, most + 1):
-            move = np.linalg.pinv(info, rcond=1e-12, hermitian=True) @ score
+def centred(rows: DataFrame, p: int) -> DataFrame:
+    """Columns ``_c0``, ... less their means, which changes no fit but keeps products of large values from cancelling."""
+    names = [f"_c{i}" for i in range(p)]
+    means = rows.agg(*(F.coalesce(F.avg(c), F.lit(0.0)) for c in names)).first() if p else []
+    return rows.withColumns({c: F.col(c) - float(m) for c, m in zip(names, means, strict=True)})
+
+
+def newton(rows: DataFrame, *, names: Sequence[str], offset: str | None, start: Sequence[float] | None, eps: float, most: int, ties: str, **how) -> CoxFit:
+    """Newton steps with halving on the columns ``_c0``, ... of rows, a step being one aggregation."""
+    p = len(names)
+    x = [f"_c{i}" for i in range(p)]
+
+    def step(beta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, float]:
+        top = rows.agg(F.max(_total(x, beta, offset))).first()[0] or 0.0 if np.any(beta) or offset else 0.0
+        return (*_step(rows, beta, top, x, offset, ties=ties, **how), top)
+
+    beta = np.zeros(p) if start is None else np.asarray(start, dtype=float)
+    ll, score, info, shift = step(beta)
+    null, first = ll, float(score @ np.linalg.pinv(info) @ score)
+    n = 0
+    for n in range(1, most + 1):
+        move = np.linalg.pinv(info, rcond=1e-12, hermitian=True) @ score
+        new = beta + move
+        found = step(new)
+        while found[0] < ll - abs(ll) * eps and np.abs(move).max() > eps:
+            move /= 2
             new = beta + move
             found = step(new)
-            while found[0] < ll - abs(ll) * eps and np.abs(move).max() > eps:
-                move /= 2
-                new = beta + move
-                found = step(new)
-            done = abs(found[0] - ll) <= eps * max(1.0, abs(found[0]))
-            beta, (ll, score, info, shift) = new, found
-            if done:
-                break
-        return CoxFit(beta, np.linalg.pinv(info, rcond=1e-12, hermitian=True), ll, n, null, first, list(x), ties, float(shift))
-    finally:
-        kept.unpersist()
+        done = abs(found[0] - ll) <= eps * max(1.0, abs(found[0]))
+        beta, (ll, score, info, shift) = new, found
+        if done:
+            break
+    return CoxFit(beta, np.linalg.pinv(info, rcond=1e-12, hermitian=True), ll, n, null, first, list(names), ties, float(shift))
+
+
+def _top(rows: DataFrame, lp: Column) -> float:
+    """The greatest linear predictor: taken off before exp, it cancels in everything but the hazard at 0."""
+    return rows.agg(F.max(lp)).first()[0] or 0.0
 
 
 def cox_detail(df: DataFrame, *, time: str, status: str, x: Sequence[str], coefficients: Sequence[float], strata: Sequence[str] = (), entry: str | None = None, weight: str | None = None, offset: str | None = None, ties: str = "breslow") -> DataFrame:
     """Per event time at given coefficients: n_risk, n_event, hazard increment, its variance part, means ``mean_<x>`` and ``score_<x>``."""
     rows = _rows(df, time, status, x, strata, entry, weight)
-    at = risk_sums(rows, time=time, status=status, x=x, lp=_total(x, coefficients, offset), strata=strata, entry=entry, weight=weight, ties=ties, second=False).where("d > 0")
+    lp = _total(x, coefficients, offset)
+    top = _top(rows, lp)
+    at = risk_sums(rows, time=time, status=status, x=x, lp=lp - top, strata=strata, entry=entry, weight=weight, ties=ties, second=False).where("d > 0")
     means = _means(len(x))
-    return at.select(*strata, "time", "n_risk", F.col("d").alias("n_event"), F.col("q.a").alias("hazard"), F.col("q.b").alias("hazard_var"), *((m / F.col("d")).alias(f"mean_{c}") for m, c in zip(means, x, strict=True)), *((F.col(f"x{i}") - m).alias(f"score_{c}") for i, (m, c) in enumerate(zip(means, x, strict=True))))
+    back = F.exp(F.lit(-top))
+    return at.select(*strata, "time", "n_risk", F.col("d").alias("n_event"), (F.col("q.a") * back).alias("hazard"), (F.col("q.b") * back * back).alias("hazard_var"), *((m / F.col("d")).alias(f"mean_{c}") for m, c in zip(means, x, strict=True)), *((F.col(f"x{i}") - m).alias(f"score_{c}") for i, (m, c) in enumerate(zip(means, x, strict=True))))
 
 
 def base_hazard(df: DataFrame, *, time: str, status: str, lp: str | None = None, x: Sequence[str] = (), coefficients: Sequence[float] = (), strata: Sequence[str] = (), entry: str | None = None, weight: str | None = None, ties: str = "breslow", centered: bool = False) -> DataFrame:
     """Cumulative baseline hazard at every distinct time, by stratum, at lp = 0 (``centered``: at the mean lp), and exp of its negative."""
     rows = df.withColumn("_lp", F.col(lp).cast("double") if lp else _total(x, coefficients))
     rows = _rows(rows, time, status, ["_lp"], strata, entry, weight)
-    line = risk_sums(rows, time=time, status=status, x=[], lp=F.col("_lp"), strata=strata, entry=entry, weight=weight, ties=ties, second=False)
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    top, mean = rows.agg(F.coalesce(F.max("_lp"), F.lit(0.0)), F.coalesce(F.sum(w * F.col("_lp")) / F.sum(w), F.lit(0.0))).first()
+    line = risk_sums(rows, time=time, status=status, x=[], lp=F.col("_lp") - top, strata=strata, entry=entry, weight=weight, ties=ties, second=False)
     line = line.where("d > 0 or n_censor > 0") if entry else line
-    out = running(line, order="time", keys=strata, sums={"cum_hazard": F.coalesce(F.col("q.a"), F.lit(0.0))})
-    out = out.select(*strata, "time", "n_risk", F.col("d").alias("n_event"), F.coalesce("q.a", F.lit(0.0)).alias("hazard"), "cum_hazard")
-    if centered:
-        w = F.col(weight).cast("double") if weight else F.lit(1.0)
-        mean = rows.agg(F.exp(F.sum(w * F.col("_lp")) / F.sum(w)).alias("_m"))
-        out = out.crossJoin(F.broadcast(mean)).withColumns({"hazard": F.col("hazard") * F.col("_m"), "cum_hazard": F.col("cum_hazard") * F.col("_m")}).drop("_m")  # one row
+    hazard = F.coalesce(F.col("q.a"), F.lit(0.0)) * F.exp(F.lit((mean if centered else 0.0) - top))
+    out = running(line.withColumn("hazard", hazard), order="time", keys=strata, sums={"cum_hazard": F.col("hazard")})
+    out = out.select(*strata, "time", "n_risk", F.col("d").alias("n_event"), "hazard", "cum_hazard")
     return out.withColumn("surv", F.exp(-F.col("cum_hazard")))
 
 
@@ -210,6 +237,7 @@ def residuals(
     p = len(x)
     rows = _rows(df, time, status, x, strata, entry, weight)
     lp = _total(x, coefficients, offset)
+    lp = lp - _top(rows, lp)
     line = risk_sums(rows, time=time, status=status, x=x, lp=lp, strata=strata, entry=entry, weight=weight, ties=ties, second=False)
     zero = F.lit(0.0)
     q = lambda n: F.coalesce(F.col(f"q.{n}"), zero)

@@ -189,15 +189,23 @@ def time_cut(df: DataFrame, *, value: str, breaks: Sequence[float], labels: Sequ
 
 
 def time_cut_expand(df: DataFrame, *, start: str, stop: str, event: str, value: str, breaks: Sequence[float], name: str = "cut") -> DataFrame:
-    """Rows (start, stop] cut where ``value``, which is its value at start and grows with time, crosses a break; with the code of each part."""
-    edges = F.array(*(F.lit(float(b)) for b in breaks))
-    shifted = F.transform(edges, lambda b: b - F.col(value) + F.col(start))
-    inner = F.filter(shifted, lambda c: (c > F.col(start)) & (c < F.col(stop)))
-    zipped = F.arrays_zip(F.concat(F.array(F.col(start).cast("double")), inner).alias("a"), F.concat(inner, F.array(F.col(stop).cast("double"))).alias("b"))
-    parts = df.withColumn("_p", F.explode(zipped))
-    last = F.col("_p.b") == F.col(stop)
-    out = parts.withColumns({value: F.col(value) + F.col("_p.a") - F.col(start), event: F.when(last, F.col(event)).otherwise(F.lit(0)), start: F.col("_p.a"), stop: F.col("_p.b")}).drop("_p")
-    return time_cut(out, value=value, breaks=breaks, name=name)
+    """Rows (start, stop] cut where ``value``, which is its value at start and grows with time, crosses a break; with the code of each part.
+
+    The code is the number of the last break reached, -1 before the first; a part that starts at a break takes the break's number, so rounding of
+    the shifted times moves no part into another interval.  The label is null before the first break and from the last on.
+    """
+    b = [float(x) for x in breaks]
+    if len(b) < 2 or sorted(set(b)) != b:
+        raise ValueError("breaks are at least two ascending values")
+    first, last = F.col(start).cast("double"), F.col(stop).cast("double")
+    edges = F.array(*(F.struct(F.lit(x).alias("at"), F.lit(i).alias("code")) for i, x in enumerate(b)))
+    crossed = F.transform(F.filter(edges, lambda e: e["at"] > F.col(value)), lambda e: F.struct(F.greatest(first, e["at"] - F.col(value) + F.col(start)).alias("a"), e["code"].alias("code")))
+    begins = F.concat(F.array(F.struct(first.alias("a"), (F.size(F.filter(edges, lambda e: e["at"] <= F.col(value))) - 1).alias("code"))), F.filter(crossed, lambda c: c["a"] < last))
+    whole = df.withColumn("_b", F.when(F.col(value).isNull(), F.array(F.struct(first.alias("a"), F.lit(None).cast("int").alias("code")))).otherwise(begins))
+    parts = whole.withColumn("_p", F.explode(F.transform("_b", lambda x, i: F.struct(x["a"].alias("a"), F.coalesce(F.get("_b", i + 1)["a"], last).alias("b"), x["code"].alias("code"))))).where(F.col("_p.a") < F.col("_p.b"))
+    out = parts.withColumns({value: F.col(value) + F.col("_p.a") - F.col(start), event: F.when(F.col("_p.b") == last, F.col(event)).otherwise(F.lit(0)), start: F.col("_p.a"), stop: F.col("_p.b"), name: F.col("_p.code")}).drop("_p", "_b")
+    texts = [f"{x:g}+ thru {y:g}" for x, y in zip(b, b[1:], strict=False)]
+    return out.withColumn(f"{name}_label", F.get(F.array(*(F.lit(t) for t in texts)), F.when(F.col(name) >= 0, F.col(name))))
 
 
 def redistributed_weights(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, at: Sequence[float] | None = None) -> DataFrame:
@@ -286,7 +294,7 @@ def states_at(df: DataFrame, *, key: str, start: str, stop: str, state: str, tim
 def intervals_of_states(df: DataFrame, *, key: str, time: str, state: str) -> DataFrame:
     """``(key, start, stop, state)`` from states at times: runs of equal states, each up to the next run; the last run has a null stop."""
     firsts = without_repeats(df, key=key, time=time, state=state)
-    w = Window.partitionBy(key).orderBy(time)
+    w = _history(key, time, [state])
     return firsts.select(key, F.col(time).alias("start"), F.lead(time).over(w).alias("stop"), state)
 
 

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from censorium.functions.prefix import as_of, binned, join_keys, running
+from censorium.functions.lineage import cut
+from censorium.functions.prefix import as_of, binned, cuts_of, join_keys, running
 from censorium.functions.riskset import timeline
-from censorium.operators.cox import CoxFit, cox_fit
+from censorium.operators.cox import CoxFit, centred, newton
 
 
 def transition_hazards(df: DataFrame, *, entry: str, exit: str, from_state: str, to_state: str, event: str) -> DataFrame:
@@ -133,7 +134,7 @@ def subdistribution_rows(df: DataFrame, *, time: str, cause: str, of: int = 1, k
     g = running(g, order="time", keys=keys, maxima={"last": F.when(F.col("o") > 0, F.col("time"))}, reverse=True)
     single = rows.where((F.col(cause) == 0) | (F.col(cause) == of)).withColumns({"fg_start": F.lit(0.0), "fg_stop": F.col("_t"), "fg_status": (F.col(cause) == of).cast("int"), "fg_weight": F.lit(1.0)}).drop("_t")
     others = rows.where((F.col(cause) != 0) & (F.col(cause) != of))
-    own = as_of(others, g, at="_t", step="time", values=["_cg"], keys=keys).withColumnRenamed("_cg", "_first")
+    own = as_of(others, g, at="_t", step="time", values=["_cg"], keys=keys, strict=True).withColumn("_cg", F.coalesce("_cg", F.lit(1.0))).withColumnRenamed("_cg", "_first")
     # censoring times with a later event of the cause, as one array per group: its length is that of the censoring curve, not of the data
     cuts = g.where("c > 0 and last > time").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("time", "_cg"))).alias("_cuts"))
     ends = g.groupBy(*keys).agg(F.max(F.when(F.col("o") > 0, F.col("time"))).alias("_end"))
@@ -146,10 +147,26 @@ def subdistribution_rows(df: DataFrame, *, time: str, cause: str, of: int = 1, k
     return single.unionByName(out.where("fg_stop > fg_start").select(single.columns))
 
 
-def fine_gray(df: DataFrame, *, time: str, cause: str, x: Sequence[str], of: int = 1, ties: str = "breslow") -> CoxFit:
-    """Subdistribution hazards of one cause: a weighted Cox fit on ``subdistribution_rows``."""
-    rows = subdistribution_rows(df.dropna(subset=[time, cause, *x]), time=time, cause=cause, of=of)
-    return cox_fit(rows, time="fg_stop", status="fg_status", entry="fg_start", weight="fg_weight", x=x, ties=ties)
+def fine_gray(df: DataFrame, *, time: str, cause: str, x: Sequence[str], of: int = 1, ties: str = "breslow", eps: float = 1e-9, most: int = 20) -> CoxFit:
+    """Subdistribution hazards of one cause, with censoring weights G(t-) / G(T-) for rows that ended at T from another cause.
+
+    At equal times events come before censorings.  The weight is a product, so sums over the risk set at t are those over rows with T >= t, and
+    G(t-) times running sums of r / G(T-) over rows of other causes before t: no row is repeated.  Rows with a null drop out.
+    """
+    rows = df.dropna(subset=[time, cause, *x]).select(F.col(time).cast("double").alias("_t"), F.col(cause).alias("_cause"), *(F.col(c).cast("double").alias(f"_c{i}") for i, c in enumerate(x)))
+    d, c = (F.col("_cause") != 0).cast("double"), (F.col("_cause") == 0).cast("double")
+    at = timeline(rows, time="_t", entry=None, keys=(), at={"d": d, "c": c}, leaving={"n": F.lit(1.0)})
+    left = F.col("n") - F.col("d")
+    g = running(at, order="time", products={"_grown": F.when(left > 0, 1 - F.col("c") / left).otherwise(F.lit(1.0))}, strict=True)
+    g = cut(g.select("time", "_grown"), "censoring")
+    other = (F.col("_cause") != 0) & (F.col("_cause") != of)
+    # where all are censored nobody of another cause is left to come back
+    late = F.when(other & (F.col("_grown") > 0), 1 / F.col("_grown")).otherwise(F.lit(0.0))
+    kept = rows.join(g.withColumnRenamed("time", "_t"), "_t").select("_t", (F.col("_cause") == of).cast("int").alias("_s"), late.alias("_late"), *(f"_c{i}" for i in range(len(x)))).persist()
+    try:
+        return newton(centred(kept, len(x)), names=x, offset=None, start=None, eps=eps, most=most, ties=ties, time="_t", status="_s", strata=(), entry=None, weight=None, cuts=cuts_of(kept, "_t"), late=F.col("_late"), grown=g)
+    finally:
+        kept.unpersist()
 
 
 def sojourn(df: DataFrame, *, entry: str, exit: str, state: str, event: str) -> DataFrame:

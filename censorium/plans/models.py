@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censorium.functions import splines
-from censorium.operators import additive, exact, flexible, frailty, pairs, robust
+from censorium.operators import additive, data_prep, exact, flexible, frailty, pairs, robust, states
 from censorium.plans.inference import BETA, Q, X, _r
 
+BREAKS = (0.55, 1.131, 2.3, 4.77)
 #: Inner and outer knots of the fixed bases.
 KNOTS, BOUNDARY, PIECES = (4.0, 20.0, 46.0), (1.0, 50.0), 7
 
@@ -90,6 +91,20 @@ def c_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*(F.col(c).cast("long").alias(c) for c in ("concordant", "discordant", "tied_risk")), F.round("c_index", 6).alias("c_index"), F.round(F.sqrt("variance"), 8).alias("std_err"), F.round(F.sqrt("conditional_variance"), 8).alias("chance_std_err"))
 
 
+def fine_gray_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fine–Gray at coefficient 0, with ties of all causes: likelihood and score test."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", "l_discount", F.expr("case l_returnflag when 'R' then 1 when 'A' then 2 else 0 end as cause"))
+    fit = states.fine_gray(rows, time="l_quantity", cause="cause", x=["l_discount"], most=0)
+    return spark.createDataFrame([(round(fit.null_log_likelihood, 4), round(fit.score_statistic, 6))], "log_likelihood double, score_statistic double")
+
+
+def cut_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows cut at breaks of a value with decimals."""
+    rows = _lines(spark, sf_dir).select("returned", (F.col("l_tax") + 0.37).alias("t0"), (F.col("l_tax") + 0.37 + F.col("l_quantity") * 0.13).alias("t1"), (F.col("l_discount") * 37.7).alias("v"))
+    out = data_prep.time_cut_expand(rows, start="t0", stop="t1", event="returned", value="v", breaks=BREAKS)
+    return out.groupBy("cut", "cut_label").agg(F.count("*").alias("n"), F.sum("returned").alias("events"), F.round(F.sum(F.col("t1") - F.col("t0")), 5).alias("lived"), F.round(F.sum("v"), 5).alias("values"))
+
+
 _ROWS = "r as (select l_orderkey, l_partkey % 499 as g, l_suppkey, l_linenumber, l_quantity as time, l_linenumber - 1 as a, l_tax, l_discount as x, case when l_returnflag = 'R' then 1.0 else 0.0 end as d, 3.0 * l_discount - 2.0 * l_tax as lp from lineitem)"
 _CURVE = "c as (select time, sum(d) as d, sum(count(*)) over (order by time desc) as n from r group by 1), h as (select *, exp(sum(ln(case when n > d then 1 - d / n else 1e-300 end)) over w) as s, sum(d / n) over w as ch, sum(case when n > d then d / n / (n - d) else 0 end) over w as cs, sum(d / n / n) over w as cv from c window w as (order by time))"
 _NATURAL = "case when v <= 4 then y0 + (v - 4) * ((y1 - y0) / 16 - m * 16 / 6) when v >= 46 then y2 + (v - 46) * ((y2 - y1) / 26 + m * 26 / 6) when v <= 20 then y0 + (v - 4) * ((y1 - y0) / 16 - m * 16 / 6) + m * (v - 4) ** 3 / 96 else y2 + (v - 46) * ((y2 - y1) / 26 + m * 26 / 6) + m * (46 - v) ** 3 / 156 end"
@@ -145,5 +160,15 @@ SQL = {
         g as (select e.time, e.h, k.x, sum(k.w) as w from (select time, sum(w) as h from k where d > 0 group by 1) e join k on k.a < e.time and k.time >= e.time group by all), z as (select sum(z) as z from (select h * (sum(w) ** 3 - sum(w ** 3)) / 3 / sum(w) as z from g group by time, h))
         select cast(c as bigint) as concordant, cast(d as bigint) as discordant, cast(t as bigint) as tied_risk, round((c + t / 2) / (c + d + t), 6) as c_index, round(sqrt(v), 8) as std_err, round(sqrt(z) / 2 / (c + d + t), 8) as chance_std_err from s, v, z""",
 }
+SQL |= {
+    "fine_gray_score": """with r as (select l_quantity as time, l_discount as x, case l_returnflag when 'R' then 1 when 'A' then 2 else 0 end as cause from lineitem), c as (select time, sum((cause > 0)::int) as d, sum((cause = 0)::int) as c, sum(count(*)) over (order by time desc) as n, sum((cause = 1)::int) as o, sum(case when cause = 1 then x else 0 end) as ox from r group by 1),
+        g as (select *, coalesce(exp(sum(ln(case when n > d then 1 - c / (n - d) else 1 end)) over (order by time rows between unbounded preceding and 1 preceding)), 1) as g from c where n > d and n - d > c or true),
+        k as (select time, cause, x, count(*) as w from r group by all), m as (select k.*, case when cause = 2 and g.g > 0 then 1 / g.g else 0 end as back from k join g using (time)),
+        s as (select g.time, g.o, g.ox, sum(w * case when m.time >= g.time then 1 else g.g * back end) as s0, sum(w * x * case when m.time >= g.time then 1 else g.g * back end) as s1, sum(w * x * x * case when m.time >= g.time then 1 else g.g * back end) as s2 from g, m where g.o > 0 group by all)
+        select round(-sum(o * ln(s0)), 4) as log_likelihood, round(sum(ox - o * s1 / s0) ** 2 / sum(o * (s2 / s0 - (s1 / s0) ** 2)), 6) as score_statistic from s""",
+    "cut_parts": f"""with r as (select case when l_returnflag = 'R' then 1 else 0 end as e, l_tax + 0.37 as t0, l_tax + 0.37 + l_quantity * 0.13 as t1, l_discount * 37.7 as v from lineitem), b as (select i - 1 as i, b[i] as b, b[i + 1] as nxt from (select {list(BREAKS)!r}::double[] as b), range(1, {len(BREAKS) + 1}) as q(i)),
+        o as (select r.*, coalesce((select max(i) from b where b.b <= r.v), -1) as i, coalesce((select min(b) from b where b.b > r.v), 1e9) as nxt from r), p as (select i as cut, e, t1, t0 as a, v as x, least(t1, nxt - v + t0) as z from o union all select b.i, e, t1, b.b - v + t0, v + (b.b - v + t0) - t0, least(t1, coalesce(b.nxt, 1e9) - v + t0) from r join b on b.b > v and b.b - v + t0 < t1)
+        select cast(cut as integer) as cut, case cut {" ".join(f"when {i} then '{x:g}+ thru {y:g}'" for i, (x, y) in enumerate(zip(BREAKS, BREAKS[1:], strict=False)))} end as cut_label, count(*) as n, cast(sum(case when z = t1 then e else 0 end) as bigint) as events, round(sum(z - a), 5) as lived, round(sum(x), 5) as values from p where a < z group by 1, 2""",
+}
 
-QUERIES = [exact_sets, exact_times, frailty_effects, spline_knots, spline_columns, flexible_expected, additive_steps, additive_test, robust_km, robust_rows, curve_influence, c_counting]
+QUERIES = [fine_gray_score, cut_parts, exact_sets, exact_times, frailty_effects, spline_knots, spline_columns, flexible_expected, additive_steps, additive_test, robust_km, robust_rows, curve_influence, c_counting]
