@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import as_of, join_keys, number, running
 from censorium.functions.riskset import cells
 
@@ -228,6 +229,25 @@ def redistributed_weights(df: DataFrame, *, time: str, status: str, keys: Sequen
     return found.withColumn("rtt", rtt).drop("_u", "_G")
 
 
+def _reach(spans: DataFrame, key: str) -> DataFrame:
+    """``(key, _a, _top, _before, _n)``: the latest end of spans that begin at _a or before, of those before it, and the number that begin there."""
+    at = spans.groupBy(key, "_a").agg(F.max("_b").alias("_b"), F.count("*").alias("_n"))
+    out = running(at, order="_a", keys=[key], maxima={"_before": F.col("_b")}, strict=True)
+    return out.withColumn("_top", F.greatest("_before", "_b"))
+
+
+def _inside(spans: DataFrame, times: DataFrame, key: str) -> DataFrame:
+    """``(key, _id, _t)``: times strictly inside spans (_id, _a, _b) of their key.
+
+    Where a key's spans don't overlap a time can only lie in the last one that begins before it: a lookup.  Only times of
+    keys with overlapping spans meet all spans of their key.
+    """
+    overlapping = cut(_reach(spans, key).where("_before > _a or _n > 1").select(key).distinct(), "overlapping")
+    looked = as_of(times.join(overlapping, key, "left_anti"), spans, at="_t", step="_a", values=["_id", "_b"], keys=[key], strict=True).where("_t < _b").select(key, "_id", "_t")
+    met = spans.join(overlapping, key, "left_semi").join(times, key).where("_t > _a and _t < _b").select(key, "_id", "_t")
+    return looked.unionByName(met)
+
+
 def merge_updates(base: DataFrame, updates: DataFrame, *, key: str, start: str, stop: str, time: str, value: str, kind: str = "last", name: str | None = None, initial=None) -> DataFrame:
     """Rows (start, stop] of base cut at the key's updates inside them, with what the updates say of each part.
 
@@ -239,10 +259,10 @@ def merge_updates(base: DataFrame, updates: DataFrame, *, key: str, start: str,
         raise ValueError("kind is last, cumulative, event or cumulative_event")
     name = name or value
     up = updates.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(key, F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"))
-    numbered = base.withColumn("_id", F.xxhash64(key, start, stop))
-    times = up.select(key, "_t").distinct()
-    inside = numbered.select(key, "_id", F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b")).distinct().join(times, key)
-    cuts = inside.where("_t > _a and _t < _b").groupBy(key, "_id").agg(F.sort_array(F.collect_set("_t")).alias("_cuts"))
+    # written once: spans and rows read it, and base is often the result of another merge
+    numbered = cut(base.withColumn("_id", F.xxhash64(key, start, stop)), "rows")
+    spans = numbered.select(key, "_id", F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b")).distinct()
+    cuts = cut(_inside(spans, up.where(F.col(key).isNotNull()).select(key, "_t").distinct(), key).groupBy(key, "_id").agg(F.sort_array(F.collect_set("_t")).alias("_cuts")), "cuts")
     parts = join_keys(numbered, cuts, [key, "_id"], "left")
     inner = F.coalesce("_cuts", F.array().cast("array<double>"))
     zipped = F.arrays_zip(F.concat(F.array(F.col(start).cast("double")), inner).alias("a"), F.concat(inner, F.array(F.col(stop).cast("double"))).alias("b"))
@@ -265,14 +285,16 @@ def merge_updates(base: DataFrame, updates: DataFrame, *, key: str, start: str,
 
 def update_places(base: DataFrame, updates: DataFrame, *, key: str, start: str, stop: str, time: str) -> DataFrame:
     """``(place, n)``: where updates fall in the key's rows: early, late, gap, within, boundary (between touching rows), leading, trailing, or no such key."""
-    spans = base.groupBy(key).agg(F.min(start).cast("double").alias("_first"), F.max(stop).cast("double").alias("_last"), F.collect_list(F.struct(F.col(start).cast("double").alias("a"), F.col(stop).cast("double").alias("b"))).alias("_s"))
+    spans = cut(base.select(key, F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b")).distinct(), "spans")
     up = updates.where(F.col(time).isNotNull()).select(key, F.col(time).cast("double").alias("_t"))
-    both = up.join(spans, key, "left")
-    begins = F.exists("_s", lambda s: s["a"] == F.col("_t"))
-    ends = F.exists("_s", lambda s: s["b"] == F.col("_t"))
-    inside = F.exists("_s", lambda s: (s["a"] < F.col("_t")) & (F.col("_t") < s["b"]))
-    place = F.when(F.col("_s").isNull(), "no key").when(F.col("_t") < F.col("_first"), "early").when(F.col("_t") > F.col("_last"), "late").when(inside, "within").when(begins & ends, "boundary").when(begins, "leading").when(ends, "trailing").otherwise("gap")
-    return both.groupBy(place.alias("place")).agg(F.count("*").alias("n"))
+    ends = spans.groupBy(key).agg(F.min("_a").alias("_first"), F.max("_b").alias("_last"))
+    # equal updates are counted once looked up
+    both = as_of(up.groupBy(key, "_t").agg(F.count("*").alias("_n")), _reach(spans, key).select(key, "_a", "_top"), at="_t", step="_a", values=["_top"], keys=[key], strict=True).join(ends, key, "left")
+    for name, side in (("_begins", "_a"), ("_ends", "_b")):
+        both = both.join(spans.select(key, F.col(side).alias("_t")).distinct().withColumn(name, F.lit(True)), [key, "_t"], "left")
+    begins, stops = F.coalesce("_begins", F.lit(False)), F.coalesce("_ends", F.lit(False))
+    place = F.when(F.col("_first").isNull(), "no key").when(F.col("_t") < F.col("_first"), "early").when(F.col("_t") > F.col("_last"), "late").when(F.col("_top") > F.col("_t"), "within").when(begins & stops, "boundary").when(begins, "leading").when(stops, "trailing").otherwise("gap")
+    return both.groupBy(place.alias("place")).agg(F.sum("_n").alias("n"))
 
 
 def intervals_of_visits(df: DataFrame, *, key: str, time: str, state: str, repeated: bool = False, tie: Sequence[str] = ()) -> DataFrame:

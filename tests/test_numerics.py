@@ -72,3 +72,33 @@ def test_states_at_one_time(spark):
     df = spark.createDataFrame([(1, 5.0, "b"), (1, 5.0, "a"), (1, 9.0, "c")], "k int, t double, s string")
     got = [(r["start"], r["stop"], r["s"]) for r in data_prep.intervals_of_states(df, key="k", time="t", state="s").orderBy("start", "s").collect()]
     assert got == [(5.0, 5.0, "a"), (5.0, 9.0, "b"), (9.0, None, "c")]
+
+
+def test_updates_in_overlapping_rows(spark):
+    """Keys with touching, gapped and overlapping rows, repeated rows and updates, nulls."""
+    rng = np.random.default_rng(12)
+    base = []
+    for k in range(8):
+        at = 0.0
+        for _ in range(6):
+            a = at + float(rng.integers(0, 3))
+            at = a + float(rng.integers(1, 6))
+            base.append((k, a, at))
+    base += [(8, 0.0, 9.0), (8, 2.0, 5.0), (8, 2.0, 7.0), (8, 2.0, 7.0), (None, 0.0, 5.0)]
+    ups = [(int(rng.integers(0, 10)), float(rng.integers(0, 24)), i) for i in range(90)] + [(8, 3.0, 1), (None, 2.0, 1), (3, None, 1)]
+    df, up = spark.createDataFrame(base, "k int, a double, b double"), spark.createDataFrame(ups, "k int, t double, v int")
+    got = sorted((str(r["k"]), r["a"], r["b"]) for r in data_prep.merge_updates(df, up, key="k", start="a", stop="b", time="t", value="v").select("k", "a", "b").collect())
+    want = []
+    for k, a, b in base:
+        inner = sorted({t for q, t, _ in ups if k is not None and q == k and t is not None and a < t < b})
+        want += [(str(k), x, y) for x, y in zip([a, *inner], [*inner, b], strict=True)]
+    assert got == sorted(want)
+    count = {}
+    for k, t, _ in ups:
+        if t is None:
+            continue
+        own = [(a, b) for q, a, b in base if q == k and k is not None]
+        begins, ends = any(a == t for a, _ in own), any(b == t for _, b in own)
+        place = "no key" if not own else "early" if t < min(own)[0] else "late" if t > max(b for _, b in own) else "within" if any(a < t < b for a, b in own) else "boundary" if begins and ends else "leading" if begins else "trailing" if ends else "gap"
+        count[place] = count.get(place, 0) + 1
+    assert {r["place"]: r["n"] for r in data_prep.update_places(df, up, key="k", start="a", stop="b", time="t").collect()} == count
