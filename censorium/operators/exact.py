@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from censorium.functions.prefix import as_of, join_keys, running
+from censorium.functions.lineage import cut
+from censorium.functions.prefix import as_of, running
 from censorium.functions.symmetric import MOST_CELLS, Choices, copies, product
 from censorium.operators.cox import CoxFit
 
@@ -165,6 +166,7 @@ def _event_sums(events: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
 def _of_sets(df: DataFrame, case: str, x: Sequence[str], strata: Sequence[str], offset: str | None) -> _Prepared:
     rows = _kept(df, x, strata, offset, [case])
     times = _event_sums(rows.where(F.col(case) != 0), ["_s"], len(x)).withColumn("place", F.lit(0).cast("long"))
+    times = cut(times, "event-times")
     met = rows.join(times.select("_s"), "_s", "left_semi")
     return _Prepared(met.select("_s", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"), F.col("_x").alias("x"), F.col("_off").alias("off")), times, len(x))
 
@@ -174,12 +176,14 @@ def _of_survival(df: DataFrame, time: str, status: str, x: Sequence[str], strata
     if entry:
         rows = rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time)))
     sums = _event_sums(rows.where(F.col(status) != 0), ["_s", "_t"], len(x))
-    ranked = running(sums.withColumn("_one", F.lit(1.0)), order="_t", keys=["_s"], sums={"_rank": F.col("_one")})
+    # event times are read by each lookup and by each step
+    ranked = cut(running(cut(sums.withColumn("_one", F.lit(1.0)), "events"), order="_t", keys=["_s"], sums={"_rank": F.col("_one")}), "event-times")
     times = ranked.select("_s", "_t", (F.col("_rank") - 1).cast("long").alias("place"), "d", "xsum", "osum")
     steps = ranked.select("_s", F.col("_t").alias("_at"), "_rank")
+    rows = rows.select("_s", "_t", "_x", "_off", *([F.coalesce(F.col(entry).cast("double"), F.lit(float("-inf"))).alias("_e")] if entry else []))
     asked = as_of(rows, steps, at="_t", step="_at", values=["_rank"], keys=["_s"]).withColumn("hi", F.coalesce("_rank", F.lit(0.0)).cast("long")).drop("_rank")
     if entry:
-        asked = as_of(asked.withColumn("_e", F.coalesce(F.col(entry).cast("double"), F.lit(float("-inf")))), steps, at="_e", step="_at", values=["_rank"], keys=["_s"])
+        asked = as_of(cut(asked, "ranges"), steps, at="_e", step="_at", values=["_rank"], keys=["_s"])
         asked = asked.withColumn("lo", F.coalesce("_rank", F.lit(0.0)).cast("long"))
     else:
         asked = asked.withColumn("lo", F.lit(0).cast("long"))
