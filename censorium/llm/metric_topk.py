@@ -17,8 +17,12 @@ Queries go over the pages in blocks of bounded size.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import math
+import operator
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +52,27 @@ def integer_vectors(rows: DataFrame, *, id_col: str, vector_col: str, scale: flo
     return whole.where(length < float(1 << LENGTH_BITS))
 
 
+def finite_vectors(rows: DataFrame, *, id_col: str, vector_col: str) -> DataFrame:
+    """``(id, x array<double>)``: all finite vectors, not scaled."""
+    v = F.col(vector_col).cast("array<double>")
+    fine = F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("x"))
+
+
+def wide_vectors(rows: DataFrame, *, id_col: str, vector_col: str, scale: float = SCALE) -> DataFrame:
+    """Those of ``finite_vectors`` that ``integer_vectors`` leaves out for their size."""
+    whole = F.transform("x", lambda x: F.floor(x * scale).cast("double"))
+    length = F.aggregate(whole, F.lit(0.0), lambda s, x: s + x * x)
+    large = F.exists("x", lambda x: F.abs(x * scale) >= float(1 << (LENGTH_BITS // 2))) | (length >= float(1 << LENGTH_BITS))
+    return finite_vectors(rows, id_col=id_col, vector_col=vector_col).where(large)
+
+
+def _whole(x: float, scale: float) -> int:
+    """floor(scale * x) of any finite x, of any size."""
+    y = scale * x
+    return math.floor(y) if math.isfinite(y) else math.floor(int(x) * Fraction(scale))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -136,14 +161,17 @@ class Best:
 
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         for s, i in zip(scores.tolist(), ids.tolist(), strict=True):
-            entry = (s, -i)
-            if len(self.rows) < self.k:
-                heapq.heappush(self.rows, entry)
-            elif entry > self.rows[0]:
-                heapq.heapreplace(self.rows, entry)
+            self.add_one(s, i)
         if len(self.rows) == self.k:
             self.least = max(self.least, self.rows[0][0])
 
+    def add_one(self, score: int, key: int) -> None:
+        entry = (score, -key)
+        if len(self.rows) < self.k:
+            heapq.heappush(self.rows, entry)
+        elif entry > self.rows[0]:
+            heapq.heapreplace(self.rows, entry)
+
 
 def search(pages: DataFrame, tree: dict[int, tuple[np.ndarray, float]], queries: list[tuple[int, list[int]]], k: int = K) -> DataFrame:
     """``(query_id, vec_id, score)``: of each task's pages the k best for each query, which hold the k best of all."""
@@ -162,6 +190,28 @@ def search(pages: DataFrame, tree: dict[int, tuple[np.ndarray, float]], queries:
     return pages.mapInArrow(run, "query_id long, vec_id long, score long")
 
 
+def scan(rows: DataFrame, queries: list[tuple[int, list[int]]], k: int = K, scale: float = SCALE) -> DataFrame:
+    """``(query_id, vec_id, score)`` as ``search``, of ``rows(id, x)``, by whole numbers of any size without a tree.
+
+    A pair whose score doesn't fit a long can't be told and takes no part.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {i: Best(k, -np.inf) for i, _ in queries}
+        for batch in batches:
+            for key, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                whole = [_whole(c, scale) for c in x]
+                for i, v in queries:
+                    if i != key and len(v) == len(whole):
+                        score = sum(map(operator.mul, v, whole))
+                        if -(1 << 63) <= score < 1 << 63:
+                            best[i].add_one(score, key)
+        out = [(q, -i, s) for q, b in best.items() for s, i in b.rows]
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(3)], names=["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 def _search(dim: int, asked: list, best: dict[int, Best], cols: list[list], objects: np.ndarray, top: float) -> None:
     _, routers, parents, radii, routing, ids, vectors, distances = cols
     routers, parents, radii = np.array(routers), np.array(parents), np.array(radii)
@@ -202,32 +252,51 @@ def _search(dim: int, asked: list, best: dict[int, Best], cols: list[list], obje
                 found.add(scores[fine], ids[p][near][fine])
 
 
-def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, block: int = BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: float = SCALE, block: int = BLOCK, wide: bool = False) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each query its k largest inner products among rows, ties to the smaller id.
 
     A query finds no row with its own id.  Vectors of another length than the query's are no
     candidates; invalid vectors (see ``integer_vectors``) take no part on either side; of query rows
-    with equal ids the first vector counts.  Fewer candidates give fewer rows; empty tables none.
+    with equal ids the first vector counts.  With ``wide``, finite vectors too large for the tree (see
+    ``integer_vectors``) take part as well: they are compared one by one, a block of queries at a time, and
+    only pairs whose score doesn't fit a long are left out.  Fewer candidates give fewer rows; empty tables none.
     """
     spark = rows.sparkSession
     asked = saved(integer_vectors(queries, id_col=id_col, vector_col=vector_col, scale=scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
     pages, tree = build(integer_vectors(rows, id_col=id_col, vector_col=vector_col, scale=scale))
     blocks = -(-asked.count() // block)
-    parts: DataFrame | None = None
+    found: list[DataFrame] = []
     for b in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
-        found = search(pages, tree, [(r["id"], r["v"]) for r in part], k)
-        parts = found if parts is None else parts.union(found)
+        found.append(search(pages, tree, [(r["id"], r["v"]) for r in part], k))
+    if wide:
+        found += _with_wide(rows, queries, asked, k=k, block=block, id_col=id_col, vector_col=vector_col, scale=scale)
+    parts = functools.reduce(DataFrame.union, found) if found else None
     if parts is None:
         parts = spark.createDataFrame([], "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return parts.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def _with_wide(rows: DataFrame, queries: DataFrame, asked: DataFrame, *, k: int, block: int, **how) -> list[DataFrame]:
+    """The best pairs with a wide vector on either side; a query's id that ``asked`` has is no wide query."""
+    out: list[DataFrame] = []
+    scale = how["scale"]
+    large = saved(wide_vectors(rows, **how), "wide")
+    many = saved(wide_vectors(queries, **how).groupBy("id").agg(F.min("x").alias("v")).join(asked, "id", "left_anti"), "wide_queries")
+    every = finite_vectors(rows, id_col=how["id_col"], vector_col=how["vector_col"])
+    for source, against in ((asked, large), (many, every)):
+        blocks = 0 if against.isEmpty() else -(-source.count() // block)
+        for b in range(blocks):
+            part = source.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).orderBy("id").collect()
+            out.append(scan(against, [(r["id"], [_whole(c, scale) for c in r["v"]] if source is many else r["v"]) for r in part], k, scale))
+    return out
+
+
 def op2_metric_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 best of each vector whose id is divisible by 50."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0))
+    return top_k(rows, rows.where(F.col("vec_id") % EVERY == 0), wide=True)
 
 
 #: The same by brute force.

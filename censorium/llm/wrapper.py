@@ -4,9 +4,11 @@ Pages of a host share a template.  Each page becomes a tree of elements in which
 like siblings are one node; per host, one page's tree is the reference, and every page's tree
 is aligned with it by simple tree matching (the largest order-preserving match of equal
 nodes).  A content that a text slot has on SUPPORT different pages at least, and on more than half
-of those with text there, belongs to the template and goes from the pages that have it; what else a slot holds is content.  Within the article (or else the main part, or
-the body), content outside of elements that the page itself marks as menu, header, footer,
-sidebar, notice, advert, form, script, style or comments is the text.
+of those with text there, belongs to the template; what else a slot holds is content.  Within the main part or
+the body, template goes.  An article says itself what is content, so a sentence that its pages share stays there, unless the names of an
+element around it hint at a menu, notice or the like.  Elements that the page itself marks as menu, header, footer,
+sidebar, notice, advert, form, script, style or comments are not text; a name marks an element only if all its words say so
+(``section-header``, ``side-effects`` and ``has-sidebar`` mark nothing), and in an article neither headings nor anchors.
 
 Spark carries it: one pass over the pages yields trees and slot digests, aggregates by host
 give reference and constant slots, and a second pass, with each host's wrapper, extracts.
@@ -22,7 +24,7 @@ import math
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import accumulate
 
@@ -43,18 +45,23 @@ CACHED_NODES = 2_000_000
 
 #: Element kinds of HTML (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title head select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title head select".split())
 OPAQUE = frozenset("script style textarea title iframe noscript".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCKS - frozenset("body html option legend caption td th tr tbody thead tfoot li dd dt summary".split())
 IMPLIED = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPE = frozenset("table ul ol dl td th body html article section div".split())
 #: Elements and names that mark what is not main text (fixed values).
-ASIDE_TAGS = RAW | frozenset("nav header footer aside form button dialog menu input label".split())
-ASIDE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|header|masthead|banner|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|ads?|advert|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?|share|sharing|social|comments?|replies|disqus|related|recommended|recommendations|search|pagination|pager|skip)(?:$|[\s_-])",
-    re.IGNORECASE,
-)
+ASIDE_TAGS = RAW | frozenset("nav header footer aside form button dialog menu input".split())
+#: Words that mark an element wherever it is, and words that also name a part of a layout or a text.
+FOREIGN = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored comment comments replies disqus sidebar related recommended recommendations newsletter subscribe cookie cookies consent gdpr popup breadcrumb breadcrumbs pagination pager navbar navigation".split())
+LAYOUT = frozenset("nav menu side header footer masthead banner notice alert modal overlay subscription signup login promo promotion share sharing social search skip".split())
+#: Words that say where or how large, which a marking name may have beside its marking words.
+BESIDE = frozenset("site page main top bottom left right primary secondary global inner outer wrapper wrap container box bar block area list links link buttons button icons widget unit slot form message text".split())
+#: With these a name may also have: section, posts, articles, stories, thread, user, reader, content.
+BESIDE_FOREIGN = BESIDE | frozenset("section posts articles stories thread user reader content".split())
+HINT = re.compile(rf"(?:^|[\s_-])(?:{'|'.join(sorted(FOREIGN | LAYOUT))})(?:$|[\s_-])", re.IGNORECASE)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
 #: A tag up to the next >, for pages with unclosed quotes.
@@ -77,13 +84,31 @@ class Node:
         names = " ".join(sorted(self.attrs.get("class", "").split()))
         return f"{self.tag}.{names}" if names else self.tag
 
-    def is_aside(self) -> bool:
+    def is_aside(self, in_article: bool = False) -> bool:
         if self.tag in ASIDE_TAGS or not self.attrs:
             return self.tag in ASIDE_TAGS
         a = self.attrs
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "") in ASIDE_ROLES or re.search(r"display\s*:\s*none", a.get("style", "")):
             return True
-        return self.tag not in ("body", "html", "article", "main") and bool(ASIDE_NAMES.search(f"{a.get('class', '')} {a.get('id', '')}"))
+        return self.marked(in_article) is not None
+
+    def marked(self, in_article: bool = False) -> str | None:
+        """"foreign" or "layout" if a name in class or id marks the element; in an article headings aren't marked, and an id only by foreign words."""
+        if self.tag in ("body", "html", "article", "main") or in_article and self.tag in HEADINGS:
+            return None
+        found = None
+        for kind in ("class", "id"):
+            for name in self.attrs.get(kind, "").lower().split():
+                words = set(re.split("[_-]+", name.strip("_-")))
+                if words & FOREIGN and words <= FOREIGN | LAYOUT | BESIDE_FOREIGN:
+                    return "foreign"
+                if words & LAYOUT and words <= LAYOUT | BESIDE and not (in_article and kind == "id"):
+                    found = "layout"
+        return found
+
+    def hints(self) -> bool:
+        """Whether a name has a marking word at all."""
+        return self.tag not in HEADINGS and bool(HINT.search(f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}"))
 
 
 def parse(text: str) -> Node:
@@ -363,9 +388,13 @@ def aligned(reference: str, page: str) -> np.ndarray:
 
 
 def blocks_of(root: Node, keep: set[int] | None, slots: dict[int, Slots], order: dict[int, int]) -> list[str]:
-    """Texts of the blocks of the main part, in page order; ``keep`` None: no slot is template."""
+    """Texts of the blocks of the main part, in page order; ``keep``: slots that aren't template, None: all.
+
+    In an article, template goes only from elements whose names, or those of an element around them there, hint at it.
+    """
     _deep()
     tops = _main_parts(root)
+    in_article = tops[0].tag == "article"
     out: list[str] = []
     run: list[str] = []
 
@@ -375,11 +404,12 @@ def blocks_of(root: Node, keep: set[int] | None, slots: dict[int, Slots], order:
             out.append(text)
         run.clear()
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, cut: bool) -> None:
         block = node.tag in BLOCKS
         if block:
             flush()
-        wanted = keep is None or order[id(slots[id(node)])] in keep
+        cut = cut or node.hints()
+        wanted = keep is None or not cut or order[id(slots[id(node)])] in keep
         for x in node.inside:
             if isinstance(x, str):
                 if wanted:
@@ -390,42 +420,51 @@ def blocks_of(root: Node, keep: set[int] | None, slots: dict[int, Slots], order:
                 run.append(" " if x.tag == "br" else "")
             elif x.tag in RAW:
                 continue
-            elif x.is_aside():
+            elif x.is_aside(in_article):
                 if x.tag == "header" and node.tag in ("article", "main", "section"):
-                    walk_headings(x)
+                    walk_headings(x, cut)
                 elif x.tag in BLOCKS:
                     flush()
             else:
-                walk(x)
+                walk(x, cut)
         if block:
             flush()
 
-    def walk_headings(node: Node) -> None:
+    def walk_headings(node: Node, cut: bool) -> None:
         for x in node.inside:
             if isinstance(x, Node):
-                walk(x) if re.fullmatch("h[1-6]", x.tag) else walk_headings(x)
+                walk(x, cut) if x.tag in HEADINGS else walk_headings(x, cut)
 
     for top in tops:
         flush()
-        walk(top)
+        walk(top, not in_article)
         flush()
     return out
 
 
 def _main_parts(root: Node) -> list[Node]:
-    """Outermost articles, or else main parts, or else the body, or else the whole page."""
-    for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role") == "main", lambda x: x.tag == "body"):
-        found: list[Node] = []
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if wanted(node):
-                found.append(node)
-                continue
-            stack += [x for x in reversed(node.inside) if isinstance(x, Node) and (not x.is_aside() or x.tag in ("body", "html"))]
-        if found:
-            return found
-    return [root]
+    """Outermost articles, or else main parts, or else the body, or else the whole page.
+
+    Articles and main parts are sought outside of marked elements, and, where there is neither, also in
+    those that only a layout word marks, as ``search-page`` around a whole page.
+    """
+    for layout in (False, True):
+        for wanted in (lambda x: x.tag == "article", lambda x: x.tag == "main" or x.attrs.get("role") == "main"):
+            if found := _outermost(root, wanted, layout):
+                return found
+    return _outermost(root, lambda x: x.tag == "body", False) or [root]
+
+
+def _outermost(root: Node, wanted: Callable[[Node], bool], layout: bool) -> list[Node]:
+    found: list[Node] = []
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        if wanted(node):
+            found.append(node)
+            continue
+        stack += [x for x in reversed(node.inside) if isinstance(x, Node) and (x.tag in ("body", "html") or not x.is_aside() or layout and x.tag not in ASIDE_TAGS and x.marked() == "layout")]
+    return found
 
 
 def host_of(url: Column) -> Column:

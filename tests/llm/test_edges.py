@@ -1,6 +1,9 @@
 """Odd inputs, large values, and every registered query of the subpackage on small tables."""
 
+import collections
+import fractions
 import gzip
+import math
 import time
 
 import duckdb
@@ -153,3 +156,42 @@ def test_null_ids(spark):
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard_join.similar_components(df).collect())
     assert got == [("4", 3, "4"), ("None", 0, "None"), ("None", 3, "4"), ("None", 3, "4")]
     assert df.select(F.col("doc_id")).count() == 4
+
+
+def test_every_finite_vector_takes_part(spark):
+    """Vectors of any size, on both sides, against whole numbers without bounds; pairs whose score fits no long are left out."""
+    rng = np.random.default_rng(9)
+    data = [(i, [float(x) for x in rng.normal(size=2).round(2)]) for i in range(120)] + [(500, [1.0, 2.0]), (501, [9e6, 1.0]), (501, [9e6, 1.0]), (502, [1e306, 0.0]), (503, [0.0, -3e17]), (550, [4e6, -8e6]), (600, [0.0, 1e300])]
+    data += [(700, [1.0, float("nan")]), (701, None), (None, [1.0, 1.0]), (702, [])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in metric_topk.top_k(df, df.where("vec_id % 50 = 0"), wide=True, block=2).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    whole = [(i, [math.floor(fractions.Fraction(x) * 256) for x in v]) for i, v in data[:127]]
+    for q in (0, 50, 100, 500, 550, 600):
+        v = dict(whole)[q]
+        pairs = [(i, sum(a * b for a, b in zip(v, w, strict=True))) for i, w in whole if i != q]
+        assert got[q] == sorted(((i, s) for i, s in pairs if -(2**63) <= s < 2**63), key=lambda x: (-x[1], x[0]))[:5]
+    assert (501, 589824131072) in got[500]
+
+
+def test_articles_are_whole(spark):
+    """Layout names around an article, names of headings and anchors, formulas and labels, and sentences that pages share."""
+    shared = "<p>Preheat the oven to 200 degrees.</p>"
+    bodies = {
+        "layout": "<div class='layout has-sidebar'><article><p>text {i}</p></article></div>",
+        "search": "<div id='search-page'><main><article><p>text {i}</p></article></main></div>",
+        "names": "<article><h2 class='section-header'>Head {i}</h2><section id='side-effects'><p>effects {i}</p></section><h3 id='comments'>On comments</h3></article>",
+        "tags": "<article><p>x <math><mi>y</mi><mo>=</mo><mn>{i}</mn></math></p><label>label {i}</label> <svg><text>drawn {i}</text></svg></article>",
+        "shared": "<article><h1>Recipe {i}</h1>" + shared + "<ul><li>item {i}</li></ul></article>",
+        "hinted": "<article><p>text {i}</p><div class='article-footer'>Read our paper.</div><div class='comment-list'><article>me too</article></div><div class='sidebar'>side {i}</div><div class='newsletter-signup'>mail {i}</div></article>",
+        "comments": "<body><div class='content'>text {i}</div><div class='comments'><article>me too {i}</article></div></body>",
+        "box": "<main><div class='ad-box'>buy {i}</div><p>text {i}</p><div id='cookie-notice'>cookies {i}</div><div id='site-header'>head {i}</div></main>",
+    }
+    want = {
+        "layout": "text {i}", "search": "text {i}", "names": "Head {i}\n\neffects {i}\n\nOn comments", "tags": "x y={i}\n\nlabel {i} drawn {i}",
+        "shared": "Recipe {i}\n\nPreheat the oven to 200 degrees.\n\nitem {i}", "hinted": "text {i}", "comments": "text {i}", "box": "text {i}",
+    }
+    rows = [(100 * n + i, f"http://{name}.example/{i}", body.replace("{i}", str(i))) for n, (name, body) in enumerate(bodies.items()) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrapper.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {100 * n + i: want[name].replace("{i}", str(i)) for n, name in enumerate(bodies) for i in range(6)}
