@@ -30,7 +30,7 @@ def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[st
     return running(binned(sums, "time", cuts=cuts), order="time", keys=keys, sums={n: F.col(n) for n in leaving}, reverse=True, keep_bin=True)
 
 
-def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, entry: str | None = None, keep_bin: bool = False) -> DataFrame:
+def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), weight: str | None = None, entry: str | None = None, keep_bin: bool = False, cuts: Sequence[float] | None = None) -> DataFrame:
     """``(keys, time, n_event, n_censor, n_risk)``: subjects are at risk at t if entry < t <= time.
 
     Rows with null time or status drop out; events come before censorings at equal times; null keys are a group.
@@ -38,7 +38,7 @@ def cells(df: DataFrame, *, time: str, status: str, keys: Sequence[str] = (), we
     w = F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)
     d = (F.col(status) != 0).cast("double")
     rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull())
-    line = timeline(rows, time=time, entry=entry, keys=keys, at={"n_event": w * d, "n_censor": w * (1 - d)}, leaving={"n_risk": w})
+    line = timeline(rows, time=time, entry=entry, keys=keys, at={"n_event": w * d, "n_censor": w * (1 - d)}, leaving={"n_risk": w}, cuts=cuts)
     if entry:
         line = line.where("n_event > 0 or n_censor > 0")
     out = line.select(*keys, "time", "n_event", "n_censor", "n_risk", "_bin")

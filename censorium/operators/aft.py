@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from censorium.functions.special import norm_cdf, norm_quantile
@@ -69,42 +69,56 @@ def _terms(z: Column, kind: str) -> dict[str, Column]:
     return {"f": -z * z / 2 - 0.5 * math.log(2 * math.pi), "f1": -z, "f2": F.lit(-1.0), "s": F.log(tail), "s1": -m, "s2": m * (z - m)}
 
 
+def prepared(df: DataFrame, *, time: str, status: str, x: Sequence[str], logged: bool, weight: str | None, also: Sequence[str] = ()) -> DataFrame:
+    """``_y``, ``_d``, ``_x0`` ..., ``_w`` and ``_id0`` ... of the rows that take part."""
+    known = df.dropna(subset=[time, status, *x, *([weight] if weight else [])])
+    t = F.col(time).cast("double")
+    return (known.where(t > 0) if logged else known).select((F.log(t) if logged else t).alias("_y"), (F.col(status) != 0).alias("_d"), *(F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(x)), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"), *(F.col(c).alias(f"_id{i}") for i, c in enumerate(also)))
+
+
+def step_sums(rows: DataFrame, v: Sequence[Column], lp: Column, log_scale: Column, kind: str, logged: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """Log likelihood ``ll``, score ``u*`` and information ``i*`` by keys at a predictor and log scale, which may differ from row to row."""
+    p = len(v)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    made = rows.withColumn("_s", F.exp(log_scale)).withColumn("_ls", log_scale).withColumn("_z", (F.col("_y") - lp) / F.col("_s"))
+    k = _terms(F.col("_z"), kind)
+    pick = lambda a, b: F.when(F.col("_d"), a).otherwise(b)
+    # one projection for the derivatives, one aggregation of products
+    made = made.select("*", pick(k["f"] - F.col("_ls") - (F.col("_y") if logged else 0.0), k["s"]).alias("_l"), pick(k["f1"], k["s1"]).alias("_g1"), pick(k["f2"], k["s2"]).alias("_h2"))
+    w, g, h, z, sigma = F.col("_w"), F.col("_g1"), F.col("_h2"), F.col("_z"), F.col("_s")
+    one = F.when(F.col("_d"), F.lit(1.0)).otherwise(F.lit(0.0))
+    sums = [F.sum(w * F.col("_l")).alias("ll")]
+    sums += [F.sum(-w * g * v[i] / sigma).alias(f"u{i}") for i in range(p)] + [F.sum(w * (-g * z - one)).alias("us")]
+    sums += [F.sum(-w * h * v[i] * v[j] / (sigma * sigma)).alias(f"i{i}_{j}") for i, j in pairs]
+    sums += [F.sum(-w * (h * z + g) * v[i] / sigma).alias(f"is{i}") for i in range(p)] + [F.sum(-w * (h * z * z + g * z)).alias("iss")]
+    return made.groupBy(*keys).agg(*sums) if keys else made.agg(*sums)
+
+
+def parts(got: Row, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, score and information of a row of ``step_sums``."""
+    u, info = np.zeros(p + 1), np.zeros((p + 1, p + 1))
+    for i in range(p):
+        u[i] = got[f"u{i}"] or 0.0
+        info[i, p] = info[p, i] = got[f"is{i}"] or 0.0
+        for j in range(i, p):
+            info[i, j] = info[j, i] = got[f"i{i}_{j}"] or 0.0
+    u[p], info[p, p] = got["us"] or 0.0, got["iss"] or 0.0
+    return got["ll"] or 0.0, u, info
+
+
 def time_fit(df: DataFrame, *, time: str, status: str, x: Sequence[str] = (), family: str = "weibull", weight: str | None = None, scale: float | None = None, most: int = 50, eps: float = 1e-9) -> TimeFit:
     """Maximum likelihood for right-censored rows; null rows, and times that aren't positive where the logarithm is modelled, drop out."""
     kind, logged, fixed = _family(family)
     fixed = scale if scale is not None else fixed
-    known = df.dropna(subset=[time, status, *x, *([weight] if weight else [])])
-    t = F.col(time).cast("double")
-    rows = (known.where(t > 0) if logged else known).select((F.log(t) if logged else t).alias("_y"), (F.col(status) != 0).alias("_d"), *(F.col(c).cast("double").alias(c) for c in x), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w")).persist()
+    rows = prepared(df, time=time, status=status, x=x, logged=logged, weight=weight).persist()
     p = len(x) + 1
-    v = [F.lit(1.0), *(F.col(c) for c in x)]
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    v = [F.lit(1.0), *(F.col(f"_x{i}") for i in range(p - 1))]
 
     def step(beta: np.ndarray, log_scale: float) -> tuple[float, np.ndarray, np.ndarray]:
-        sigma = math.exp(log_scale)
         lp = F.lit(0.0)
         for c, b in zip(v, beta, strict=True):
             lp = lp + c * float(b)
-        made = rows.withColumn("_z", (F.col("_y") - lp) / sigma)
-        k = _terms(F.col("_z"), kind)
-        pick = lambda a, b: F.when(F.col("_d"), a).otherwise(b)
-        # one projection for the derivatives, one aggregation of products
-        made = made.select("*", pick(k["f"] - log_scale - (F.col("_y") if logged else 0.0), k["s"]).alias("_l"), pick(k["f1"], k["s1"]).alias("_g"), pick(k["f2"], k["s2"]).alias("_h"))
-        w, g, h, z = F.col("_w"), F.col("_g"), F.col("_h"), F.col("_z")
-        one = F.when(F.col("_d"), F.lit(1.0)).otherwise(F.lit(0.0))
-        sums = [F.sum(w * F.col("_l")).alias("ll")]
-        sums += [F.sum(-w * g * v[i] / sigma).alias(f"u{i}") for i in range(p)] + [F.sum(w * (-g * z - one)).alias("us")]
-        sums += [F.sum(-w * h * v[i] * v[j] / sigma**2).alias(f"i{i}_{j}") for i, j in pairs]
-        sums += [F.sum(-w * (h * z + g) * v[i] / sigma).alias(f"is{i}") for i in range(p)] + [F.sum(-w * (h * z * z + g * z)).alias("iss")]
-        got = made.agg(*sums).first()
-        u, info = np.zeros(p + 1), np.zeros((p + 1, p + 1))
-        for i in range(p):
-            u[i] = got[f"u{i}"] or 0.0
-            info[i, p] = info[p, i] = got[f"is{i}"] or 0.0
-        for i, j in pairs:
-            info[i, j] = info[j, i] = got[f"i{i}_{j}"] or 0.0
-        u[p], info[p, p] = got["us"] or 0.0, got["iss"] or 0.0
-        return got["ll"] or 0.0, u, info
+        return parts(step_sums(rows, v, lp, F.lit(float(log_scale)), kind, logged).first(), p)
 
     try:
         first = rows.agg(F.avg("_y").alias("m"), F.stddev_pop("_y").alias("s")).first()
