@@ -11,14 +11,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import binned, running
 
 
-def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column], cuts: Sequence[float] | None = None) -> DataFrame:
+def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[str], at: Mapping[str, Column], leaving: Mapping[str, Column], cuts: Sequence[float] | None = None, once: bool = False) -> DataFrame:
     """One row per (keys, time): sums ``at`` over rows that end there, and ``leaving`` over all rows at risk there.
 
     A row is at risk at t if entry < t <= time; a null entry is before all times, and a row with entry >= time,
     which is never at risk, drops out.  Times of entry have rows too, with zeros ``at``.
+    ``once``: the sums by time, which are looked at twice, are written rather than made twice.
     """
     if entry:
         rows = rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time)))
@@ -27,6 +29,8 @@ def timeline(rows: DataFrame, *, time: str, entry: str | None, keys: Sequence[st
         came = rows.where(F.col(entry).isNotNull()).select(*keys, F.col(entry).cast("double").alias("time"), *(F.lit(0.0).alias(n) for n in at), *((-c).alias(n) for n, c in leaving.items()))
         out = out.unionByName(came)
     sums = out.groupBy(*keys, "time").agg(*(F.sum(n).alias(n) for n in (*at, *leaving)))
+    if once:
+        sums = cut(sums, "timeline")
     return running(binned(sums, "time", cuts=cuts), order="time", keys=keys, sums={n: F.col(n) for n in leaving}, reverse=True, keep_bin=True)
 
 

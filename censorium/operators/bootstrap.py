@@ -4,7 +4,7 @@ No row is drawn or moved: a row's weight in a replicate comes from a hash of its
 the rows are partitioned and after a lost task.  Poisson(1) weights are the usual resampling of rows (or of clusters:
 rows with equal ids share their weights), exponential weights are the Bayesian bootstrap.  A replicate is one more key of
 the risk-set sums, made inside the task and combined there, so what is shuffled are distinct times times replicates, and a Newton step
-of all replicates is one aggregation, of which n (p + p(p+1)/2 + 1) sums come to the driver.
+of all replicates is one scan (its sums by time are written, until ``lineage.clear``), of which n (p + p(p+1)/2 + 1) sums come to the driver.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from censorium.functions.lineage import cut
 from censorium.functions.prefix import cuts_of
 from censorium.functions.riskset import cells
 from censorium.operators import aft, cox
@@ -78,7 +79,9 @@ def bootstrap_curve(df: DataFrame, *, time: str, status: str, ids: Sequence[str]
     # ranges are those of the data's times, so replicates are made once
     cuts = cuts_of(own.withColumn("_t", F.col(time).cast("double")), "_t")
     rows = replicates(own, ids=ids, n=n, kind=kind, seed=seed, weight=weight)
-    at = cells(rows, time=time, status=status, keys=[*keys, "_b"], weight="_w", entry=entry, cuts=cuts)
+    # summed once and written, as risk sets look at it twice
+    drawn = rows.groupBy(*dict.fromkeys([*keys, "_b", time, status, *([entry] if entry else [])])).agg(F.sum("_w").alias("_w"))
+    at = cells(cut(drawn, "replicates"), time=time, status=status, keys=[*keys, "_b"], weight="_w", entry=entry, cuts=cuts)
     stays = F.when(F.col("n_event") > 0, F.greatest(F.lit(0.0), 1 - F.col("n_event") / F.col("n_risk"))).otherwise(F.lit(1.0))
     # only the risk sets run over time: the curve at a time is a product of what lies before
     per = at.groupBy(*keys, "_b").agg(*(F.product(F.when(F.col("time") <= t, stays).otherwise(F.lit(1.0))).alias(f"_{i}") for i, t in enumerate(times)))
@@ -200,7 +203,7 @@ def bootstrap_cox(
         def step(at: Mapping[int, np.ndarray]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
             beside = _points(rows, {b: np.append(t, bound(t)) for b, t in at.items()})
             lp = sum((F.col(c) * F.get("_at", F.lit(i)) for i, c in enumerate(names)), F.lit(0.0)) - F.get("_at", F.lit(p))
-            sums = cox.risk_sums(beside, x=names, lp=lp, strata=[*strata, "_b"], weight="_w", ties="breslow", **how).where("d > 0")
+            sums = cox.risk_sums(beside, x=names, lp=lp, strata=[*strata, "_b"], weight="_w", ties="breslow", once=True, **how).where("d > 0")
             means = cox._means(p)
             got = sums.groupBy("_b").agg(F.sum(F.col("e") - F.col("q.l")).alias("ll"), *(F.sum(F.col(f"x{i}") - means[i]).alias(f"u{i}") for i in range(p)), *(F.sum(cox._second(i, j)).alias(f"i{i}_{j}") for i, j in pairs))
             return {r["_b"]: _parts(r, p, pairs) for r in got.collect()}  # one row a replicate

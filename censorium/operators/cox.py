@@ -82,7 +82,7 @@ _SUMS = """aggregate(sequence(0, cast(_k as int) - 1), named_struct('l', 0D, 'a'
  'b', s.b + 1 / pow(s0 - i / _k * {e} * e0, 2), 'bf', s.bf + i / _k * {e} / pow(s0 - i / _k * {e} * e0, 2), 'bff', s.bff + pow(i / _k * {e}, 2) / pow(s0 - i / _k * {e} * e0, 2)))"""
 
 
-def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True, cuts: Sequence[float] | None = None, late: Column | None = None, grown: DataFrame | None = None) -> DataFrame:
+def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp: Column, strata: Sequence[str], entry: str | None, weight: str | None, ties: str, second: bool = True, cuts: Sequence[float] | None = None, late: Column | None = None, grown: DataFrame | None = None, once: bool = False) -> DataFrame:
     """One row per (strata, time): event sums ``d _k e xj e0 e1_j e2_jk``, risk-set sums ``s0 s1_j s2_jk`` and, at event times, the scalars ``q``.
 
     ``d`` is the weight of events, ``_k`` their number.  ``q.*`` are already times d / _k.  Rows with a ``late`` weight come back
@@ -101,7 +101,7 @@ def risk_sums(rows: DataFrame, *, time: str, status: str, x: Sequence[str], lp:
     leaving = {"s0": r, "n_risk": w, **{f"s1_{i}": r * v[i] for i in range(p)}, **{f"s2_{i}_{j}": r * v[i] * v[j] for i, j in pairs}}
     if late is not None:
         at |= {f"_l{n}": late * c for n, c in leaving.items()}
-    line = timeline(rows, time=time, entry=entry, keys=strata, at=at, leaving=leaving, cuts=cuts)
+    line = timeline(rows, time=time, entry=entry, keys=strata, at=at, leaving=leaving, cuts=cuts, once=once)
     if late is not None:
         line = running(line, order="time", keys=strata, sums={f"_b{n}": F.col(f"_l{n}") for n in leaving}, strict=True, keep_bin=True).join(grown, "time")
         line = line.withColumns({n: F.col(n) + F.col("_grown") * F.col(f"_b{n}") for n in leaving}).drop(*(f"_{k}{n}" for n in leaving for k in "lb"))
