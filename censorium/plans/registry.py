@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from censorium.operators import compare, curves, data_prep, metrics
-from censorium.plans import histories, inference, latent, models, predictions, resampling
+from censorium.plans import breaks, histories, inference, latent, models, predictions, resampling
 
 #: Modules with further QUERIES and SQL.
-MODULES = (inference, histories, predictions, models, resampling, latent)
+MODULES = (inference, histories, predictions, models, resampling, latent, breaks)
 
 Q = dict(time="l_quantity", status="returned")
 
