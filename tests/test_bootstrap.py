@@ -125,3 +125,26 @@ def test_empty_tables(rows):
     assert bootstrap.bootstrap_curve(none, time="t", status="s", ids=["id"], times=[1.0], n=3).count() == 0
     fit = bootstrap.bootstrap_cox(none, time="t", status="s", x=["x"], ids=["id"], n=3)
     assert fit.failed == 3 and np.isnan(fit.limits()[0]).all()
+
+
+def test_a_step_draws_no_weights(spark, rows, monkeypatch):
+    """Weights are drawn once, not in each step, and Breslow sums have no term an event."""
+    plans, points = [], bootstrap._points
+
+    def seen(df, at):
+        out = points(df, at)
+        plans.append(out._jdf.queryExecution().toString())
+        return out
+
+    monkeypatch.setattr(bootstrap, "_points", seen)
+    bootstrap.bootstrap_cox(rows, time="t", status="s", x=["x"], ids=["c"], n=5)
+    assert plans and not any("md5" in p for p in plans)
+    sums = cox.risk_sums(rows.dropna(), time="t", status="s", x=["x"], lp=F.col("x"), strata=[], entry=None, weight=None, ties="breslow")
+    assert "sequence(" not in sums._jdf.queryExecution().toString()
+
+
+def test_steps_of_draws_are_compared_as_digits(spark):
+    """Weights of many draws are those by numbers, the largest among them."""
+    got = bootstrap.replicates(spark.range(3000), ids=["id"], n=6, seed=4).collect()
+    want = {(i, b): poisson(u) for i in range(3000) for b, u in enumerate(draws([i], 6, 4))}
+    assert {(r["id"], r["_b"]): r["_w"] for r in got} == {k: float(w) for k, w in want.items() if w}
