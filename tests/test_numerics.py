@@ -1,5 +1,7 @@
 """Values far from zero, ties of causes, and decimals at breaks."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -102,3 +104,15 @@ def test_updates_in_overlapping_rows(spark):
         place = "no key" if not own else "early" if t < min(own)[0] else "late" if t > max(b for _, b in own) else "within" if any(a < t < b for a, b in own) else "boundary" if begins and ends else "leading" if begins else "trailing" if ends else "gap"
         count[place] = count.get(place, 0) + 1
     assert {r["place"]: r["n"] for r in data_prep.update_places(df, up, key="k", start="a", stop="b", time="t").collect()} == count
+
+
+@pytest.mark.parametrize(("n", "k", "e0", "s0"), [(50, 65, 3.0, 3.0), (500, 5000, 40.0, 41.5), (500, 3000, 1e-9, 700.0), (900, 90_000, 2.5, 900.0), (7, 2_000_000, 8e5, 3e6)])
+def test_efron_sums_of_many_ties(spark, n, k, e0, s0):
+    """Sums over ties are those term by term, and their work doesn't grow with the ties."""
+    line = spark.createDataFrame([(1.0, float(k), e0, s0)], "d double, _k double, e0 double, s0 double")
+    q = cox._efron_sums(line).first()["_q"]
+    f = np.arange(k) / k
+    v = s0 - f * e0
+    want = {"l": np.log(v), "a": 1 / v, "af": f / v, "b": v**-2, "bf": f / v**2, "bff": f * f / v**2}
+    for name, terms in want.items():
+        assert q[name] == pytest.approx(math.fsum(terms), rel=3e-9, abs=1e-9), name
