@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from censorium.functions.lineage import cut
@@ -119,10 +119,27 @@ def _runs(df: DataFrame, key: str, start: str, stop: str, event: str, same: Sequ
 def condense(df: DataFrame, *, key: str, start: str, stop: str, event: str, same: Sequence[str] = ()) -> DataFrame:
     """Touching (start, stop] rows of a key become one as long as no event ends them and the columns ``same`` agree.
 
-    Of equal rows only the first touches the row before.
+    Of equal rows only the first touches the row before.  One sort by key and time serves all windows: a run's rows follow one another,
+    so what they become is known at its last row, and neither a second sort nor a grouping holds the rows again.
     """
-    runs = _runs(df, key, start, stop, event, same)
-    return runs.groupBy(key, "_run", *same).agg(F.min(start).alias(start), F.max(stop).alias(stop), F.max(event).alias(event)).drop("_run")
+    order = Window.partitionBy(key).orderBy(start, stop, event, *same)
+    # whether a row touches the one before, seen from either of them
+    from_here = _touches(F.lag(stop).over(order), F.lag(event).over(order), F.col(start), [(F.lag(c).over(order), F.col(c)) for c in same])
+    from_next = _touches(F.col(stop), F.col(event), F.lead(start).over(order), [(F.col(c), F.lead(c).over(order)) for c in same])
+    follows = F.lead(F.lit(1)).over(order).isNotNull()
+    flagged = df.select(key, start, stop, event, *same, from_here.alias("_joined"), (from_next & follows).alias("_goes_on"))
+    first = F.last(F.when(~F.col("_joined"), F.struct(F.col(start).alias("v"))), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ends = flagged.withColumn("_first", first).where(~F.col("_goes_on"))
+    # rows of a run but the last have no event and end where the next begins
+    top = lambda c, least: F.when(F.col("_joined"), F.greatest(F.col(c), least)).otherwise(F.col(c)).alias(c)
+    return ends.select(key, *same, F.col("_first.v").alias(start), top(stop, F.col(start)), top(event, F.lit(0).cast(df.schema[event].dataType)))
+
+
+def _touches(stop: Column, event: Column, start: Column, same: Sequence[tuple[Column, Column]]) -> Column:
+    out = stop.eqNullSafe(start) & (event == 0)
+    for a, b in same:
+        out = out & a.eqNullSafe(b)
+    return F.coalesce(out, F.lit(False))
 
 
 def condense_plan(df: DataFrame, *, key: str, start: str, stop: str, event: str, same: Sequence[str] = ()) -> DataFrame:

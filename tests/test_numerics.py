@@ -116,3 +116,25 @@ def test_efron_sums_of_many_ties(spark, n, k, e0, s0):
     want = {"l": np.log(v), "a": 1 / v, "af": f / v, "b": v**-2, "bf": f / v**2, "bff": f * f / v**2}
     for name, terms in want.items():
         assert q[name] == pytest.approx(math.fsum(terms), rel=3e-9, abs=1e-9), name
+
+
+def test_condensing_sorts_rows_once(spark):
+    """Runs are those of a plain loop, with nulls, equal rows and rows that end before they begin; the plan has one sort and no grouping."""
+    rng = np.random.default_rng(8)
+    rows = [(int(rng.integers(0, 40)), a, a + int(rng.integers(1, 3)), int(rng.random() < 0.3), "xy"[int(rng.integers(0, 2))]) for a in map(int, rng.integers(0, 9, 400))]
+    rows += [(50, 0, 1, None, "x"), (50, 1, 2, 0, "x"), (50, 2, None, 0, None), (51, None, 4, 0, "x"), (51, 4, 5, None, "x"), (52, 0, 3, 0, "x"), (52, 3, 2, 0, "x"), (None, 0, 1, 0, "x"), (None, 1, 2, 1, "x"), (53, 0, 2, 0, "x"), (53, 1, 3, 0, "x"), (53, 2, 4, 1, "x")]
+    df = spark.createDataFrame(rows, "k int, a int, b int, e int, g string")
+    low = lambda v: (v is not None, v if v is not None else 0)
+    out, before = [], None
+    for r in sorted(rows, key=lambda r: (low(r[0]), *map(low, r[1:4]), r[4] or "")):
+        if before is not None and before[0] == r[0] and before[2] == r[1] and before[3] == 0 and before[4] == r[4]:
+            run = out[-1]
+            run[2], run[3] = max((v for v in (run[2], r[2]) if v is not None), default=None), max((v for v in (run[3], r[3]) if v is not None), default=None)
+        else:
+            out.append(list(r))
+        before = r
+    made = data_prep.condense(df, key="k", start="a", stop="b", event="e", same=["g"])
+    order = lambda t: sorted(t, key=str)
+    assert order(tuple(r) for r in made.select("k", "a", "b", "e", "g").collect()) == order(map(tuple, out))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
