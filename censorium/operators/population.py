@@ -1,8 +1,8 @@
 """Rate tables, person-years, expected and net curves.
 
 A rate table is a DataFrame with a row per cell: ``age_lo, age_hi`` and ``year_lo, year_hi`` (half-open), ``sex`` and a
-daily ``rate``; ages in days, years as calendar years.  Cells are few and known, so the table is broadcast behind a
-check of its size.
+daily ``rate``; ages in days, years as calendar years.  Cells are few and known, so those of a sex go to its rows as one array,
+behind a check of their number, and a row's hazard needs no grouping.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from censorium.functions.prefix import running
 from censorium.functions.riskset import timeline
 from censorium.functions.special import z_of
 
-#: Days of a year (fixed value); cells of a rate table that are broadcast at most.
-YEAR, MOST_CELLS = 365.25, 200_000
+#: Days of a year (fixed value); cells of a rate table that are broadcast at most, and cells of a sex that are written out in an expression.
+YEAR, MOST_CELLS, MOST_WRITTEN = 365.25, 200_000, 16
 
 
 def rate_table(spark: SparkSession, *, age_breaks: Sequence[float], year_breaks: Sequence[float], rates: dict[str, Sequence[Sequence[float]]]) -> DataFrame:
@@ -47,12 +47,30 @@ def date_of_days(days: Column, origin: int = 1960) -> Column:
     return F.date_add(F.lit(f"{origin}-01-01").cast("date"), days.cast("int"))
 
 
-def _checked(rates: DataFrame) -> DataFrame:
+def _with_cells(df: DataFrame, rates: DataFrame, sex: str) -> tuple[DataFrame, int]:
+    """Rows whose sex is in the rate table, with its cells as the array ``_cells`` (one row a sex is broadcast), and the most cells of a sex."""
     if not is_rate_table(rates):
         raise ValueError("not a rate table")
-    if rates.limit(MOST_CELLS + 1).count() > MOST_CELLS:
-        return rates
-    return F.broadcast(rates)
+    cells = rates.groupBy(F.col("sex").alias("_sex")).agg(F.collect_list(F.struct("age_lo", "age_hi", "year_lo", "year_hi", "rate")).alias("_cells"))
+    total, most = cells.agg(F.sum(F.size("_cells")), F.max(F.size("_cells"))).first()
+    few = (total or 0) <= MOST_CELLS
+    return df.join(F.broadcast(cells) if few else cells, F.col(sex) == F.col("_sex")).drop("_sex"), most or 0
+
+
+def _hazard(most: int, until: Column, age: Column, year: Column) -> Column:
+    """Sum over at most ``most`` ``_cells`` of rate times the days inside, from entry over ``until`` days."""
+    t, a, y = (c.cast("double") for c in (until, age, year))
+
+    def part(cell: Column) -> Column:
+        enter = F.greatest(F.lit(0.0), cell["age_lo"] - a, (cell["year_lo"] - y) * YEAR)
+        leave = F.least(t, cell["age_hi"] - a, (cell["year_hi"] - y) * YEAR)
+        return F.greatest(F.lit(0.0), leave - enter) * cell["rate"]
+
+    if 0 < most <= MOST_WRITTEN:
+        # written out, a few cells are much faster than a loop; a cell that a sex lacks has no rate
+        parts = [part(F.get("_cells", F.lit(i))) for i in range(most)]
+        return F.when(F.coalesce(*parts).isNotNull(), sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
+    return F.aggregate("_cells", F.lit(None).cast("double"), lambda total, cell: F.coalesce(total + part(cell), total, part(cell)))
 
 
 def expected_hazard(df: DataFrame, rates: DataFrame, *, until: str, age: str, year: str, sex: str, row: str) -> DataFrame:
@@ -61,13 +79,8 @@ def expected_hazard(df: DataFrame, rates: DataFrame, *, until: str, age: str, ye
     A subject crosses the cells of its sex along a straight line; each cell adds rate times the days inside it.
     ``row`` identifies rows of df together with ``until``.
     """
-    t, a, y = F.col(until).cast("double"), F.col(age).cast("double"), F.col(year).cast("double")
-    asked = df.select(F.col(row).alias("_row"), t.alias("_until"), a.alias("_age"), y.alias("_year"), F.col(sex).alias("sex"))
-    met = asked.join(_checked(rates), "sex")
-    enter = F.greatest(F.lit(0.0), F.col("age_lo") - F.col("_age"), (F.col("year_lo") - F.col("_year")) * YEAR)
-    leave = F.least(F.col("_until"), F.col("age_hi") - F.col("_age"), (F.col("year_hi") - F.col("_year")) * YEAR)
-    inside = F.greatest(F.lit(0.0), leave - enter)
-    return met.groupBy(F.col("_row").alias(row), F.col("_until").alias(until)).agg(F.sum(inside * F.col("rate")).alias("hazard"))
+    met, most = _with_cells(df.select(F.col(row).alias("_row"), F.col(until).cast("double").alias("_until"), F.col(age).alias("_age"), F.col(year).alias("_year"), F.col(sex).alias("_of")), rates, "_of")
+    return met.select(F.col("_row").alias(row), F.col("_until").alias(until), _hazard(most, F.col("_until"), F.col("_age"), F.col("_year")).alias("hazard"))
 
 
 def expected_curve(df: DataFrame, rates: DataFrame, *, row: str, time: str, age: str, year: str, sex: str, times: Sequence[float], method: str = "ederer") -> DataFrame:
@@ -78,18 +91,23 @@ def expected_curve(df: DataFrame, rates: DataFrame, *, row: str, time: str, age:
     rows = df.withColumn("at", F.explode(F.array(*(F.lit(t) for t in grid))))
     if method in ("hakulinen", "conditional"):
         rows = rows.where(F.col(time) >= F.col("at"))
-    hazards = expected_hazard(rows, rates, until="at", age=age, year=year, sex=sex, row=row)
+    # equal rows are one row with their number
+    alike = rows.groupBy("at", F.col(age).cast("double").alias("_age"), F.col(year).cast("double").alias("_year"), F.col(sex).alias("_of")).agg(F.count("*").alias("_n"))
+    met, most = _with_cells(alike, rates, "_of")
+    to = lambda until: _hazard(most, until, F.col("_age"), F.col("_year"))
+    hazards = met.select("at", "_n", to(F.col("at")).alias("hazard"), *([] if method != "conditional" else [to(_begin(grid)).alias("_h0")]))
+    mean_of = lambda v: F.try_divide(F.sum(v * F.col("_n")), F.sum(F.when(v.isNotNull(), F.col("_n"))))
     if method != "conditional":
-        return hazards.groupBy("at").agg(F.count("*").alias("n"), F.avg(F.exp(-F.col("hazard"))).alias("surv"), F.avg("hazard").alias("hazard"))
-    starts = dict(zip(grid, [0.0, *grid], strict=False))
-    begin = F.coalesce(*(F.when(F.col("at") == t, F.lit(s)) for t, s in starts.items()))
-    before = rows.withColumn("_begin", begin)
-    early = expected_hazard(before, rates, until="_begin", age=age, year=year, sex=sex, row=row).withColumnsRenamed({"hazard": "_h0"})
-    both = hazards.withColumn("_begin", begin).join(early, [row, "_begin"])
-    mean = both.groupBy("at").agg(F.count("*").alias("n"), F.avg(F.col("hazard") - F.col("_h0")).alias("_step"))
+        return hazards.groupBy("at").agg(F.sum("_n").alias("n"), mean_of(F.exp(-F.col("hazard"))).alias("surv"), mean_of(F.col("hazard")).alias("hazard"))
+    mean = hazards.groupBy("at").agg(F.sum("_n").alias("n"), mean_of(F.col("hazard") - F.col("_h0")).alias("_step"))
     return running(mean, order="at", sums={"hazard": F.col("_step")}).withColumn("surv", F.exp(-F.col("hazard"))).select("at", "n", "surv", "hazard")
 
 
+def _begin(grid: Sequence[float]) -> Column:
+    """The time of the grid before ``at``, or 0."""
+    return F.coalesce(*(F.when(F.col("at") == t, F.lit(s)) for t, s in zip(grid, [0.0, *grid], strict=False)))
+
+
 def person_years(df: DataFrame, rates: DataFrame | None = None, *, row: str, time: str, status: str, keys: Sequence[str] = (), age: str | None = None, year: str | None = None, sex: str | None = None, scale: float = YEAR) -> DataFrame:
     """``(keys, n, person_years, events, expected, rate, smr)`` by group; expected events and ratio if a rate table is given."""
     rows = df.where(F.col(time).isNotNull() & F.col(status).isNotNull())

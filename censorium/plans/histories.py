@@ -198,7 +198,10 @@ AGES, YEARS, RATES = [0, 18262.5, 40000], [1990, 2000, 2030], {"F": [[0.0001, 0.
 
 
 def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _items(spark, sf_dir).withColumns({"row": F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"), "days": F.col("l_quantity") * 100, "age": 15000.0 + F.col("l_linenumber") * 800, "year": 1994.0 + F.col("l_suppkey") % 8}).dropDuplicates(["row"])
+    """Distinct lines; what is kept of a line are numbers, also its one-letter status, so that they are told apart by hashing, without sorts."""
+    row = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate").alias("row")
+    kept = _items(spark, sf_dir).select(row, "l_quantity", "l_tax", "l_linenumber", (F.col("l_suppkey") % 8).cast("int").alias("_year"), F.ascii("l_linestatus").alias("_letter"), "returned").dropDuplicates(["row"])
+    return kept.select("row", "l_tax", "returned", F.char("_letter").alias("l_linestatus"), (F.col("l_quantity") * 100).alias("days"), (15000.0 + F.col("l_linenumber") * 800).alias("age"), (1994.0 + F.col("_year")).alias("year"))
 
 
 def expected_curves(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from censorium.operators import cox, data_prep, states
+from censorium.operators import cox, data_prep, population, states
 
 
 def test_covariates_far_from_zero(spark):
@@ -138,3 +138,14 @@ def test_condensing_sorts_rows_once(spark):
     assert order(tuple(r) for r in made.select("k", "a", "b", "e", "g").collect()) == order(map(tuple, out))
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+
+
+def test_expected_curves_sum_equal_rows(spark):
+    """Hazards are made for distinct rows, no grouping is by row; a cell a sex lacks and a sex the table lacks change nothing."""
+    rates = spark.createDataFrame([(0.0, 1e9, 0.0, 1e9, "a", 0.01), (0.0, 100.0, 0.0, 1e9, "b", 0.02), (100.0, 1e9, 0.0, 1e9, "b", 0.03)], "age_lo double, age_hi double, year_lo double, year_hi double, sex string, rate double")
+    df = spark.createDataFrame([(i, 20.0 if i % 3 else 5.0, 95.0, 2000.0, "abc"[i % 3]) for i in range(9)], "row int, days double, age double, year double, sex string")
+    made = population.expected_curve(df, rates, row="row", time="days", age="age", year="year", sex="sex", times=[10.0])
+    got = made.first()
+    a, b = 0.1, 5 * 0.02 + 5 * 0.03
+    assert (got["n"], got["surv"], got["hazard"]) == (6, pytest.approx((math.exp(-a) + math.exp(-b)) / 2), pytest.approx((a + b) / 2))
+    assert "row#" not in made._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
