@@ -56,7 +56,16 @@ def merged(a: Choices, b: Choices, most: int) -> Choices:
     if n > portion:
         parts = [merged(a.take(slice(i, i + portion)), b.take(slice(i, i + portion)), most) for i in range(0, n, portion)]
         return Choices(*(np.concatenate([getattr(x, f) for x in parts]) for f in ("log", "mean", "cov")))
-    k, i = np.arange(width + 1)[:, None], np.arange(ka + 1)[None, :]
+    # one long row has its coefficients made in portions too
+    some = max(1, MOST_CELLS // (max(n, 1) * (max(ka, kb) + 1) * (p + 1)))
+    parts = [_coefficients(a, b, np.arange(i, min(i + some, width + 1))) for i in range(0, width + 1, some)]
+    return Choices(*(np.concatenate([getattr(x, f) for x in parts], axis=1) for f in ("log", "mean", "cov"))) if len(parts) > 1 else parts[0]
+
+
+def _coefficients(a: Choices, b: Choices, wanted: np.ndarray) -> Choices:
+    """The coefficients ``wanted`` of the products of a and b, row by row."""
+    ka, kb = a.log.shape[1] - 1, b.log.shape[1] - 1
+    k, i = wanted[:, None], np.arange(ka + 1)[None, :]
     j = k - i
     fits, j = (j >= 0) & (j <= kb), np.clip(j, 0, kb)
     terms = np.where(fits, a.log[:, None, :] + b.log[:, j], -np.inf)
@@ -72,8 +81,8 @@ def merged(a: Choices, b: Choices, most: int) -> Choices:
     off = sums - mean[:, :, None, :]
     cov = np.matmul((w[..., None] * off).swapaxes(2, 3), off)
     cov += np.einsum("bki,bipq->bkpq", w, a.cov)
-    back = np.arange(width + 1)[:, None] - np.arange(kb + 1)[None, :]
-    of_b = np.where((back >= 0) & (back <= ka), w[:, np.arange(width + 1)[:, None], np.clip(back, 0, ka)], 0.0)
+    back = k - np.arange(kb + 1)[None, :]
+    of_b = np.where((back >= 0) & (back <= ka), w[:, np.arange(len(wanted))[:, None], np.clip(back, 0, ka)], 0.0)
     cov += np.einsum("bkj,bjpq->bkpq", of_b, b.cov)
     return Choices(log, mean, cov)
 

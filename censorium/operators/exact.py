@@ -5,6 +5,9 @@ exp(predictor) in the risk set.  A row is at risk over a range of event times.
 tree over the event times of the stratum, at most two a level, and the polynomial of an event time is the
 product of those of its ancestors: no risk set is ever built.  Rows of one node that are equal are one
 row with a count; large nodes are split and multiplied afterwards.  Only sums over event times reach the driver.
+
+Sets without times have one polynomial each: sets are dealt to groups of bounded size, whose number grows with the rows, by
+one shuffle, and each group is summed at once.  Only sets too large for a group are cut into parts as nodes are.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from censorium.operators.cox import CoxFit
 
 #: Different rows of a node that are multiplied in one group, rows of a task, and tree levels whose event times meet in one task.
 NODE_ROWS, TASK_ROWS, BLOCK_LEVELS = 4_096, 20_000, 8
+#: Groups of whole sets: rows of one at most, and groups of a partition on average.
+SET_ROWS, GROUPS = 80_000, 8
 POLY = "_s string, level int, idx long, need int, log array<double>, mean array<double>, cov array<double>"
 
 
@@ -62,6 +67,10 @@ class _Prepared:
         self.cells.unpersist()
         self.times.unpersist()
 
+    def middle(self) -> list[float]:
+        """Means of the covariates and of the offset over different rows."""
+        return [v or 0.0 for v in self.cells.agg(*(F.avg(F.col("x")[i]) for i in range(self.p)), F.avg("off")).first()]
+
     def polynomials(self, beta: np.ndarray, shift: float) -> DataFrame:
         p, b = self.p, [float(v) for v in beta]
 
@@ -86,7 +95,7 @@ class _Prepared:
         blocks = F.when(high > 0, F.sequence(low * width, (low + 1) * width - 1)).otherwise(F.array(own))
         polys = self.polynomials(b, shift).withColumn("_block", F.explode(blocks))
         task = F.pmod(F.xxhash64("_s", "_block"), F.lit(self.tasks)).alias("_task")
-        out = T.StructType([T.StructField(n, T.DoubleType()) for n in ("ll", *(f"u{i}" for i in range(p)), *(f"i{i}_{j}" for i in range(p) for j in range(p)))])
+        out = _totals(p)
 
         def at_times(times: pd.DataFrame, polys: pd.DataFrame) -> pd.DataFrame:
             total = np.zeros(1 + p + p * p)
@@ -100,9 +109,81 @@ class _Prepared:
             return pd.DataFrame([total], columns=out.fieldNames())
 
         parts = self.times.groupBy(task).cogroup(polys.groupBy(task)).applyInPandas(at_times, out)
-        got = parts.agg(*(F.sum(n).alias(n) for n in out.fieldNames())).first()
-        v = np.array([x or 0.0 for x in got])
-        return float(v[0]), v[1 : 1 + p], v[1 + p :].reshape(p, p)
+        return _summed(parts, p)
+
+
+class _Sets:
+    """Rows of sets by group; sets in groups that are too large have tree nodes, one each."""
+
+    def __init__(self, rows: DataFrame, p: int, keep: bool):
+        """rows: (_s, _case, _x, _off); ``keep``: for more than one step."""
+        self.p, self.spark, self.keep = p, rows.sparkSession, keep
+        n = rows.count()
+        groups = max(1, -(-n // TASK_ROWS))
+        rows = rows.withColumn("_group", F.pmod(F.xxhash64("_s"), F.lit(groups)).cast("int"))
+        self.large = None
+        if n > SET_ROWS:
+            large = cut(rows.groupBy("_group").count().where(F.col("count") > SET_ROWS).select("_group"), "large-groups")
+            if not large.isEmpty():
+                self.large = _of_large_sets(rows.join(F.broadcast(large), "_group", "left_semi"), p)
+                rows = rows.join(F.broadcast(large), "_group", "left_anti")
+        self.rows = rows.select("_group", "_s", "_case", *(F.col("_x")[i].alias(f"x{i}") for i in range(p)), "_off").repartition(-(-groups // GROUPS), "_group")
+        if keep:
+            self.rows = self.rows.persist()
+
+    def close(self) -> None:
+        if self.keep:
+            self.rows.unpersist()
+        if self.large:
+            self.large.close()
+
+    def middle(self) -> list[float]:
+        got = self.rows.agg(*(F.avg(f"x{i}") for i in range(self.p)), F.avg("_off"), F.count("*")).first()
+        return self.large.middle() if self.large and not got[-1] else [v or 0.0 for v in got[:-1]]
+
+    def step(self, beta: np.ndarray, shift: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood, score and information."""
+        p, b = self.p, np.asarray(beta, dtype=float)
+        out = _totals(p)
+
+        def of_group(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([_of_whole_sets(rows, b, shift)], columns=out.fieldNames())
+
+        got = _summed(self.rows.groupBy("_group").applyInPandas(of_group, out), p)
+        more = self.large.step(b, shift) if self.large else ()
+        return tuple(u + v for u, v in zip(got, more, strict=True)) if more else got
+
+
+def _of_whole_sets(rows: pd.DataFrame, beta: np.ndarray, shift: float) -> np.ndarray:
+    """Sums of a step over the sets that these rows make up."""
+    p = len(beta)
+    total = np.zeros(1 + p + p * p)
+    names = pd.factorize(rows["_s"])[0]
+    cases = np.bincount(names, weights=rows["_case"].to_numpy()).astype(int)
+    order = np.argsort(names, kind="stable")
+    order = order[cases[names[order]] > 0]  # a set without a case says nothing
+    x = rows[[f"x{i}" for i in range(p)]].to_numpy(dtype=float).reshape(len(rows), p)[order]
+    lp, case, names = x @ beta + rows["_off"].to_numpy(dtype=float)[order] - shift, rows["_case"].to_numpy()[order] != 0, names[order]
+    total[0], total[1 : 1 + p] = lp[case].sum(), x[case].sum(axis=0)
+    for at, most in _classes(cases[names]):
+        own = names[at]
+        made = product(own, copies(lp[at], x[at], np.ones(len(at), dtype=int), most), most)
+        d = cases[own[np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))]]
+        i = np.arange(len(d))
+        total[0] -= made.log[i, d].sum()
+        total[1 : 1 + p] -= made.mean[i, d].sum(axis=0)
+        total[1 + p :] += made.cov[i, d].sum(axis=0).ravel()
+    return total
+
+
+def _totals(p: int) -> T.StructType:
+    return T.StructType([T.StructField(n, T.DoubleType()) for n in ("ll", *(f"u{i}" for i in range(p)), *(f"i{i}_{j}" for i in range(p) for j in range(p)))])
+
+
+def _summed(parts: DataFrame, p: int) -> tuple[float, np.ndarray, np.ndarray]:
+    got = parts.agg(*(F.sum(n).alias(n) for n in _totals(p).fieldNames())).first()
+    v = np.array([x or 0.0 for x in got])
+    return float(v[0]), v[1 : 1 + p], v[1 + p :].reshape(p, p)
 
 
 def _classes(need: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -163,12 +244,16 @@ def _event_sums(events: DataFrame, keys: Sequence[str], p: int) -> DataFrame:
     return events.groupBy(*keys).agg(F.count("*").cast("int").alias("d"), F.array(*(F.sum(F.col("_x")[i]) for i in range(p))).alias("xsum"), F.sum("_off").alias("osum"))
 
 
-def _of_sets(df: DataFrame, case: str, x: Sequence[str], strata: Sequence[str], offset: str | None) -> _Prepared:
+def _of_sets(df: DataFrame, case: str, x: Sequence[str], strata: Sequence[str], offset: str | None, keep: bool) -> _Sets:
     rows = _kept(df, x, strata, offset, [case])
-    times = _event_sums(rows.where(F.col(case) != 0), ["_s"], len(x)).withColumn("place", F.lit(0).cast("long"))
+    return _Sets(rows.select("_s", (F.col(case) != 0).cast("int").alias("_case"), "_x", "_off"), len(x), keep)
+
+
+def _of_large_sets(rows: DataFrame, p: int) -> _Prepared:
+    times = _event_sums(rows.where("_case != 0"), ["_s"], p).withColumn("place", F.lit(0).cast("long"))
     times = cut(times, "event-times")
     met = rows.join(times.select("_s"), "_s", "left_semi")
-    return _Prepared(met.select("_s", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"), F.col("_x").alias("x"), F.col("_off").alias("off")), times, len(x))
+    return _Prepared(met.select("_s", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"), F.col("_x").alias("x"), F.col("_off").alias("off")), times, p)
 
 
 def _of_survival(df: DataFrame, time: str, status: str, x: Sequence[str], strata: Sequence[str], entry: str | None, offset: str | None) -> _Prepared:
@@ -190,10 +275,10 @@ def _of_survival(df: DataFrame, time: str, status: str, x: Sequence[str], strata
     return _Prepared(asked.where("lo < hi").select("_s", "lo", "hi", F.col("_x").alias("x"), F.col("_off").alias("off")), times.drop("_t"), len(x))
 
 
-def _fit(ready: _Prepared, x: Sequence[str], start: Sequence[float] | None, eps: float, most: int) -> CoxFit:
+def _fit(ready: _Prepared | _Sets, x: Sequence[str], start: Sequence[float] | None, eps: float, most: int) -> CoxFit:
     p = len(x)
-    lowest = ready.cells.agg(*(F.avg(F.col("x")[i]) for i in range(p)), F.avg("off")).first()
-    means, off = np.array([v or 0.0 for v in lowest[:p]]), lowest[p] or 0.0
+    *means, off = ready.middle()
+    means = np.array(means)
     step = lambda b: ready.step(b, float(means @ b + off))
     try:
         beta = np.zeros(p) if start is None else np.asarray(start, dtype=float)
@@ -233,15 +318,15 @@ def conditional_logistic(df: DataFrame, *, case: str, x: Sequence[str], strata:
 
     Rows with a null case or covariate take no part; null strata are a stratum.  Sets without a case, or of cases only, say nothing.
     """
-    return _fit(_of_sets(df, case, x, strata, offset), x, start, eps, most)
+    return _fit(_of_sets(df, case, x, strata, offset, keep=True), x, start, eps, most)
 
 
 def conditional_likelihood(df: DataFrame, *, case: str, x: Sequence[str], coefficients: Sequence[float], strata: Sequence[str], offset: str | None = None) -> DataFrame:
     """One row: the conditional ``log_likelihood`` at given coefficients, ``score_<x>`` and ``info_<x>``."""
-    return _one_row(_of_sets(df, case, x, strata, offset), x, coefficients)
+    return _one_row(_of_sets(df, case, x, strata, offset, keep=False), x, coefficients)
 
 
-def _one_row(ready: _Prepared, x: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
+def _one_row(ready: _Prepared | _Sets, x: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
     try:
         ll, score, info = ready.step(np.asarray(coefficients, dtype=float), 0.0)
     finally:

@@ -1,10 +1,12 @@
 """Exact ties: symmetric polynomials, published values, enumeration, and large ties."""
 
+import tracemalloc
 from itertools import combinations
 from math import comb, log
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from censorium.functions import symmetric
 from censorium.operators import exact
@@ -105,3 +107,38 @@ def test_conditional_logistic(spark):
     assert got["log_likelihood"] == pytest.approx(likelihood(as_times, np.array([0.1, 0.2]))[0])
     assert exact.conditional_logistic(df.limit(0), case="c", x=["x"], strata=["g"]).log_likelihood == 0
     assert [r["name"] for r in fit.table(spark).collect()] == ["x", "y"]
+
+
+def test_sets_by_group(spark, monkeypatch):
+    """Partitions grow with the rows; sets too large for a group give the same sums as the others."""
+    rng = np.random.default_rng(5)
+    size = [1, 2, 3, 4, 5, 6, 7, 9, 40]
+    rows = [(g, bool(rng.random() < 0.4), float(rng.integers(0, 4)), float(rng.normal())) for g in range(9) for _ in range(size[g])] + [(None, True, 1.0, 0.5), (None, False, 0.0, 0.2), (3, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, c boolean, x double, y double").withColumn("c", F.col("c").cast("int"))
+    read = lambda: exact.conditional_likelihood(df, case="c", x=["x", "y"], coefficients=[0.1, -0.2], strata=["g"]).first()
+    want = read()
+    monkeypatch.setattr(exact, "TASK_ROWS", 5)
+    ready = exact._of_sets(df, "c", ["x", "y"], ["g"], None, keep=False)
+    assert ready.rows.rdd.getNumPartitions() == 2 and ready.large is None
+    monkeypatch.setattr(exact, "SET_ROWS", 20)
+    monkeypatch.setattr(exact, "NODE_ROWS", 3)
+    assert exact._of_sets(df, "c", ["x", "y"], ["g"], None, keep=False).large is not None
+    np.testing.assert_allclose(read(), want, rtol=1e-10)
+    fit = exact.conditional_logistic(df, case="c", x=["x", "y"], strata=["g"])
+    monkeypatch.undo()
+    np.testing.assert_allclose(fit.coefficients, exact.conditional_logistic(df, case="c", x=["x", "y"], strata=["g"]).coefficients, atol=1e-7)
+
+
+def test_long_products_in_portions(monkeypatch):
+    """One pair of long polynomials takes memory that doesn't grow with the square of their length."""
+    one = symmetric.copies(np.zeros(1), np.ones((1, 1)), np.array([1500]), 1500)
+    want = symmetric.merged(one, one, 3000)
+    monkeypatch.setattr(symmetric, "MOST_CELLS", 100_000)
+    tracemalloc.start()
+    got = symmetric.merged(one, one, 3000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    for f in ("log", "mean", "cov"):
+        np.testing.assert_allclose(getattr(got, f), getattr(want, f), atol=1e-9)
+    assert got.log[0, 1500] == pytest.approx(log(comb(3000, 1500)), rel=1e-12)
