@@ -3,7 +3,7 @@
 The effects are a table, one row a cluster; no cluster's rows meet and no effect reaches the driver.  Each round takes one Newton
 step of the coefficients given the effects, sums the hazard that each cluster has been under, and from its
 events and that sum finds the cluster's effect and, over all clusters, the variance that makes the
-marginal likelihood largest.  Rounds of this kind never lower the marginal likelihood of the gamma model (EM).
+marginal likelihood largest.  Few times of the hazard go to the rows, so that only clusters' sums are shuffled.  Rounds of this kind never lower the marginal likelihood of the gamma model (EM).
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from censorium.functions.lineage import cut
-from censorium.functions.prefix import as_of, cuts_of, join_keys
-from censorium.operators.cox import CoxFit, _rows, _step, _total, base_hazard, residuals
+from censorium.functions.prefix import cuts_of, join_keys
+from censorium.operators.cox import MOST_TIMES, CoxFit, _rows, _step, _total, base_hazard, residuals
 
 KINDS = ("gamma", "normal")
 #: Variances that are looked at, and their number a look.
@@ -127,18 +127,20 @@ def frailty_fit(
         beta, effects, history, theta, step = np.zeros(p), None, [], variance, 0
         for step in range(1, most + 1):
             rows = placed(effects)
-            partial, score, info = _step(rows, beta, 0.0, xs, "_off", weight=None, ties="breslow", cuts=cuts, **how)
+            partial, score, info = _step(rows, beta, 0.0, xs, "_off", weight=None, ties="breslow", cuts=cuts, once=True, **how)
             if step == 1:
                 null, first = partial, float(score @ np.linalg.pinv(info) @ score)
             move = np.linalg.pinv(info, rcond=1e-12, hermitian=True) @ score
             beta = beta + move
             # the hazard at these coefficients and effects, and what each cluster was under without its effect
             with_lp = rows.withColumn("_lp", _total(xs, beta, "_off"))
-            hazard = base_hazard(with_lp, lp="_lp", ties="breslow", **how)
+            hazard = base_hazard(with_lp, lp="_lp", ties="breslow", entries=True, cuts=cuts, once=True, **how)
             line = cut(hazard.select(*keys, F.col("time").alias("_at"), "n_event", "hazard", "cum_hazard"), "hazard")
-            under = as_of(with_lp, line, at="_t", step="_at", values=["cum_hazard"], keys=keys).withColumnRenamed("cum_hazard", "_h1")
-            if entry:
-                under = as_of(under, line, at="_a", step="_at", values=["cum_hazard"], keys=keys).withColumnRenamed("cum_hazard", "_h0")
+            few = line.limit(MOST_TIMES + 1).count() <= MOST_TIMES
+            # the hazard has a row at every time of the rows: equi-joins
+            under = with_lp
+            for name, at in (("_h1", "_t"), ("_h0", "_a"))[: 2 if entry else 1]:
+                under = join_keys(under.withColumn("_at", F.col(at)), line.select(*keys, "_at", F.col("cum_hazard").alias(name)), [*keys, "_at"], "left", few=few)
             lived = F.coalesce("_h1", F.lit(0.0)) - (F.coalesce("_h0", F.lit(0.0)) if entry else F.lit(0.0))
             plain = _total(xs, beta, "_off0")
             sums = cut(under.groupBy("_g").agg(F.sum("_d").cast("double").alias("d"), F.sum(F.exp(plain) * lived).alias("e"), F.sum(F.when(F.col("_d") > 0, plain).otherwise(0.0)).alias("_plain")), "clusters")
@@ -154,9 +156,11 @@ def frailty_fit(
             effects = sums.withColumn("b", _effect(kind, F.col("d"), F.col("e"), theta))
             if step > 1 and abs(history[-1] - history[-2]) <= eps * max(1.0, abs(history[-1])) and np.abs(move).max(initial=0.0) <= max(eps, 1e-6) * max(1.0, np.abs(beta).max(initial=0.0)):
                 break
-        final = placed(effects)
-        _, _, info = _step(final, beta, 0.0, xs, "_off", weight=None, ties="breslow", cuts=cuts, **how)
-        covariance = np.linalg.pinv(info - _crossed(final, effects, beta, xs, kind, theta, how), hermitian=True)
+        covariance = np.zeros((p, p))
+        if p:
+            final = placed(effects)
+            _, _, info = _step(final, beta, 0.0, xs, "_off", weight=None, ties="breslow", cuts=cuts, once=True, **how)
+            covariance = np.linalg.pinv(info - _crossed(final, effects, beta, xs, kind, theta, how), hermitian=True)
         fit = CoxFit(beta, covariance, partial, step, null, first, list(x), "breslow")
         return FrailtyFit(fit, float(theta), history, effects.select(F.col("_g").alias(cluster), F.col("b").alias("effect"), F.col("d").cast("long").alias("n_event"), F.col("e").alias("expected")), kind)
     finally:
@@ -166,8 +170,6 @@ def frailty_fit(
 def _crossed(rows: DataFrame, effects: DataFrame, beta: np.ndarray, xs: Sequence[str], kind: str, theta: float, how: dict) -> np.ndarray:
     """Sum over clusters of the information between coefficients and effect, squared, over that of the effect."""
     p = len(xs)
-    if not p:
-        return np.zeros((0, 0))
     # what a row's score has paid for the time it was at risk is its information with the cluster's effect
     paid = residuals(rows, x=xs, coefficients=beta, offset="_off", ties="breslow", **how)
     each = paid.groupBy("_g").agg(*(F.sum(F.coalesce(F.col(f"schoenfeld_{c}"), F.lit(0.0)) - F.col(f"score_{c}")).alias(f"c{i}") for i, c in enumerate(xs)))

@@ -289,6 +289,32 @@ def test_gamma_frailty(rows):
     assert fit.fit.std_errors[0] > 0
 
 
+def test_frailty_lookups(rows, monkeypatch):
+    """Few times of the hazard go to the rows, and nothing is summed again for coefficients that aren't there; many times give the same."""
+    data, df = rows
+    df = df.where("x is not null")
+    seen, steps, join, step = [], [], frailty.join_keys, frailty._step
+    monkeypatch.setattr(frailty, "join_keys", lambda *a, few=False, **how: seen.append(few) or join(*a, few=few, **how))
+    monkeypatch.setattr(frailty, "_step", lambda *a, **how: steps.append(1) or step(*a, **how))
+    read = lambda: {r["g"]: (r["n_event"], r["expected"], r["effect"]) for r in frailty.frailty_fit(df, time="t", status="s", x=[], cluster="g", entry="a", variance=0.5, most=1).effects.collect()}
+    got = read()
+    assert seen == [True, True] and len(steps) == 1
+    t, s = np.array([r[2] for r in data]), np.array([r[3] for r in data])
+    a = np.array([-1.0 if r[1] is None else r[1] for r in data])
+    at = np.unique(t[s == 1])
+    risk = (t[:, None] >= at) & (a[:, None] < at)
+    haz = np.array([s[t == u].sum() for u in at]) / risk.sum(axis=0)
+    for g in got:
+        own = [i for i, r in enumerate(data) if r[0] == g]
+        d, e = s[own].sum(), (risk[own] @ haz).sum()
+        assert got[g] == pytest.approx((d, e, np.log((d + 2) / (e + 2))))
+    monkeypatch.setattr(frailty, "MOST_TIMES", 0)
+    many = read()
+    assert seen[2:] == [False, False] and many.keys() == got.keys()
+    for g in got:
+        assert many[g] == pytest.approx(got[g])
+
+
 def test_normal_frailty_and_none(rows):
     _, df = rows
     plain = cox.cox_fit(df, time="t", status="s", x=["x"], entry="a")
