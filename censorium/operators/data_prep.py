@@ -14,6 +14,9 @@ from censorium.functions.lineage import cut
 from censorium.functions.prefix import as_of, join_keys, number, running
 from censorium.functions.riskset import cells
 
+#: Rows and updates of a key that one window sees at most.
+KEY_ROWS = 100_000
+
 
 def split_at(df: DataFrame, *, start: str, stop: str, event: str, cuts: Sequence[float]) -> DataFrame:
     """Rows (start, stop] cut at fixed times; the event stays with the last part, ``episode`` counts the cuts before.
@@ -265,18 +268,64 @@ def _inside(spans: DataFrame, times: DataFrame, key: str) -> DataFrame:
     return looked.unionByName(met)
 
 
+def _apart(base: DataFrame, up: DataFrame, key: str, start: str, stop: str) -> DataFrame:
+    """Keys whose rows can't be merged in one window by key: with overlapping or empty rows, a missing start or stop, or very many rows."""
+    sizes = base.select(key).unionByName(up.select(key)).groupBy(key).count()
+    long = cut(sizes.where((F.col("count") > KEY_ROWS) & F.col(key).isNotNull()).select(key), "long-keys")
+    spans = base.select(key, F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b")).where(F.col(key).isNotNull()).join(F.broadcast(long), key, "left_anti")
+    w = Window.partitionBy(key).orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)
+    bad = F.col("_a").isNull() | F.col("_b").isNull() | F.isnan("_a") | F.isnan("_b") | (F.col("_b") <= F.col("_a"))
+    odd = spans.withColumns({"_before": F.max("_b").over(w), "_last": F.max("_a").over(w)}).where(bad | (F.col("_before") > F.col("_a")) | (F.col("_last") == F.col("_a")))
+    return cut(odd.select(key).unionByName(long).distinct(), "keys-apart")
+
+
 def merge_updates(base: DataFrame, updates: DataFrame, *, key: str, start: str, stop: str, time: str, value: str, kind: str = "last", name: str | None = None, initial=None) -> DataFrame:
     """Rows (start, stop] of base cut at the key's updates inside them, with what the updates say of each part.
 
     ``last``: value of the last update at or before the part's start (null values are passed over); ``cumulative``: sum of values
     up to there; ``event``: value of the update at the part's stop (0 if none); ``cumulative_event``: the same
     for running sums.  ``initial`` is what holds before the first update.
+
+    One window by key does it all where a key's rows don't overlap; overlapping and very long histories are looked up by ranges.
     """
     if kind not in ("last", "cumulative", "event", "cumulative_event"):
         raise ValueError("kind is last, cumulative, event or cumulative_event")
     name = name or value
     up = updates.where(F.col(time).isNotNull() & F.col(value).isNotNull()).select(key, F.col(time).cast("double").alias("_t"), F.col(value).alias("_v"))
-    # written once: spans and rows read it, and base is often the result of another merge
+    # written once: it is read several times, and is often the result of another merge
+    rows = cut(base, "rows")
+    how = dict(key=key, start=start, stop=stop, kind=kind, name=name, initial=initial)
+    apart, nowhere = _apart(rows, up, key, start, stop), rows.where(F.col(key).isNull())
+    if apart.isEmpty() and nowhere.isEmpty():
+        return _merged_by_window(rows, up, **how)
+    within = lambda df: df.join(apart, key, "left_semi").unionByName(df.where(F.col(key).isNull()))
+    simple = _merged_by_window(rows.where(F.col(key).isNotNull()).join(apart, key, "left_anti"), up, **how)
+    return simple.unionByName(_merged_by_ranges(within(rows), within(up), **how))
+
+
+def _merged_by_window(rows: DataFrame, up: DataFrame, *, key: str, start: str, stop: str, kind: str, name: str, initial) -> DataFrame:
+    """Rows of a key don't overlap: a part begins where a row does or at an update inside it, and ends at the next update or with the row."""
+    steps = up.where(F.col(key).isNotNull()).groupBy(key, F.col("_t").alias("_at")).agg(F.max("_v").alias("_v"), *([F.sum("_v").alias("_s")] if kind.startswith("cumulative") else []))
+    # an update at a row's start comes before it
+    begun = rows.select(F.col(key), F.col(start).cast("double").alias("_at"), F.lit(1).alias("_side"), F.col(stop).cast("double").alias("_b"), F.struct(*(F.col(c) for c in rows.columns)).alias("_row"))
+    line = begun.unionByName(steps.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    order = Window.partitionBy(key).orderBy("_at", "_side")
+    w = order.rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    held = F.sum("_s").over(w).cast("double") if kind.startswith("cumulative") else last("_v")
+    line = line.withColumns({"_row": last("_row"), "_b": last("_b"), "_next": F.lead("_at").over(order), "_held": held, "_side1": F.lead("_side").over(order)})
+    if kind in ("event", "cumulative_event"):
+        line = line.withColumn("_then", F.lead("_v" if kind == "event" else "_held").over(order))
+    line = line.where((F.col("_side") == 1) | (F.col("_at") < F.col("_b"))).withColumn("_end", F.when(F.col("_next") < F.col("_b"), F.col("_next")).otherwise(F.col("_b")))
+    said = F.when((F.col("_side1") == 0) & (F.col("_next") == F.col("_end")), F.col("_then")) if kind in ("event", "cumulative_event") else F.col("_held")
+    none = initial if initial is not None or kind == "last" else 0
+    out = line.select("_row.*", F.col("_at").alias("_from"), F.col("_end").alias("_to"), (said if none is None else F.coalesce(said, F.lit(none))).alias("_said"))
+    return out.withColumns({start: F.col("_from"), stop: F.col("_to")}).withColumn(name, F.col("_said")).drop("_from", "_to", "_said")
+
+
+def _merged_by_ranges(base: DataFrame, up: DataFrame, *, key: str, start: str, stop: str, kind: str, name: str, initial) -> DataFrame:
+    """The same for any rows: lookups that deal long histories out by ranges."""
+    # written once: spans and rows read it
     numbered = cut(base.withColumn("_id", F.xxhash64(key, start, stop)), "rows")
     spans = numbered.select(key, "_id", F.col(start).cast("double").alias("_a"), F.col(stop).cast("double").alias("_b")).distinct()
     cuts = cut(_inside(spans, up.where(F.col(key).isNotNull()).select(key, "_t").distinct(), key).groupBy(key, "_id").agg(F.sort_array(F.collect_set("_t")).alias("_cuts")), "cuts")

@@ -106,6 +106,43 @@ def test_updates_in_overlapping_rows(spark):
     assert {r["place"]: r["n"] for r in data_prep.update_places(df, up, key="k", start="a", stop="b", time="t").collect()} == count
 
 
+def test_updates_in_one_window(spark, monkeypatch):
+    """Histories without overlaps need no lookup by ranges; what each part says is the same by either way."""
+    base = [(1, 0.0, 5.0, "x"), (1, 5.0, 9.0, "y"), (1, 10.0, 20.0, "z"), (2, 3.0, 4.0, "x"), (3, 1.0, 8.0, None)]
+    mixed = [(4, 2.0, 2.0, "x"), (5, 7.0, 3.0, "x"), (5, 8.0, 12.0, "y"), (6, 0.0, 9.0, "x"), (6, 2.0, 5.0, "y"), (7, 1.0, 4.0, "x"), (7, 1.0, 4.0, "y"), (None, 0.0, 5.0, "x")]
+    ups = [(1, -1.0, 7), (1, 2.0, 3), (1, 2.0, 4), (1, 5.0, 1), (1, 9.0, 2), (1, 9.5, 8), (1, 12.0, None), (1, 15.0, 6), (1, 20.0, 5), (1, 30.0, 9), (3, 8.0, 2), (4, 2.0, 3), (5, 3.0, 6), (5, 7.5, 1), (5, 9.0, 4), (6, 3.0, 2), (7, 2.0, 6), (9, 1.0, 1), (None, 2.0, 5), (2, None, 5)]
+    up = spark.createDataFrame(ups, "k int, t double, v int")
+
+    def want(rows, kind, first):
+        out = []
+        for k, a, b, s in rows:
+            own = [(t, v) for q, t, v in ups if q == k and t is not None and v is not None]
+            inner = sorted({t for t, _ in own if k is not None and a < t < b})
+            for x, y in zip([a, *inner], [*inner, b], strict=True):
+                before, at = [u for u in own if u[0] <= x], [v for t, v in own if t == y]
+                got = {"last": max(before)[1] if before else None, "cumulative": sum(v for _, v in before) if before else None, "event": max(at, default=None), "cumulative_event": sum(v for t, v in own if t <= y) if at else None}[kind]
+                none = first if first is not None else None if kind == "last" else 0
+                out.append((k, x, y, s, none if got is None else got))
+        return sorted(map(str, out))
+
+    def made(rows, kind, first):
+        df = spark.createDataFrame(rows, "k int, a double, b double, s string")
+        got = data_prep.merge_updates(df, up, key="k", start="a", stop="b", time="t", value="v", kind=kind, name="said", initial=first)
+        assert got.columns == ["k", "a", "b", "s", "said"]
+        return sorted(str((r["k"], r["a"], r["b"], r["s"], None if r["said"] is None else int(r["said"]))) for r in got.collect())
+
+    cases = [("last", -3), ("event", None), ("cumulative", None), ("cumulative_event", None)]
+    for kind, first in cases:
+        assert made(base + mixed, kind, first) == want(base + mixed, kind, first)
+    with monkeypatch.context() as m:
+        m.setattr(data_prep, "as_of", None)
+        m.setattr(data_prep, "running", None)
+        for kind, first in cases[:2]:
+            assert made(base, kind, first) == want(base, kind, first)
+    monkeypatch.setattr(data_prep, "KEY_ROWS", 0)
+    assert made(base, *cases[1]) == want(base, *cases[1])
+
+
 @pytest.mark.parametrize(("n", "k", "e0", "s0"), [(50, 65, 3.0, 3.0), (500, 5000, 40.0, 41.5), (500, 3000, 1e-9, 700.0), (900, 90_000, 2.5, 900.0), (7, 2_000_000, 8e5, 3e6)])
 def test_efron_sums_of_many_ties(spark, n, k, e0, s0):
     """Sums over ties are those term by term, and their work doesn't grow with the ties."""
