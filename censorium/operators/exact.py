@@ -6,6 +6,10 @@ tree over the event times of the stratum, at most two a level, and the polynomia
 product of those of its ancestors: no risk set is ever built.  Rows of one node that are equal are one
 row with a count; large nodes are split and multiplied afterwards.  Only sums over event times reach the driver.
 
+A polynomial takes work and space that grow with the square and the number of ties.  Strata of many ties and few different
+rows a risk set have no polynomials: rows are added up to what the risk set gains and loses of each different row at each
+event time, and the one coefficient that an event time needs is a sum over some points of a circle, whatever its degree.
+
 Sets without times have one polynomial each: sets are dealt to groups of bounded size, whose number grows with the rows, by
 one shuffle, and each group is summed at once.  Only sets too large for a group are cut into parts as nodes are.
 """
@@ -16,19 +20,25 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from censorium.functions.lineage import cut
 from censorium.functions.prefix import as_of, running
-from censorium.functions.symmetric import MOST_CELLS, Choices, copies, product
+from censorium.functions.symmetric import MOST_CELLS, Choices, chosen, copies, product
 from censorium.operators.cox import CoxFit
 
 #: Different rows of a node that are multiplied in one group, rows of a task, and tree levels whose event times meet in one task.
 NODE_ROWS, TASK_ROWS, BLOCK_LEVELS = 4_096, 20_000, 8
 #: Groups of whole sets: rows of one at most, and groups of a partition on average.
 SET_ROWS, GROUPS = 80_000, 8
+#: Ties from which a stratum may go without polynomials: its different rows then, changes of the risk set of a block, and event times of one.
+TIES, DIFFERENT_ROWS, BLOCK_ROWS, BLOCK_TIMES = 8, 100_000, 200_000, 256
+#: Cases of a set from which it goes without a polynomial.
+SET_TIES = 32
+#: Work for a different row of a risk set against that for a row, a level of the tree and a tie; different rows that an event time counts as besides its own.
+POINTS, EACH_TIME = 3, 100
 POLY = "_s string, level int, idx long, need int, log array<double>, mean array<double>, cov array<double>"
 
 
@@ -112,6 +122,91 @@ class _Prepared:
         return _summed(parts, p)
 
 
+class _Tied:
+    """Changes of the risk sets and event times, by blocks of event times, of strata with many ties."""
+
+    def __init__(self, changes: DataFrame, times: DataFrame, widths: DataFrame, p: int):
+        """changes: (_s, place, x0.., _off, n), times: (_s, place, d, xsum, osum), widths: (_s, _width), event times of a block of the stratum."""
+        self.p, self.spark = p, changes.sparkSession
+        self.row = [*(f"x{i}" for i in range(p)), "_off"]
+        block = F.floor(F.col("place") / F.col("_width"))
+        self.times = times.join(widths, "_s").withColumn("_block", block).drop("_width").persist()
+        moved = changes.join(widths, "_s").withColumn("_block", block).persist()
+        n, blocks = self.times.agg(F.count("*"), F.max("_block")).first()
+        self.changes, self.inputs = moved.drop("_width"), [self.times, moved]
+        if blocks:  # what the blocks before leave is there from the start
+            of = ["_s", *self.row]
+            w = Window.partitionBy(*of).orderBy("_block")
+            left = moved.groupBy(*of, "_block", "_width").agg(F.sum("n").alias("n")).select(*of, "_width", "_block", F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"), F.lead("_block").over(w).alias("_next"))
+            start = left.where("n != 0 and _next is not null").withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.col("_next")))).withColumn("place", F.col("_block") * F.col("_width"))
+            self.changes = self.changes.unionByName(start.drop("_width", "_next")).persist()
+            self.inputs.append(self.changes)
+        self.tasks = max(1, -(-self.changes.count() // TASK_ROWS), -(-n // BLOCK_TIMES))
+
+    def close(self) -> None:
+        for df in self.inputs:
+            df.unpersist()
+
+    def middle(self) -> list[float]:
+        """Means of the covariates and of the offset over different rows."""
+        return [v or 0.0 for v in self.changes.agg(*(F.avg(c) for c in self.row)).first()]
+
+    def step(self, beta: np.ndarray, shift: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood, score and information."""
+        row, b = self.row, np.asarray(beta, dtype=float)
+        task = F.pmod(F.xxhash64("_s", "_block"), F.lit(self.tasks)).alias("_task")
+        out = _totals(self.p)
+
+        def at_times(times: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame([_of_changes(times, changes, row, b, shift)], columns=out.fieldNames())
+
+        return _summed(self.times.groupBy(task).cogroup(self.changes.groupBy(task)).applyInPandas(at_times, out), self.p)
+
+
+def _of_changes(times: pd.DataFrame, changes: pd.DataFrame, row: list[str], beta: np.ndarray, shift: float) -> np.ndarray:
+    """Sums of a step over event times, whose risk sets have what was gained up to them and not lost."""
+    p = len(beta)
+    total = np.zeros(1 + p + p * p)
+    changed = {k: v.sort_values("place", kind="stable") for k, v in changes.groupby(["_s", "_block"], sort=False)}
+    for k, at in times.groupby(["_s", "_block"], sort=False):
+        here, at = changed[k], at.sort_values("place", kind="stable")
+        # the same row is one, whenever it comes or goes
+        cells, which = np.unique(here[row].to_numpy(dtype=float), axis=0, return_inverse=True)
+        x, lp = cells[:, :p], cells[:, :p] @ beta + cells[:, p] - shift
+        which, n, d = which.ravel(), here["n"].to_numpy(), at["d"].to_numpy()
+        ends = np.searchsorted(here["place"].to_numpy(), at["place"].to_numpy(), side="right")
+        count = np.zeros(len(cells), dtype=np.int64)
+        for i, (first, end) in enumerate(zip(np.concatenate(([0], ends[:-1])), ends, strict=True)):
+            np.add.at(count, which[first:end], n[first:end])
+            some = np.flatnonzero(count)
+            log, mean, cov = chosen(lp[some], x[some], count[some], int(d[i]))
+            total[0] -= log
+            total[1 : 1 + p] -= mean
+            total[1 + p :] += cov.ravel()
+        xsum = np.array(at["xsum"].tolist(), dtype=float).reshape(len(at), p)
+        total[0] += (xsum @ beta + at["osum"].to_numpy() - d * shift).sum()
+        total[1 : 1 + p] += xsum.sum(axis=0)
+    return total
+
+
+class _Both:
+    """Strata with and without polynomials."""
+
+    def __init__(self, parts: list[_Prepared | _Tied]):
+        self.parts, self.spark = parts, parts[0].spark
+
+    def close(self) -> None:
+        for part in self.parts:
+            part.close()
+
+    def middle(self) -> list[float]:
+        return self.parts[0].middle()
+
+    def step(self, beta: np.ndarray, shift: float) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log likelihood, score and information."""
+        return tuple(sum(v) for v in zip(*(part.step(beta, shift) for part in self.parts), strict=True))
+
+
 class _Sets:
     """Rows of sets by group; sets in groups that are too large have tree nodes, one each."""
 
@@ -165,6 +260,14 @@ def _of_whole_sets(rows: pd.DataFrame, beta: np.ndarray, shift: float) -> np.nda
     x = rows[[f"x{i}" for i in range(p)]].to_numpy(dtype=float).reshape(len(rows), p)[order]
     lp, case, names = x @ beta + rows["_off"].to_numpy(dtype=float)[order] - shift, rows["_case"].to_numpy()[order] != 0, names[order]
     total[0], total[1 : 1 + p] = lp[case].sum(), x[case].sum(axis=0)
+    tied = np.flatnonzero(cases[names] >= SET_TIES)
+    for at in np.split(tied, np.flatnonzero(np.diff(names[tied])) + 1) if len(tied) else []:
+        log, mean, cov = chosen(lp[at], x[at], np.ones(len(at), dtype=int), int(cases[names[at[0]]]))
+        total[0] -= log
+        total[1 : 1 + p] -= mean
+        total[1 + p :] += cov.ravel()
+    few = np.flatnonzero(cases[names] < SET_TIES)
+    x, lp, names = x[few], lp[few], names[few]
     for at, most in _classes(cases[names]):
         own = names[at]
         made = product(own, copies(lp[at], x[at], np.ones(len(at), dtype=int), most), most)
@@ -249,33 +352,86 @@ def _of_sets(df: DataFrame, case: str, x: Sequence[str], strata: Sequence[str],
     return _Sets(rows.select("_s", (F.col(case) != 0).cast("int").alias("_case"), "_x", "_off"), len(x), keep)
 
 
-def _of_large_sets(rows: DataFrame, p: int) -> _Prepared:
-    times = _event_sums(rows.where("_case != 0"), ["_s"], p).withColumn("place", F.lit(0).cast("long"))
-    times = cut(times, "event-times")
-    met = rows.join(times.select("_s"), "_s", "left_semi")
-    return _Prepared(met.select("_s", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"), F.col("_x").alias("x"), F.col("_off").alias("off")), times, p)
+def _tied(rows: DataFrame, sums: DataFrame, p: int) -> DataFrame | None:
+    """(_s, _width) of the strata that take less work without polynomials; rows: (_s, _x, _off), sums: (_s, d) by event time."""
+    many = sums.groupBy("_s").agg(F.count("*").alias("_times"), F.max("d").alias("_d")).where(F.col("_d") >= TIES)
+    many = cut(many, "tied-strata")
+    if many.isEmpty():
+        return None
+    # a count to within some per cent: results don't depend on it
+    seen = rows.join(many.select("_s"), "_s", "left_semi").groupBy("_s").agg(F.count("*").alias("_n"), F.approx_count_distinct(F.xxhash64("_x", "_off")).alias("_rows"))
+    without = F.col("_times") * (F.col("_rows") + EACH_TIME) * POINTS <= F.col("_n") * F.log2(F.col("_times") + 1) * F.col("_d")
+    width = F.greatest(F.lit(1), F.least(F.lit(BLOCK_TIMES), F.floor(BLOCK_ROWS / F.greatest("_rows", F.lit(1)))))
+    found = cut(many.join(seen, "_s").where(without & (F.col("_rows") <= DIFFERENT_ROWS)).select("_s", width.cast("long").alias("_width")), "strata-without-polynomials")
+    return None if found.isEmpty() else found
+
+
+def _columns(p: int) -> list[Column]:
+    return [*(F.col("_x")[i].alias(f"x{i}") for i in range(p)), F.col("_off")]
+
+
+def _joined(rows: DataFrame, sums: DataFrame, p: int, tied, prepared) -> _Prepared | _Tied | _Both:
+    """Strata of many ties by ``tied(rows, sums, widths)``, the others by ``prepared(rows, sums)``."""
+    widths = _tied(rows, sums, p)
+    if not widths:
+        return prepared(rows, sums)
+    there = widths.select("_s")
+    parts, others = [tied(rows.join(there, "_s", "left_semi"), sums.join(there, "_s", "left_semi"), widths)], sums.join(there, "_s", "left_anti")
+    if not others.isEmpty():
+        parts.append(prepared(rows.join(there, "_s", "left_anti"), others))
+    return _Both(parts) if len(parts) > 1 else parts[0]
+
 
+def _of_large_sets(rows: DataFrame, p: int) -> _Prepared | _Tied | _Both:
+    sums = cut(_event_sums(rows.where("_case != 0"), ["_s"], p).withColumn("place", F.lit(0).cast("long")), "event-times")
 
-def _of_survival(df: DataFrame, time: str, status: str, x: Sequence[str], strata: Sequence[str], entry: str | None, offset: str | None) -> _Prepared:
+    def tied(rows: DataFrame, times: DataFrame, widths: DataFrame) -> _Tied:
+        changes = rows.select("_s", *_columns(p)).groupBy("_s", *(f"x{i}" for i in range(p)), "_off").agg(F.count("*").alias("n"))
+        return _Tied(changes.withColumn("place", F.lit(0).cast("long")), times, widths, p)
+
+    def prepared(rows: DataFrame, times: DataFrame) -> _Prepared:
+        met = rows.join(times.select("_s"), "_s", "left_semi")
+        return _Prepared(met.select("_s", F.lit(0).cast("long").alias("lo"), F.lit(1).cast("long").alias("hi"), F.col("_x").alias("x"), F.col("_off").alias("off")), times, p)
+
+    return _joined(rows, sums, p, tied, prepared)
+
+
+def _of_survival(df: DataFrame, time: str, status: str, x: Sequence[str], strata: Sequence[str], entry: str | None, offset: str | None) -> _Prepared | _Tied | _Both:
+    p = len(x)
     rows = _kept(df, x, strata, offset, [time, status]).withColumn("_t", F.col(time).cast("double"))
     if entry:
         rows = rows.where(F.col(entry).isNull() | (F.col(entry) < F.col(time)))
-    sums = _event_sums(rows.where(F.col(status) != 0), ["_s", "_t"], len(x))
-    # event times are read by each lookup and by each step
-    ranked = cut(running(cut(sums.withColumn("_one", F.lit(1.0)), "events"), order="_t", keys=["_s"], sums={"_rank": F.col("_one")}), "event-times")
-    times = ranked.select("_s", "_t", (F.col("_rank") - 1).cast("long").alias("place"), "d", "xsum", "osum")
-    steps = ranked.select("_s", F.col("_t").alias("_at"), "_rank")
-    rows = rows.select("_s", "_t", "_x", "_off", *([F.coalesce(F.col(entry).cast("double"), F.lit(float("-inf"))).alias("_e")] if entry else []))
-    asked = as_of(rows, steps, at="_t", step="_at", values=["_rank"], keys=["_s"]).withColumn("hi", F.coalesce("_rank", F.lit(0.0)).cast("long")).drop("_rank")
-    if entry:
-        asked = as_of(cut(asked, "ranges"), steps, at="_e", step="_at", values=["_rank"], keys=["_s"])
-        asked = asked.withColumn("lo", F.coalesce("_rank", F.lit(0.0)).cast("long"))
-    else:
-        asked = asked.withColumn("lo", F.lit(0).cast("long"))
-    return _Prepared(asked.where("lo < hi").select("_s", "lo", "hi", F.col("_x").alias("x"), F.col("_off").alias("off")), times.drop("_t"), len(x))
+    sums = cut(_event_sums(rows.where(F.col(status) != 0), ["_s", "_t"], p).withColumn("_one", F.lit(1.0)), "events")
+    never = F.lit(float("-inf"))
+    rows = rows.select("_s", "_t", "_x", "_off", (F.coalesce(F.col(entry).cast("double"), never) if entry else never).alias("_e"))
+
+    def ranked(sums: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # event times are read by each lookup and by each step
+        times = cut(running(sums, order="_t", keys=["_s"], sums={"_rank": F.col("_one")}), "event-times")
+        return times.select("_s", (F.col("_rank") - 1).cast("long").alias("place"), "d", "xsum", "osum"), times.select("_s", F.col("_t").alias("_at"), "_rank")
+
+    def placed(rows: DataFrame, steps: DataFrame, at: str, name: str) -> DataFrame:
+        return as_of(rows, steps, at=at, step="_at", values=["_rank"], keys=["_s"]).withColumn(name, F.coalesce("_rank", F.lit(0.0)).cast("long")).drop("_rank")
+
+    def tied(rows: DataFrame, sums: DataFrame, widths: DataFrame) -> _Tied:
+        times, steps = ranked(sums)
+        of = [*(f"x{i}" for i in range(p)), "_off"]
+        # a row comes after its entry and goes after its time; rows that are alike are one before places are looked up
+        moves = F.explode(F.array(*(F.struct(F.col(c).alias("_v"), F.lit(n).cast("long").alias("n")) for c, n in (("_e", 1), ("_t", -1)))))
+        moves = rows.select("_s", *_columns(p), moves.alias("_m")).select("_s", *of, "_m._v", "_m.n").groupBy("_s", "_v", *of).agg(F.sum("n").alias("n")).where("n != 0")
+        changes = placed(cut(moves, "moves"), steps, "_v", "place").groupBy("_s", "place", *of).agg(F.sum("n").alias("n")).where("n != 0")
+        return _Tied(changes, times, widths, p)
+
+    def prepared(rows: DataFrame, sums: DataFrame) -> _Prepared:
+        times, steps = ranked(sums)
+        asked = placed(rows if entry else rows.drop("_e"), steps, "_t", "hi")
+        asked = placed(cut(asked, "ranges"), steps, "_e", "lo") if entry else asked.withColumn("lo", F.lit(0).cast("long"))
+        return _Prepared(asked.where("lo < hi").select("_s", "lo", "hi", F.col("_x").alias("x"), F.col("_off").alias("off")), times, p)
+
+    return _joined(rows, sums, p, tied, prepared)
 
 
-def _fit(ready: _Prepared | _Sets, x: Sequence[str], start: Sequence[float] | None, eps: float, most: int) -> CoxFit:
+def _fit(ready: _Prepared | _Tied | _Both | _Sets, x: Sequence[str], start: Sequence[float] | None, eps: float, most: int) -> CoxFit:
     p = len(x)
     *means, off = ready.middle()
     means = np.array(means)
@@ -326,7 +482,7 @@ def conditional_likelihood(df: DataFrame, *, case: str, x: Sequence[str], coeffi
     return _one_row(_of_sets(df, case, x, strata, offset, keep=False), x, coefficients)
 
 
-def _one_row(ready: _Prepared | _Sets, x: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
+def _one_row(ready: _Prepared | _Tied | _Both | _Sets, x: Sequence[str], coefficients: Sequence[float]) -> DataFrame:
     try:
         ll, score, info = ready.step(np.asarray(coefficients, dtype=float), 0.0)
     finally:

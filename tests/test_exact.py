@@ -2,7 +2,7 @@
 
 import tracemalloc
 from itertools import combinations
-from math import comb, log
+from math import comb, lgamma, log
 
 import numpy as np
 import pytest
@@ -142,3 +142,84 @@ def test_long_products_in_portions(monkeypatch):
     for f in ("log", "mean", "cov"):
         np.testing.assert_allclose(getattr(got, f), getattr(want, f), atol=1e-9)
     assert got.log[0, 1500] == pytest.approx(log(comb(3000, 1500)), rel=1e-12)
+
+
+def test_one_coefficient():
+    """By a sum over points: as by enumeration and by products, at the ends, and for degrees and spreads of any size."""
+    rng = np.random.default_rng(6)
+    for m, scale in [(1, 1.0), (2, 0.0), (5, 1.0), (9, 0.0), (9, 3.0), (9, 40.0)]:
+        lp, x, n = rng.normal(size=m) * scale, rng.normal(size=(m, 2)), rng.integers(1, 4, m)
+        want = symmetric.product(np.zeros(m, dtype=int), symmetric.copies(lp, x, n, n.sum()), int(n.sum()))
+        every = np.repeat(np.arange(m), n)
+        for d in range(1, n.sum() + 1):
+            got = symmetric.chosen(lp, x, n, d)
+            for g, f in zip(got, ("log", "mean", "cov"), strict=True):
+                np.testing.assert_allclose(g, getattr(want, f)[0, d], rtol=1e-9, atol=1e-9)
+            if len(every) < 12:
+                np.testing.assert_allclose(got[1], by_choice(lp[every], x[every], d)[1], atol=1e-9)
+        assert symmetric.chosen(lp, x, n, int(n.sum()) + 1)[0] == -np.inf
+    ways = lambda n, d: lgamma(n + 1) - lgamma(d + 1) - lgamma(n - d + 1)
+    log_e, mean, cov = symmetric.chosen(np.zeros(2), np.array([[0.0], [1.0]]), np.array([600_000, 400_000]), 300_000)
+    assert log_e == pytest.approx(ways(1_000_000, 300_000), abs=1e-6) and mean[0] == pytest.approx(120_000) and cov[0, 0] == pytest.approx(3e5 * 0.4 * 0.6 * 0.7, rel=1e-5)
+    log_e, mean, cov = symmetric.chosen(np.array([800.0, -800.0]), np.array([[1.0], [0.0]]), np.array([50, 70]), 50)
+    assert (log_e, mean[0], cov[0, 0]) == pytest.approx((40_000, 50, 0))
+
+
+def test_many_ties(spark):
+    """Thousands of ties at a time, which took polynomials as long, are one sum each."""
+    n, b = 240_000, 0.3
+    row = spark.range(n).select((1 + F.col("id") % 4).cast("double").alias("t"), (F.col("id") % 3 != 0).cast("int").alias("s"), (F.floor(F.col("id") / 12) % 5 == 0).cast("double").alias("x"))
+    assert isinstance(exact._of_survival(row, "t", "s", ["x"], [], None, None), exact._Tied)
+    i = np.arange(n)
+    t, s, x = 1 + i % 4, i % 3 != 0, (i // 12 % 5 == 0).astype(float)
+    logs = np.concatenate(([0.0], np.cumsum(np.log(np.arange(1, n + 1)))))
+    want = 0.0
+    for at in range(1, 5):
+        ones, zeros, had = int(x[t >= at].sum()), int((1 - x[t >= at]).sum()), s & (t == at)
+        d = int(had.sum())
+        j = np.arange(max(0, d - zeros), min(ones, d) + 1)
+        terms = logs[ones] - logs[j] - logs[ones - j] + logs[zeros] - logs[d - j] - logs[zeros - d + j] + b * j
+        want += b * x[had].sum() - terms.max() - np.log(np.exp(terms - terms.max()).sum())
+    assert exact.exact_likelihood(row, time="t", status="s", x=["x"], coefficients=[b]).first()["log_likelihood"] == pytest.approx(want, rel=1e-10)
+
+
+def test_strata_with_and_without_polynomials(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(str(rng.choice(["a", "b"])) if i % 9 else None, None if i % 5 == 0 else float(rng.integers(0, 5)), float(rng.integers(2, 12)), int(rng.random() < 0.6), float(rng.integers(-1, 2)), float(rng.integers(0, 2))) for i in range(80)]
+    rows += [rows[3]] * 2 + [("c", None, float(t), 1, 1.0, float(t % 2)) for t in range(3, 9)]  # c has no ties
+    rows = [r for r in rows if r[1] is None or r[1] < r[2]]
+    df = spark.createDataFrame(rows + [("a", 9.0, 4.0, 1, 1.0, 1.0), ("d", None, 4.0, 0, 1.0, 1.0)], "g string, a double, t double, s int, x double, y double").withColumn("o", F.lit(0.7))
+    beta, q = np.array([0.4, -0.3]), {"time": "t", "status": "s", "x": ["x", "y"], "strata": ["g"], "entry": "a", "offset": "o"}
+    ll, score = likelihood(rows, beta)
+    info = exact.exact_likelihood(df, coefficients=beta, **q).first()
+    monkeypatch.setattr(exact, "POINTS", 0)
+    monkeypatch.setattr(exact, "BLOCK_TIMES", 2)  # what a block begins with comes from those before
+    kinds = []
+    for ties in (2, 1):
+        monkeypatch.setattr(exact, "TIES", ties)
+        kinds.append(exact._of_survival(df, "t", "s", ["x", "y"], ["g"], "a", "o"))
+        got = exact.exact_likelihood(df, coefficients=beta, **q).first()
+        assert got["log_likelihood"] == pytest.approx(ll) and (got["score_x"], got["score_y"]) == pytest.approx(tuple(score))
+        np.testing.assert_allclose(got, info, rtol=1e-9)
+    assert isinstance(kinds[0], exact._Both) and isinstance(kinds[1], exact._Tied)
+    fit = exact.exact_fit(df, **q)
+    assert fit.log_likelihood == pytest.approx(likelihood(rows, fit.coefficients)[0]) and np.abs(likelihood(rows, fit.coefficients)[1]).max() < 1e-4
+
+
+def test_sets_of_many_cases(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(g, int(rng.random() < 0.5), float(rng.integers(0, 3)), float(rng.normal())) for g, n in ((0, 120), (1, 90), (2, 5)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "g int, c int, x double, y double")
+    x, c, g, b = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), np.array([0.1, -0.2])
+    want = 0.0
+    for s in range(3):
+        at, d = g == s, int(c[g == s].sum())
+        made = symmetric.product(np.zeros(at.sum(), dtype=int), symmetric.copies(x[at] @ b, x[at], np.ones(at.sum(), dtype=int), d), d)
+        want += (x[at & (c == 1)] @ b).sum() - made.log[0, d]
+    read = lambda: exact.conditional_likelihood(df, case="c", x=["x", "y"], coefficients=b, strata=["g"]).first()
+    got = read()
+    assert got["log_likelihood"] == pytest.approx(want)
+    monkeypatch.setattr(exact, "TASK_ROWS", 50)
+    monkeypatch.setattr(exact, "SET_ROWS", 50)
+    assert isinstance(exact._of_sets(df, "c", ["x", "y"], ["g"], None, keep=False).large, exact._Tied | exact._Both)
+    np.testing.assert_allclose(read(), got, rtol=1e-9)
